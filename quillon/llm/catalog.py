@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import repeated_lines
+from quillon.llm import near_duplicates, repeated_lines
 from quillon.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +21,20 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.remove_repeated_lines(docs).select("doc_id", "clean_text", "lines_removed")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.similar_pairs(table(spark, folder, "chunks"), threshold=0.6, words=3)
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.duplicate_groups(table(spark, folder, "chunks"), threshold=0.6, words=3)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_clean": p1_clean,
+        "p2_found": p2_found,
+        "p2_groups": p2_groups,
     }
 
 
