@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import near_duplicates, repeated_lines
+from quillon.llm import encoding, near_duplicates, repeated_lines
 from quillon.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +29,24 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.duplicate_groups(table(spark, folder, "chunks"), threshold=0.6, words=3)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return encoding.garbled_values(docs, encoding.fit_dictionaries(docs)).select("doc_id", "field")
+
+
+def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return encoding.restore_encoding(docs.select("doc_id", "text", "source"), encoding.fit_dictionaries(docs))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_clean": p1_clean,
         "p2_found": p2_found,
         "p2_groups": p2_groups,
+        "p3_found": p3_found,
+        "p3_restored": p3_restored,
     }
 
 
