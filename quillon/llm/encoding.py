@@ -32,7 +32,10 @@ DICTIONARY_BYTES = 48 << 10
 UTF8_COST, BYTE_COST, NEXT_COST = -2, 3, 1
 #: Extra bytes for a character that the dictionaries' languages do not use.
 STRANGE_COST = 5
+#: Extra bytes for a word built as none is: a capital inside small letters, a sign between letters.
+ODD_COST = 4
 _LEVEL = 12
+_ODD = re.compile(r"(?<=[^\W\d_])[À-ÖØ-Þ](?=[a-zß-öø-ÿ])|[a-zß-öø-ÿ][À-ÖØ-Þ]|(?<=[^\W\d_])[^\w\s\x00-\x7f’‘–—…“”«»](?=[^\W\d_])")
 LOST = "�"
 #: Encodings that text is read with by mistake, and the ones it was written in.
 READ_AS = ("cp1252", "cp850", "cp437", "mac_roman", "cp1250", "cp1251")
@@ -155,7 +158,7 @@ class Restorer:
         if (n := self._costs.get(key)) is None:
             if len(self._costs) >= self._remember:
                 self._costs.clear()
-            n = self._costs[key] = self._size(lang, f" {word} ")
+            n = self._costs[key] = self._size(lang, f" {word} ") + ODD_COST * bool(_ODD.search(word))
         return n
 
     def _run(self, steps: tuple[Step, ...], cost: int, word: str, lang: str) -> str:
@@ -193,12 +196,14 @@ class Restorer:
             return text, None
         # nothing lost counts for the language: the shortest description of the value as it stands
         lang = min(self._zip, key=lambda x: (self._size(x, text), x))
-        best, name, length = text, None, self._size(lang, text)
+        odd = {w for w in words if _ODD.search(w)}
+        best, name, length = text, None, self._size(lang, text) + ODD_COST * len(odd)
         for chain, steps, cost in chains():
             changed = {w: new for w in words if (new := self._run(steps, cost, w, lang)) != w}
             if changed:
                 candidate = _replace(text, changed)
-                total = self._size(lang, candidate) + cost
+                still = sum(1 for w in words if (_ODD.search(changed[w]) if w in changed else w in odd))
+                total = self._size(lang, candidate) + ODD_COST * still + cost
                 if total < length:
                     best, name, length = candidate, chain, total
         if LOST in best:
