@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,5 +57,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@cache
+def _ship(application: str) -> None:
+    """Give the executors this package, for clusters whose workers do not have it on their path."""
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="quillon-")) / "quillon.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    SparkSession.getActiveSession().sparkContext.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table of the folder; the first call of an application also ships this package."""
+    _ship(spark.sparkContext.applicationId)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
