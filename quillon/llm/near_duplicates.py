@@ -57,9 +57,9 @@ class Ring:
 
     @property
     def tau(self) -> int:
-        """Largest signature distance of a pair at the threshold, five deviations above the mean."""
+        """Largest signature distance allowed: that of a pair at the threshold, three deviations above the mean."""
         k, t = self.positions, self.threshold
-        return min(k, math.ceil(k * (1 - t) + 5 * math.sqrt(k * t * (1 - t))))
+        return min(k, math.ceil(k * (1 - t) + 3 * math.sqrt(k * t * (1 - t))))
 
     def budgets(self) -> list[tuple[int, int]]:
         """(positions behind the matching segment, differences allowed in them)."""
@@ -183,8 +183,8 @@ def similar_texts(texts: DataFrame, threshold: float, words: int) -> DataFrame:
     pairs = materialize(candidate_pairs(texts, ring, words), "pairs")
     ids = materialize(pairs.select(F.explode(F.array("uid_a", "uid_b")).alias("uid")).distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    # hashed by uid here, the sets serve both joins without another exchange
     sets = texts.join(wanted, "uid", "left_semi").mapInArrow(_shingle_sets(words), "uid bigint, shingles array<bigint>").dropDuplicates(["uid"])
-    sets = materialize(sets, "sets")
     joined = pairs.join(sets.select(F.col("uid").alias("uid_a"), F.col("shingles").alias("sa")), "uid_a").join(
         sets.select(F.col("uid").alias("uid_b"), F.col("shingles").alias("sb")), "uid_b"
     )
