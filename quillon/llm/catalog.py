@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import encoding, near_duplicates, repeated_lines
+from quillon.llm import encoding, lookalikes, near_duplicates, repeated_lines
 from quillon.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,21 @@ def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.restore_encoding(docs.select("doc_id", "text", "source"), encoding.fit_dictionaries(docs))
 
 
+def _messages(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("origin"), F.col("chunk_id").alias("rec_id"), "text")
+    chats = table(spark, folder, "chat_requests").select(F.lit("chat").alias("origin"), F.col("request_id").cast("string").alias("rec_id"), F.col("message").alias("text"))
+    return chunks.unionByName(chats).where("rec_id IS NOT NULL")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    flagged = lookalikes.normalise(_messages(spark, folder), with_text=False)
+    return flagged.where(lookalikes.any_case()).select("origin", "rec_id").distinct()
+
+
+def p4_normalised(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.normalise(_messages(spark, folder)).select("origin", "rec_id", "normalised").distinct()
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -47,9 +63,25 @@ def queries() -> dict[str, Query]:
         "p2_groups": p2_groups,
         "p3_found": p3_found,
         "p3_restored": p3_restored,
+        "p4_found": p4_found,
+        "p4_normalised": p4_normalised,
     }
 
 
+_P4_FOUND = r"""
+WITH m AS (
+  SELECT 'chunk' AS origin, chunk_id AS rec_id, text AS t FROM chunks WHERE chunk_id IS NOT NULL
+  UNION ALL SELECT 'chat', CAST(request_id AS VARCHAR), message FROM chat_requests WHERE request_id IS NOT NULL),
+s AS (SELECT *, regexp_replace(t, '[\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}][\x{FE0E}\x{FE0F}\x{1F3FB}-\x{1F3FF}]*(\x{200D}[\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}]\x{FE0F}?)*', '#', 'g') AS bare FROM m)
+SELECT DISTINCT origin, rec_id FROM s
+WHERE length(nfc_normalize(t)) < length(t)
+   OR regexp_matches(t, '[\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}]')
+   OR regexp_matches(regexp_replace(t, ' ', '', 'g'), '\p{Zs}')
+   OR regexp_matches(bare, '[\p{Cf}\x{FE00}-\x{FE0F}]')
+   OR EXISTS (SELECT 1 FROM (SELECT unnest(regexp_extract_all(t, '\p{L}+')) AS w)
+              WHERE regexp_matches(w, '\p{Latin}') AND regexp_matches(w, '[\p{Greek}\p{Cyrillic}]'))
+"""
+
 _P1_LINES = r"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
@@ -64,6 +96,7 @@ found AS (SELECT DISTINCT doc_id, CAST(line_no AS INT) AS line_no FROM named JOI
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": _P4_FOUND,
         "p1_found": _P1_LINES + "SELECT doc_id, line_no FROM found",
         "p1_clean": _P1_LINES
         + """

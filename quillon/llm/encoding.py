@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.labels import labelled_sample
 
@@ -257,7 +258,7 @@ def restore_encoding(docs: DataFrame, dictionaries: dict[str, bytes], fields: tu
     The chain names how the value had been read; it is null where nothing was changed. All
     other columns stay as they are.
     """
-    schema = docs.schema
+    schema = T.StructType(list(docs.schema.fields))
     for f in fields:
         schema = schema.add(f"{f}_chain", "string")
 
