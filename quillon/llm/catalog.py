@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import encoding, lookalikes, near_duplicates, repeated_lines
+from quillon.llm import encoding, leakage, lookalikes, near_duplicates, packing, repeated_lines, structure_split
 from quillon.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,37 @@ def p4_normalised(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.normalise(_messages(spark, folder)).select("origin", "rec_id", "normalised").distinct()
 
 
+def _pieces(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select("chunk_id", "text", "config_id")
+    configs = table(spark, folder, "chunk_configs").select("config_id", "max_tokens", "overlap_tokens")
+    return structure_split.split_oversized(chunks.join(configs, "config_id", "left"), with_text=with_text)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder, with_text=False).where("item_tokens > max_tokens").select("chunk_id").distinct()
+
+
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder, with_text=True)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.oversized(table(spark, folder, "documents"), table(spark, folder, "pack_targets"))
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_targets"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id").distinct()
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    fields = ("relevant_texts", "query", "reference_answer")
+    return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"), fields)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -65,6 +96,12 @@ def queries() -> dict[str, Query]:
         "p3_restored": p3_restored,
         "p4_found": p4_found,
         "p4_normalised": p4_normalised,
+        "p6_found": p6_found,
+        "p6_pieces": p6_pieces,
+        "p7_found": p7_found,
+        "p7_containers": p7_containers,
+        "p8_found": p8_found,
+        "p8_report": p8_report,
     }
 
 
@@ -82,6 +119,17 @@ WHERE length(nfc_normalize(t)) < length(t)
               WHERE regexp_matches(w, '\p{Latin}') AND regexp_matches(w, '[\p{Greek}\p{Cyrillic}]'))
 """
 
+_P6_FOUND = r"""
+SELECT DISTINCT chunk_id FROM chunks JOIN chunk_configs USING (config_id)
+WHERE chunk_id IS NOT NULL AND greatest(1, CAST(floor(len(regexp_extract_all(text, '[^\s\x{B}\x{1C}-\x{1F}\x{85}\p{Z}]+')) * CAST(1.33 AS DOUBLE)) AS INT)) > max_tokens
+  AND regexp_matches(text, '[^\s\x{B}\x{1C}-\x{1F}\x{85}\p{Z}]')
+"""
+
+_P7_FOUND = r"""
+SELECT DISTINCT target_id, doc_id FROM documents, pack_targets
+WHERE doc_id IS NOT NULL AND regexp_matches(text, '[^\s\p{Z}]') AND octet_length(encode(text)) + 1 > capacity
+"""
+
 _P1_LINES = r"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
@@ -96,6 +144,8 @@ found AS (SELECT DISTINCT doc_id, CAST(line_no AS INT) AS line_no FROM named JOI
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": _P6_FOUND,
+        "p7_found": _P7_FOUND,
         "p4_found": _P4_FOUND,
         "p1_found": _P1_LINES + "SELECT doc_id, line_no FROM found",
         "p1_clean": _P1_LINES

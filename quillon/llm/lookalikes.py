@@ -102,7 +102,7 @@ def normalise(df: DataFrame, text: str = "text", with_text: bool = True) -> Data
                 for start in range(0, batch.num_rows, 2048):
                     part = batch.slice(start, 2048)
                     con.register("batch", pa.table({"i": pa.array(range(part.num_rows)), "text": part.column(part.schema.names.index(text))}))
-                    done = con.execute(sql).to_arrow_table().combine_chunks()
+                    done = con.sql(sql).to_arrow_table().combine_chunks()
                     yield pa.RecordBatch.from_arrays(
                         list(part.columns) + [done[c].chunk(0).cast(pa.string() if c == "normalised" else pa.bool_()) for c in added],
                         names=part.schema.names + added,
