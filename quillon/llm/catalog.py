@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import encoding, leakage, lookalikes, near_duplicates, packing, repeated_lines, structure_split
+from quillon.llm import encoding, language, leakage, lookalikes, near_duplicates, packing, repeated_lines, structure_split
 from quillon.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,21 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"), fields)
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.mislabelled(docs, language.fit(docs))
+
+
+def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.document_languages(docs, language.fit(docs))
+
+
+def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.language_segments(docs, language.fit(docs))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -102,6 +117,9 @@ def queries() -> dict[str, Query]:
         "p7_containers": p7_containers,
         "p8_found": p8_found,
         "p8_report": p8_report,
+        "p9_found": p9_found,
+        "p9_documents": p9_documents,
+        "p9_segments": p9_segments,
     }
 
 

@@ -1,7 +1,7 @@
 """Items over a size limit cut into overlapping pieces along their structure.
 
 A text is parsed into a tree: sections under headings, then paragraphs and list items, lines,
-sentences, words. Sibling subtrees are merged bottom-up as long as they fit the limit together;
+sentences, clauses, words. Sibling subtrees are merged bottom-up as long as they fit the limit together;
 only nodes over the limit are descended into. A piece therefore ends at the highest boundary
 that the limit allows, and inside a sentence only where the sentence alone is too large.
 """
@@ -22,6 +22,7 @@ _HEADING = re.compile(
 )
 _LIST_ITEM = re.compile(r"\s*(?:[-*•–]|\d+[.)]|[a-z]\))\s+")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+(?=[\"'“‘«(\[¿¡—–]*[^\W_a-zß-öø-ÿ])")
+_BOUNDARY = {12: _SENTENCE_END, 13: re.compile(r"[;:.!?…]['\"”’»)\]]*\s+"), 14: re.compile(r"[,–—)]\s+")}
 
 
 def tokens_of(words: int) -> int:
@@ -68,9 +69,10 @@ def _section_depth(line: str) -> int:
 def _children(text: str, start: int, end: int, level: int) -> tuple[list[tuple[int, int]], int]:
     """Child spans of a node at the first finer level that has any, and that level.
 
-    Levels: 0-8 sections by heading depth, 9 paragraphs, 10 list items, 11 lines, 12 sentences, 13 words.
+    Levels: 1-8 sections by heading depth, 9 paragraphs, 10 list items, 11 lines, 12 sentences,
+    13 and 14 clauses, 15 words.
     """
-    while level < 13:
+    while level < 15:
         level += 1
         if level <= 8:
             cuts, depth_of, at = [], [], start
@@ -84,8 +86,8 @@ def _children(text: str, start: int, end: int, level: int) -> tuple[list[tuple[i
         elif level in (10, 11):
             breaks = [m.end() for m in re.compile(r"\n").finditer(text, start, end)]
             spans = _cut(text, start, end, [b for b in breaks if level == 11 or _LIST_ITEM.match(text, b)])
-        elif level == 12:
-            spans = _cut(text, start, end, [m.end() for m in _SENTENCE_END.finditer(text, start, end)])
+        elif level in _BOUNDARY:
+            spans = _cut(text, start, end, [m.end() for m in _BOUNDARY[level].finditer(text, start, end)])
         else:
             spans = _cut(text, start, end, [m.start() for m in re.compile(r"(?<=\s)\S").finditer(text, start, end)])
         if len(spans) > 1:
