@@ -28,15 +28,16 @@ SAMPLE_TEXTS, SAMPLE_SENTENCES = 400, 2500
 BUCKETS = 1 << 17
 ORDERS = (2, 3, 4)
 #: A sentence speaks for a language from so many letters and words on, and from this probability.
-MIN_LETTERS, MIN_WORDS, MIN_CONFIDENCE = 20, 4, 0.8
+#: What has no mark at its end is a title or a notice rather than a sentence, unless it is long.
+MIN_LETTERS, MIN_WORDS, MIN_CONFIDENCE, UNMARKED_LETTERS = 20, 4, 0.8, 70
 
 _ALPHA, _BETA, _L1, _L2 = 0.5, 1.0, 0.02, 0.02
 _CLOSERS = np.array([ord(c) for c in "\"'”’»)]"], dtype=np.uint32)
 _ENDERS = np.array([ord(c) for c in ".!?…"], dtype=np.uint32)
 
 
-def _sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes of all texts, sentence starts, sentence stops, text index) by ends of lines and sentences."""
+def _sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of all texts, sentence starts, stops, text index, has an end mark) by ends of lines and sentences."""
     codes = ta.codes_of(texts, "\x00")
     line = (codes == 10) | (codes == 0) | (codes == 13)
     space = ta.look(ta.flags("isspace"), codes) | line
@@ -50,7 +51,7 @@ def _sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     cut = np.flatnonzero(end | line) + 1
     start, stop = np.concatenate(([0], cut[:-1])), cut
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-    return codes, start, stop, np.searchsorted(ends, start, side="right")
+    return codes, start, stop, np.searchsorted(ends, start, side="right"), end[stop - 1]
 
 
 def _ngrams(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
@@ -205,12 +206,12 @@ def classify(model: Model, texts: list[str]) -> list[list[tuple[int, int, int, s
     Sentences too short to judge, or not surely of another language, go with the segment
     before them, the first ones with the one behind.
     """
-    codes, start, stop, owner = _sentences(texts)
+    codes, start, stop, owner, marked = _sentences(texts)
     grams, letters, words = _ngrams(codes, start, stop)
     logits = model.logits(grams, start.size)
     p = model.probabilities(logits)
     best, top = p.argmax(axis=1), p.max(axis=1)
-    whole = (letters >= MIN_LETTERS) & (words >= MIN_WORDS) & (top >= MIN_CONFIDENCE)
+    whole = (letters >= MIN_LETTERS) & (words >= MIN_WORDS) & (top >= MIN_CONFIDENCE) & (marked | (letters >= UNMARKED_LETTERS))
     begins = np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))[:-1]))
     out: list[list] = [[] for _ in texts]
     # only sentences with letters count; a text without any has no segment
