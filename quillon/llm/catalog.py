@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import encoding, language, leakage, lookalikes, near_duplicates, packing, repeated_lines, structure_split
+from quillon.llm import encoding, language, leakage, lookalikes, near_duplicates, packing, repeated_lines, scan_repair, structure_split
 from quillon.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,14 @@ def p4_normalised(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.normalise(_messages(spark, folder)).select("origin", "rec_id", "normalised").distinct()
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.Repair(table(spark, folder, "scan_pages")).found()
+
+
+def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.Repair(table(spark, folder, "scan_pages")).paragraphs()
+
+
 def _pieces(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
     chunks = table(spark, folder, "chunks").select("chunk_id", "text", "config_id")
     configs = table(spark, folder, "chunk_configs").select("config_id", "max_tokens", "overlap_tokens")
@@ -111,6 +119,8 @@ def queries() -> dict[str, Query]:
         "p3_restored": p3_restored,
         "p4_found": p4_found,
         "p4_normalised": p4_normalised,
+        "p5_found": p5_found,
+        "p5_paragraphs": p5_paragraphs,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
         "p7_found": p7_found,
