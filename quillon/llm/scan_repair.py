@@ -29,7 +29,8 @@ from quillon.runtime import materialize
 HYPHENS = "-‐\xad¬"
 _ENDS = ".!?…:"
 _DECORATION = r"[\s\-–—•·*\[\]()|/~=<>]*"
-_PAGE_NUMBER = re.compile(rf"{_DECORATION}(?:p(?:[áa]g|age)?\.?\s*)?(\d{{1,5}}|[ivxlc]+){_DECORATION}")
+_PAGE_NUMBER = re.compile(rf"{_DECORATION}(?:(?i:p[áa]ginas?|p[áa]gs?|pages?|pp?|seite|s|folha|hoja|fls?|f)\b\.?\s*)?(\d{{1,5}}|[ivxlc]+)(?:\s*(?:/|de|of|von|sur)\s*\d+)?{_DECORATION}")
+_CHAPTER = re.compile(r"\W*(?:\d+\s+)?\S{4,12}\s+(?:\d+|[IVXLC]+)\s*[–—:.-]\s+\S")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _NUMERAL = re.compile(r"\d+|[ivxlc]+")
 _LETTER_IN_NUMBER = re.compile(r"(?=(?:.*\d){2})[\dlIOoSBgZ]*[lIOoSBgZ][\dlIOoSBgZ]*")
@@ -41,8 +42,9 @@ CONFUSIONS = {
 }
 #: Letters that signs and digits are read for.
 SIGNS = {"0": "od", "1": "litf", "!": "lit", "|": "lit", "@": "a", "5": "s", "6": "béó", "9": "gq", "8": "b", "$": "s", "3": "e", "4": "a", "7": "t", "2": "z", "&": "e"}
-#: A word is taken as misread for one so many times as frequent.
-RATIO = 8
+#: A word is taken as misread for one so many times as frequent, if it stands at most so often
+#: as misreading explains: a few times, and this share of the other word's count.
+RATIO, FEW, SHARE = 8, 3, 0.02
 _MIXED = re.compile(r"[@!|$&\d]")
 
 _EDGE = "page_id {id}, source string, page int, line_no int, pos string, norm string, half int, key string, value int, roman boolean"
@@ -69,12 +71,13 @@ def page_number(line: str) -> tuple[int, bool] | None:
 
 def title_norm(line: str) -> str:
     """Words of a title line without accents, case, decoration and the page number at an end."""
-    words = [w for w in (t.strip("–—-•|*[](){}.,:;") for t in _plain(line).split()) if w]
+    words = [w for w in (t.strip("–—-•*[](){}.,:;") for t in _plain(line).strip(" |").split()) if w]
     if len(words) > 2 and _NUMERAL.fullmatch(words[-1]):
         words.pop()
     if len(words) > 2 and words[0].isdigit():
         words = words[1:]
-    return " ".join(words)
+    # a bar between words may be a misread letter, one at an end is decoration
+    return " ".join(words).strip(" |")
 
 
 def _halves(norm: str) -> list[tuple[int, str]]:
@@ -100,7 +103,7 @@ def distance(a: str, b: str, most: int) -> int:
 
 
 def _alike(a: str, b: str | None) -> bool:
-    return bool(b) and distance(a, b, most := 1 + len(b) // 20) <= most
+    return bool(b) and distance(a, b, most := 1 + len(b) // 40) <= most
 
 
 def _edge_lines(lines: list[str]) -> list[tuple[int, str]]:
@@ -157,7 +160,7 @@ def latest_pages(pages: DataFrame) -> DataFrame:
 def _furniture(lines: list[str], book: str | None, page: int | None, hits: list, number: dict) -> dict[int, str]:
     """Kind of every line of a page that is furniture.
 
-    ``hits``: (line, pages with this title, first of them, title as most often printed) by half
+    ``hits``: (line, lines with this title, first page of them, title as most often printed) by half
     title; ``number``: what the source's page numbers are like.
     """
     solid = [i for i, line in enumerate(lines) if line.strip()]
@@ -183,21 +186,24 @@ def _furniture(lines: list[str], book: str | None, page: int | None, hits: list,
     def is_header(i: int, bottom: bool) -> bool:
         line = lines[i]
         norm = title_norm(line)
-        if len(norm.split()) < 2 or len(line.strip()) > 110:
+        # no title looks like a piece of a sentence
+        if len(norm.split()) < 2 or len(line.strip()) > 110 or re.search(r"[,.;:?] ", line) or re.match(r"\W*[^\W\dA-ZÀ-ÖØ-Þl_]", line):
             return False
         if title and _alike(norm, title):
             return True
-        own = [h for h in found.get(i, ()) if h["pages"] >= 2 and _alike(norm, h["title"])]
-        if not own:
-            return False
-        if bottom:
-            return True
+        own = [h for h in found.get(i, ()) if h["lines"] >= 2 and _alike(norm, h["title"])]
         numbered = len(norm.split()) < len([w for w in line.split() if any(c.isalnum() for c in w)])
         shout = line.upper() == line
         behind = lines[solid[solid.index(i) + 1]].lstrip() if i != solid[-1] else ""
+        if not own:
+            # a chapter's title met only here: set as headers are, or in the middle of a sentence
+            return _CHAPTER.match(line) is not None and (numbered or shout or behind[:1].islower())
+        if bottom:
+            return True
         first_time = page is not None and all(h["first_page"] is not None and h["first_page"] >= page for h in own)
         # the chapter's own heading: the title is met for the first time and a sentence begins behind it
-        return numbered or shout or not first_time or not behind[:1].isupper()
+        twice = any(_alike(title_norm(lines[j]), h["title"]) for h in own for j in solid if j != i and len(lines[j]) <= 90)
+        return numbered or shout or twice or not first_time or not behind[:1].isupper()
 
     kinds: dict[int, str] = {}
     for edge, bottom in ((solid, False), (solid[::-1], True)):
@@ -222,10 +228,6 @@ def _words(line: str) -> list[str]:
     return out
 
 
-def _is_heading(lines: list[str], i: int, hits: set[int]) -> bool:
-    return i in hits
-
-
 _TOKENS = "page_id {id}, source string, page int, kind string, line_no int, word string, next_word string, next_line int, capital boolean"
 
 
@@ -283,13 +285,13 @@ def with_edges(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     edges = materialize(pages.select("page_id", "source", "page", "text").mapInArrow(_edges, _EDGE.format(id=kind)), "edges")
     # counted by spelling first, so that a hot title costs one row a task and spelling
-    spelled = edges.where("half >= 0").groupBy("source", "half", "key", "norm").agg(F.count_distinct("page_id").alias("n"), F.min("page").alias("first_page"))
-    titles = spelled.groupBy("source", "half", "key").agg(F.sum("n").alias("pages"), F.min("first_page").alias("first_page"), F.max_by("norm", F.struct("n", "norm")).alias("title"))
+    spelled = edges.where("half >= 0").groupBy("source", "half", "key", "norm").agg(F.count("*").alias("n"), F.min("page").alias("first_page"))
+    titles = spelled.groupBy("source", "half", "key").agg(F.sum("n").alias("lines"), F.min("first_page").alias("first_page"), F.max_by("norm", F.struct("n", "norm")).alias("title"))
     hits = (
         edges.where("half >= 0 AND pos <> 'I'")
-        .join(titles.where("pages >= 2"), ["source", "half", "key"])
+        .join(titles.where("lines >= 2"), ["source", "half", "key"])
         .groupBy("page_id")
-        .agg(F.collect_list(F.struct("line_no", "pages", "first_page", "title")).alias("hits"))
+        .agg(F.collect_list(F.struct("line_no", "lines", "first_page", "title")).alias("hits"))
     )
     votes = edges.where("value IS NOT NULL AND page IS NOT NULL AND NOT roman").groupBy("source", (F.col("value") - F.col("page")).alias("off")).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     numbers = votes.groupBy("source").agg(F.max_by(F.struct(F.col("off").alias("best"), F.col("n").cast("int").alias("votes"), "low", "high"), F.struct("n", -F.abs("off"))).alias("b")).select("source", "b.*")
@@ -320,7 +322,7 @@ def corrections(counts: DataFrame) -> DataFrame:
     """(word, printed, at) for the misread words of a vocabulary (word, n, capital).
 
     A word with a sign or digit among its letters needs a known word behind it, one of plain
-    letters a word ``RATIO`` times as frequent; an exclamation mark at the end counts as such
+    letters a word far more frequent; an exclamation mark at the end counts as such
     where the rest is a word.
     """
 
@@ -334,7 +336,7 @@ def corrections(counts: DataFrame) -> DataFrame:
 
     known = counts.select(F.col("word").alias("printed"), F.col("n").alias("m"))
     tried = counts.select("word", "n").mapInArrow(rows, "word string, n bigint, printed string, at int, sign boolean").join(known, "printed")
-    likely = tried.where(F.when(F.col("sign"), (F.col("m") >= 2) & (F.col("m") > F.col("n"))).otherwise((F.col("m") >= 4) & (F.col("m") >= RATIO * F.col("n"))))
+    likely = tried.where(F.when(F.col("sign"), (F.col("m") >= 2) & (F.col("m") > F.col("n"))).otherwise((F.col("m") >= 4) & (F.col("m") >= RATIO * F.col("n")) & (F.col("n") <= FEW + SHARE * F.col("m"))))
     best = likely.groupBy("word").agg(F.max_by(F.struct("printed", "at"), F.struct("m", "printed")).alias("b")).select("word", "b.*")
     ended = counts.where(F.col("word").endswith("!")).select("word", F.expr("substring(word, 1, length(word) - 1)").alias("printed"))
     real = ended.join(known.where("m >= 2"), "printed").select("word")
@@ -521,9 +523,8 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gap = False
             for k, (t, surely) in enumerate(out):
                 final = k == len(out) - 1
-                starts = surely or (k == 0 and t[:1].isupper() and False)
                 at.append(r)
-                rows.append((source, page, k, mend(t), starts, final and (glue == "" or t.rstrip()[-1:] not in _ENDS + "”»\")"), glue if final else " "))
+                rows.append((source, page, k, mend(t), surely, final and (glue == "" or t.rstrip()[-1:] not in _ENDS + "”»\")"), glue if final else " "))
         columns = list(zip(*rows)) if rows else [()] * 7
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.string()]
         yield pa.RecordBatch.from_arrays(
