@@ -302,18 +302,5 @@ def word_overlap(a: Column, b: Column, min_length: int = 4) -> Column:
     return jaccard(long_words(a, min_length), long_words(b, min_length))
 
 
-def faithfulness(answer: Column, context: Column, threshold: float = 0.08) -> Column:
-    """Share of the answer's sentences that its context supports."""
-    parts = plain_sentences(answer, 10)
-    around = long_words(context)
-
-    def supported(s: Column) -> Column:
-        own = long_words(s)
-        covered = F.size(F.array_intersect(own, around)) / F.size(own)
-        return (F.size(own) > 0) & ((jaccard(own, around) >= threshold) | (covered >= 0.35))
-
-    return F.when(F.size(parts) == 0, 0.0).otherwise(F.size(F.filter(parts, supported)) / F.size(parts))
-
-
 def confidence(score: Column, high: float = 0.65, low: float = 0.45) -> Column:
     return F.when(score >= high, "high").when(score >= low, "medium").otherwise("low")

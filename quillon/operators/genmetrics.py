@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillon.functions import text as tx
@@ -25,7 +26,11 @@ def common_length(a: list[str], b: list[str]) -> int:
     return len(a) - open_.bit_count()
 
 
-@F.pandas_udf("precision double, recall double, f1 double")
+# a type object, as the workers that import this module have no session to parse a string with
+_ROUGE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("precision", "recall", "f1")])
+
+
+@F.pandas_udf(_ROUGE)
 def rouge_l(answer: pd.Series, reference: pd.Series) -> pd.DataFrame:
     """Precision, recall and F1 of the longest common subsequence of words; nulls count as empty."""
     rows = []
@@ -56,6 +61,24 @@ def tfidf_similarity(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return pairs.select(key).distinct().join(sums, key, "left").select(key, F.coalesce(cosine, F.lit(0.0)).alias("similarity"))
 
 
+def with_faithfulness(rows: DataFrame, answer: str, context: str, threshold: float = 0.08, name: str = "faithfulness") -> DataFrame:
+    """The rows with the share of the answer's sentences that the context supports.
+
+    A sentence is supported if its long words overlap the context's enough, or enough of them
+    stand there; sentences without long words are not. 0 without sentences. The words of the
+    context are a column of their own, so that they are taken once a row.
+    """
+    base = rows.withColumns({"__parts": tx.plain_sentences(F.coalesce(answer, F.lit("")), 10), "__around": tx.long_words(F.coalesce(context, F.lit("")))})
+    base = base.withColumn("__own", F.transform("__parts", lambda s: tx.long_words(s)))
+
+    def supported(own: Column) -> Column:
+        covered = F.size(F.array_intersect(own, F.col("__around"))) / F.size(own)
+        return (F.size(own) > 0) & ((tx.jaccard(own, F.col("__around")) >= threshold) | (covered >= 0.35))
+
+    share = F.when(F.size("__parts") == 0, 0.0).otherwise(F.size(F.filter("__own", supported)) / F.size("__parts"))
+    return base.withColumn(name, share).drop("__parts", "__around", "__own")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, 0 where one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)

@@ -42,40 +42,39 @@ def lines(pages: DataFrame, key: str = "page_key") -> DataFrame:
 
 
 def sections(pages: DataFrame, key: str = "page_key") -> DataFrame:
-    """(source, section, page, unit, chapter, topic, level, breadcrumb, text) of every source.
+    """(source, document, section, page, unit, chapter, topic, level, breadcrumb, text) of every source.
 
     A section starts at each heading, its first line is the cleaned title; blank sections are
     dropped. Pages go in the order of page, then ``key``; its page is that of its first line.
     Null sources are one source; null texts have no lines.
     """
-    all_lines = lines(pages, key)
+    all_lines = lines(pages, key).withColumn("document", F.when(F.col("page").isNull(), F.col("key")))
     order = ["page", "key", "line_no"]
-    bucket = (F.coalesce(F.col("page"), F.lit(-1)) / STRETCH).cast("int")
-    marked = all_lines.withColumn("stretch", bucket)
+    marked = all_lines.withColumn("stretch", (F.coalesce(F.col("page"), F.lit(0)) / STRETCH).cast("int"))
     head = F.col("level") > 0
-    within = Window.partitionBy("source", "stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "document", "stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("n", F.sum(head.cast("int")).over(within))
-    totals = marked.groupBy("source", "stretch").agg(F.sum(head.cast("int")).alias("heads"))
-    before = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(F.col("source").alias("s"), F.col("stretch").alias("b"), F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("base"))
-    same = marked["source"].eqNullSafe(base["s"]) & (marked["stretch"] == base["b"])
-    numbered = marked.join(base, same).withColumn("section", F.col("n") + F.col("base")).drop("s", "b", "base", "n")
+    totals = marked.groupBy("source", "document", "stretch").agg(F.sum(head.cast("int")).alias("heads"))
+    before = Window.partitionBy("source", "document").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(F.col("source").alias("s"), F.col("document").alias("d"), F.col("stretch").alias("b"), F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("base"))
+    same = marked["source"].eqNullSafe(base["s"]) & marked["document"].eqNullSafe(base["d"]) & (marked["stretch"] == base["b"])
+    numbered = marked.join(base, same).withColumn("section", F.col("n") + F.col("base")).drop("s", "d", "b", "base", "n")
     body = F.when(head, F.col("title")).otherwise(F.col("line"))
-    grouped = numbered.groupBy("source", "section").agg(
+    grouped = numbered.groupBy("source", "document", "section").agg(
         F.max("level").alias("head_level"),
         F.max(F.when(head, F.col("title"))).alias("head"),
         F.min(F.struct(F.coalesce("page", F.lit(-1)).alias("o"), "page")).alias("p"),
         F.array_sort(F.collect_list(F.struct(F.coalesce("page", F.lit(-1)).alias("o"), "key", "line_no", body.alias("t")))).alias("parts"),
     )
     # only headings are left: one row each, far fewer than lines
-    state = Window.partitionBy("source").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
+    state = Window.partitionBy("source", "document").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda n: F.last(F.when(F.col("head_level") == n, F.struct("section", "head")), ignorenulls=True).over(state)
     full = grouped.select("*", last(1).alias("u"), last(2).alias("c"), last(3).alias("t3"))
     unit_at, chapter_at = F.coalesce("u.section", F.lit(-1)), F.coalesce("c.section", F.lit(-1))
     chapter = F.when(F.col("c.section") > unit_at, F.nullif("c.head", F.lit("")))
     topic = F.when((F.col("t3.section") > unit_at) & (F.col("t3.section") > chapter_at), F.nullif("t3.head", F.lit("")))
     out = full.select(
-        "source", F.col("section").cast("int").alias("section"), F.col("p.page").alias("page"), F.nullif("u.head", F.lit("")).alias("unit"), chapter.alias("chapter"), topic.alias("topic"),
+        "source", "document", F.col("section").cast("int").alias("section"), F.col("p.page").alias("page"), F.nullif("u.head", F.lit("")).alias("unit"), chapter.alias("chapter"), topic.alias("topic"),
         tx.strip(F.array_join(F.transform("parts", lambda x: x["t"]), "\n")).alias("text"),
     )
     level = F.when(F.col("topic").isNotNull(), 3).when(F.col("chapter").isNotNull(), 2).when(F.col("unit").isNotNull(), 1).otherwise(0)
@@ -94,13 +93,13 @@ def merge_tiny(sections_: DataFrame, min_tokens: int) -> DataFrame:
     large enough, so runs are cut there first and only runs of small sections are folded.
     """
     small = tx.count_tokens(F.col("text")) < min_tokens
-    w = Window.partitionBy("source").orderBy("section")
+    w = Window.partitionBy("source", "document").orderBy("section")
     # a section may join the one before only if that one alone is small or is itself a merged one
     marked = sections_.withColumn("__small", small)
     start = F.coalesce(~F.lag("__small").over(w), F.lit(True))
     runs = marked.withColumn("__run", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     fields = ["section", "page", "unit", "chapter", "topic", "level", "breadcrumb", "text"]
-    grouped = runs.groupBy("source", "__run").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("xs"))
+    grouped = runs.groupBy("source", "document", "__run").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("xs"))
     shape = "array<struct<" + ",".join(f"{f}:{sections_.schema[f].dataType.simpleString()}" for f in fields) + ">>"
 
     def join(acc, x):
@@ -110,4 +109,4 @@ def merge_tiny(sections_: DataFrame, min_tokens: int) -> DataFrame:
         return F.when(fold, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
 
     folded = F.aggregate("xs", F.array().cast(shape), lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(join(acc, x)))
-    return grouped.select("source", F.explode(folded).alias("s")).select("source", "s.*")
+    return grouped.select("source", "document", F.explode(folded).alias("s")).select("source", "document", "s.*")

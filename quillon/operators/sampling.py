@@ -32,27 +32,27 @@ def keyword_query(words: Column, breadcrumb: Column) -> Column:
     return F.when(F.size(words) == 0, "").when(F.coalesce(breadcrumb, F.lit("")) != "", placed).when(F.size(words) >= 2, related).otherwise(F.concat(F.lit("O que é "), F.get(words, F.lit(0)), F.lit("?")))
 
 
-def query_sentence(text: Column) -> Column:
-    """The most telling sentence of a text, null without one of 40 characters (30 when cleaned).
+def with_query_sentence(rows: DataFrame, text: str, name: str = "sentence") -> DataFrame:
+    """The rows with the most telling sentence of their text, null without one of 40 characters (30 when cleaned).
 
     Signs of a definition count three, each step from the middle sentence takes one off; of
     equal sentences the first.
     """
-    kept = F.filter(F.transform(F.split(tx.strip(text), r"(?<=[.!?])[\s\p{Z}]+"), tx.strip), lambda s: F.length(s) >= 40)
-    middle = F.floor(F.size(kept) / 2).cast("int")
+    kept = F.filter(F.transform(F.split(tx.strip(F.col(text)), r"(?<=[.!?])[\s\p{Z}]+"), tx.strip), lambda s: F.length(s) >= 40)
+    base = rows.withColumn("__s", kept).withColumn("__m", F.floor(F.size("__s") / 2).cast("int"))
     marked = lambda s: reduce(lambda acc, m: acc | F.contains(F.lower(s), F.lit(m)), tx.DEFINITION_MARKERS, F.lit(False))
-    scored = F.transform(kept, lambda s, i: F.struct((F.when(marked(s), 3).otherwise(0) - F.abs(i - middle)).alias("score"), (-i).alias("back"), s.alias("s")))
-    best = tx.strip(F.regexp_replace(F.array_max(scored)["s"], r"\[.*?\]|\(p\.\s*\d+\)", ""))
-    return F.when(F.length(best) >= 30, best)
+    scored = F.transform("__s", lambda s, i: F.struct((F.when(marked(s), 3).otherwise(0) - F.abs(i - F.col("__m"))).alias("score"), (-i).alias("back"), s.alias("s")))
+    best = base.withColumn("__b", tx.strip(F.regexp_replace(F.array_max(scored)["s"], r"\[.*?\]|\(p\.\s*\d+\)", "")))
+    return best.withColumn(name, F.when(F.length("__b") >= 30, F.col("__b"))).drop("__s", "__m", "__b")
 
 
 def synthetic_items(chunks: DataFrame, n: int, seed: int = 42, key: str = "chunk_id") -> DataFrame:
     """(key, query): sampled chunks with a query from their own text."""
     drawn = hash_sample(chunks.where(F.col("text").rlike(r"[^\s\p{Z}]")), key, n, seed)
     words = top_keywords(drawn, key, "text").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("kw"))
-    joined = drawn.join(words, key, "left")
+    joined = with_query_sentence(drawn.join(words, key, "left"), "text", "__q")
     fallback = keyword_query(F.coalesce("kw", F.array().cast("array<string>")), F.col("breadcrumb"))
-    return joined.select(key, F.coalesce(query_sentence(F.col("text")), fallback).alias("query")).where("query <> ''")
+    return joined.select(key, F.coalesce("__q", fallback).alias("query")).where("query <> ''")
 
 
 def chunk_groups(chunks: DataFrame, size: int, n: int, seed: int = 42, span: int = 6, key: str = "chunk_id") -> DataFrame:
