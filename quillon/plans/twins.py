@@ -273,5 +273,28 @@ def sql() -> dict[str, str]:
     place = lambda p: f"max(CASE WHEN i = least(n * {p} // 100, n - 1) THEN value END)"
     out["latency_percentiles"] = f"WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS largest, " + ", ".join(f"round({place(p)}, 6) AS p{p}" for p in (50, 95, 99)) + " FROM r GROUP BY event_type"
     out["event_pivot"] = "SELECT source, " + ", ".join(f"count(*) FILTER (config_id = {i}) AS n{i}" for i in range(1, 6)) + " FROM chunks GROUP BY source"
+    cut = lambda x, after: rf"list_filter(list_transform(string_split({x}, chr(30)), lambda s: {_strip('s')}), lambda s: {after})"
+    ended = rf"regexp_replace({_strip('x')}, '([.!?…]){_SPACE}+([{_UPPER}\"(])', '\1' || chr(30) || '\2', 'g')"
+    breaks = r"regexp_replace(text, '\n\n+', chr(30), 'g')"
+    out["text_parts"] = f"SELECT doc_id, len({cut(breaks, 's <> chr(0) AND s <> ' + chr(39) * 2)}) AS paragraphs, len({cut(ended.replace('x,', 'text,'), 's <> ' + chr(39) * 2)}) AS sentences FROM documents WHERE text IS NOT NULL"
+    told = rf"regexp_replace({_strip('text')}, '([.!?]){_SPACE}+', '\1' || chr(30), 'g')"
+    out["query_sentences"] = f"""WITH k AS (SELECT doc_id, {cut(told, 'length(s) >= 40')} AS s FROM documents), u AS (SELECT doc_id, len(s) // 2 AS m, unnest(s) AS x, unnest(range(len(s))) AS i FROM k),
+      r AS (SELECT doc_id, {_strip("regexp_replace(x, '" + r"\[.*?\]|\(p\.\s*\d+\)" + "', '', 'g')")} AS b, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN {_any("lower(x)", tx.DEFINITION_MARKERS)} THEN 3 ELSE 0 END - abs(i - m) DESC, i) AS n FROM u)
+      SELECT d.doc_id, CASE WHEN length(b) >= 30 THEN b END AS sentence FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND n = 1"""
+    clean = "nfc_normalize(text)"
+    for pattern in tx.BOILERPLATE:
+        clean = f"regexp_replace({clean}, '{pattern.replace('u)', ')', 1)}', '', 'g')"
+    clean = rf"regexp_replace({clean}, '([\p{{L}}\p{{N}}_])-{_SPACE}*\n{_SPACE}*([\p{{L}}\p{{N}}_])', '\1\2', 'g')"
+    clean = rf"regexp_replace({clean}, '([^\n])\n([a-záéíóúàâêôãõç0-9,;:\"''])', '\1 \2', 'g')"
+    clean = rf"regexp_replace(regexp_replace({clean}, '(?m)^{_SPACE}*\d{{1,4}}{_SPACE}*$', '', 'g'), '(?m)^(?:[{_UPPER}]|{_SPACE}){{5,60}}$', '', 'g')"
+    clean = _strip(rf"regexp_replace(regexp_replace({clean}, '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+    out["page_texts"] = f"SELECT doc_id, {clean} AS clean FROM documents"
+    out["embedded_messages"] = "SELECT request_id, sha256('hashed-32::' || message) AS text_sha256, CASE WHEN message IS NOT NULL THEN 32 END AS dimension FROM chat_requests"
     out["value_growth"] = "SELECT user_id, round(min_by(value, event_id), 6) AS first, round(max_by(value, event_id), 6) AS last, round(max_by(value, event_id) - min_by(value, event_id), 6) AS growth FROM events GROUP BY user_id"
+    # counts and ranks in the width that the queries give them
+    narrow = dict.fromkeys([f"stage_{x}" for x in _STAGES[:-1]] + ["retrieve", "pair_rerank", "top_keywords", "context_pack"], ("rank", "INT"))
+    narrow |= {"failure_stages": ("first_rank", "INT"), "chunk_stats": ("tokens", "BIGINT"), "history_trim": ("turn", "INT")}
+    for name, (column, kind) in narrow.items():
+        out[name] = f"SELECT * REPLACE (CAST({column} AS {kind}) AS {column}) FROM ({out[name]})"
+    out["follow_ups"] = f"SELECT * REPLACE (CAST(turn AS INT) AS turn, CAST(earlier AS INT) AS earlier) FROM ({out['follow_ups']})"
     return out

@@ -74,7 +74,7 @@ def embed(texts: DataFrame, provider: EmbeddingProvider, text: str = "text", cac
 
     Distinct texts are computed once. Null texts have a null vector.
     """
-    keyed = texts.withColumn("text_sha256", tx.embedding_key(F.lit(provider.name), F.col(text)))
+    keyed = texts.withColumn("text_sha256", F.when(F.col(text).isNotNull(), tx.embedding_key(F.lit(provider.name), F.col(text))))
     wanted = keyed.where(F.col(text).isNotNull()).select("text_sha256", F.col(text).alias("t")).dropDuplicates(["text_sha256"])
     known = cache.select("text_sha256", "embedding").dropDuplicates(["text_sha256"]) if cache is not None else None
     missing = wanted.join(known.select("text_sha256"), "text_sha256", "left_anti") if known is not None else wanted
