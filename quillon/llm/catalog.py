@@ -158,6 +158,23 @@ SELECT DISTINCT target_id, doc_id FROM documents, pack_targets
 WHERE doc_id IS NOT NULL AND regexp_matches(text, '[^\s\p{Z}]') AND octet_length(encode(text)) + 1 > capacity
 """
 
+_P2_FOUND = r"""
+WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL),
+w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM c),
+s AS MATERIALIZED (SELECT DISTINCT chunk_id, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id),
+o AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM o JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE 8 * o >= 3 * (x.n + y.n)
+"""
+
+_P8_FOUND = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(nfc_normalize(text))), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT item_id, regexp_extract_all(strip_accents(lower(nfc_normalize(x))), '[\p{L}\p{N}]+') AS w FROM (SELECT item_id, unnest(relevant_texts) AS x FROM eval_items) WHERE x IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+pg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM p))
+SELECT DISTINCT item_id, doc_id FROM pg JOIN dg USING (g)
+"""
+
 _P1_LINES = r"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
@@ -172,7 +189,9 @@ found AS (SELECT DISTINCT doc_id, CAST(line_no AS INT) AS line_no FROM named JOI
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _P2_FOUND,
         "p6_found": _P6_FOUND,
+        "p8_found": _P8_FOUND,
         "p7_found": _P7_FOUND,
         "p4_found": _P4_FOUND,
         "p1_found": _P1_LINES + "SELECT doc_id, line_no FROM found",
