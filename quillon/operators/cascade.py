@@ -14,7 +14,11 @@ from pyspark.sql.window import Window
 from quillon.config import RetrievalConfig
 from quillon.functions import text as tx
 
-_BY_QUERY = Window.partitionBy("qid")
+
+def _by_query():
+    return Window.partitionBy("qid")
+
+
 #: Fixed values of the ranking function.
 BM25_K1, BM25_B = 1.5, 0.75
 #: Fixed values of the gap filter: what is kept below a high and a low best score, and the least gap.
@@ -27,15 +31,15 @@ def absolute_filter(candidates: DataFrame, min_score: float) -> DataFrame:
 
 def adaptive_filter(candidates: DataFrame, min_score: float, sigma: float) -> DataFrame:
     """Scores no further below the best than sigma deviations of the query's candidates."""
-    limit = F.greatest(F.lit(min_score), F.max("score").over(_BY_QUERY) - sigma * F.stddev_pop("score").over(_BY_QUERY))
+    limit = F.greatest(F.lit(min_score), F.max("score").over(_by_query()) - sigma * F.stddev_pop("score").over(_by_query()))
     return candidates.withColumn("__limit", limit).where("score >= __limit").drop("__limit")
 
 
 def gap_filter(candidates: DataFrame, high: float, low: float) -> DataFrame:
     """Scores near the best; where the best is weak it must stand out from the mean of the others."""
-    best = F.max("score").over(_BY_QUERY)
+    best = F.max("score").over(_by_query())
     marked = candidates.withColumn("__best", best)
-    others = F.coalesce(F.avg(F.when(F.col("score") != F.col("__best"), F.col("score"))).over(_BY_QUERY), F.lit(0.0))
+    others = F.coalesce(F.avg(F.when(F.col("score") != F.col("__best"), F.col("score"))).over(_by_query()), F.lit(0.0))
     marked = marked.withColumn("__others", others)
     keep = (
         F.when(F.col("__best") >= high, F.col("score") >= F.col("__best") - GAP_HIGH)
@@ -51,9 +55,9 @@ def keyword_filter(candidates: DataFrame, query_tokens: str = "qtok", row_tokens
     return candidates.where((F.size(q) == 0) | F.coalesce(F.arrays_overlap(q, F.col(row_tokens)), F.lit(False)))
 
 
-def min_max(value: Column, by=_BY_QUERY) -> Column:
+def min_max(value: Column) -> Column:
     """Values scaled to 0..1 within a query; all 0 where they are equal."""
-    low, high = F.min(value).over(by), F.max(value).over(by)
+    low, high = F.min(value).over(_by_query()), F.max(value).over(_by_query())
     return F.when(high - low < 1e-9, 0.0).otherwise((value - low) / (high - low))
 
 
@@ -67,7 +71,7 @@ def bm25(candidates: DataFrame, query_tokens: str = "qtok", row_tokens: str = "c
     empty = F.array().cast("array<string>")
     q, c = F.coalesce(F.col(query_tokens), empty), F.coalesce(F.col(row_tokens), empty)
     base = candidates.withColumns({"__q": q, "__c": c})
-    base = base.withColumns({"__dl": F.size("__c"), "__n": F.count("*").over(_BY_QUERY)}).withColumn("__avg", F.avg("__dl").over(_BY_QUERY))
+    base = base.withColumns({"__dl": F.size("__c"), "__n": F.count("*").over(_by_query())}).withColumn("__avg", F.avg("__dl").over(_by_query()))
     exploded = base.select("qid", "cid", "__c", "__dl", "__n", "__avg", F.explode("__q").alias("tok"))
     counted = exploded.groupBy("qid", "cid", "tok").agg(
         F.count("*").alias("times"), F.first(F.expr("size(filter(__c, x -> x = tok))")).alias("tf"), F.first("__dl").alias("dl"), F.first("__n").alias("n"), F.first("__avg").alias("avgdl")
@@ -96,7 +100,7 @@ def hybrid_rerank(candidates: DataFrame, lexical_weight: float, query_tokens: st
         return rerank(candidates, F.col("score")).withColumn("bm25", F.lit(0.0))
     scored = bm25(candidates, query_tokens, row_tokens)
     mixed = (1 - lexical_weight) * min_max(F.col("score")) + lexical_weight * min_max(F.col("bm25"))
-    plain = (F.count("*").over(_BY_QUERY) < 3) | (F.size(F.coalesce(F.col(query_tokens), F.array().cast("array<string>"))) == 0)
+    plain = (F.count("*").over(_by_query()) < 3) | (F.size(F.coalesce(F.col(query_tokens), F.array().cast("array<string>"))) == 0)
     return rerank(scored.withColumn("__new", F.when(plain, F.col("score")).otherwise(mixed)), F.col("__new")).drop("__new")
 
 
