@@ -79,23 +79,23 @@ def guardrail(queries: DataFrame, results: DataFrame) -> DataFrame:
     return queries.select("qid").distinct().join(counts, "qid", "left").select("qid", n.alias("retrieved"), (n == 0).alias("passed"))
 
 
-def failure_stages(queries: DataFrame, trace: DataFrame, qrels: DataFrame) -> DataFrame:
+def failure_stages(queries: DataFrame, trace: DataFrame, qrels: DataFrame, stages: tuple[str, ...]) -> DataFrame:
     """(qid, hit, first_rank, failure_stage): where a query lost its relevant rows.
 
-    The stage is the first one without them after one that had them, "semantic" where none
-    ever had them, null for a hit and for queries without relevant rows.
+    ``stages`` are the names of the trace's stages in order. The stage is the first one without
+    relevant rows after one that had them, the first of all where none ever had them, null for
+    a hit and for queries without relevant rows.
     """
     wanted = relevant(qrels)
-    last = trace.agg(F.max("stage_no").alias("last_no"))
+    last = len(stages) - 1
     seen = trace.join(wanted.select("qid", "cid"), ["qid", "cid"], "left_semi").groupBy("qid", "stage_no").agg(F.min("rank").alias("rank"))
-    names = trace.select("stage_no", "stage").distinct()
     asked = queries.select("qid").distinct().join(wanted.select("qid").distinct().withColumn("has", F.lit(True)), "qid", "left")
     spans = seen.groupBy("qid").agg(F.sort_array(F.collect_set("stage_no")).alias("at"), F.min(F.when(F.col("stage_no") == 0, F.col("rank"))).alias("first_rank"))
-    marked = asked.join(spans, "qid", "left").join(F.broadcast(last))
-    gone = F.get(F.filter(F.sequence(F.element_at("at", 1), F.col("last_no")), lambda s: ~F.array_contains("at", s)), F.lit(0))
-    hit = F.coalesce(F.array_contains("at", F.col("last_no")), F.lit(False))
+    gone = F.get(F.filter(F.sequence(F.element_at("at", 1), F.lit(last)), lambda s: ~F.array_contains("at", s)), F.lit(0))
+    hit = F.coalesce(F.array_contains("at", F.lit(last)), F.lit(False))
     number = F.when(F.col("has").isNull() | hit, None).when(F.col("at").isNull(), 0).otherwise(gone)
-    return marked.select("qid", hit.alias("hit"), "first_rank", number.alias("stage_no")).join(F.broadcast(names), "stage_no", "left").select("qid", "hit", "first_rank", F.col("stage").alias("failure_stage"))
+    names = F.array(*[F.lit(s) for s in stages])
+    return asked.join(spans, "qid", "left").select("qid", hit.alias("hit"), "first_rank", F.get(names, number).alias("failure_stage"))
 
 
 def neighbour_qrels(rows: DataFrame, row_id: str, source: str, order: str) -> DataFrame:

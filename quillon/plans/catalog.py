@@ -167,7 +167,7 @@ def guardrail(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def failure_stages(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.failure_stages(_queries(spark, folder), cascade.trace(_pool(spark, folder), CONFIG), _qrels(spark, folder).where("relevance = 3"))
+    return metrics.failure_stages(_queries(spark, folder), cascade.trace(_pool(spark, folder), CONFIG), _qrels(spark, folder).where("relevance = 3"), cascade.STAGES)
 
 
 @query

@@ -50,7 +50,7 @@ def test_failure_stage(spark):
     seen = {1: [0, 1, 2], 2: [0, 1], 3: [0], 4: []}
     rows = [(s, stages[s], q, 10 if s in at else 11, 1) for q, at in seen.items() for s in range(3)]
     trace = spark.createDataFrame(rows, "stage_no int, stage string, qid int, cid int, rank int")
-    got = {r.qid: (r.hit, r.failure_stage) for r in metrics.failure_stages(queries, trace, qrels).collect()}
+    got = {r.qid: (r.hit, r.failure_stage) for r in metrics.failure_stages(queries, trace, qrels, tuple(stages)).collect()}
     assert got == {1: (True, None), 2: (False, "final"), 3: (False, "absolute"), 4: (False, "semantic"), 5: (False, None)}
 
 
