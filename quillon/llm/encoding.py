@@ -31,7 +31,7 @@ DICTIONARY_BYTES = 48 << 10
 #: The first is what is expected where whole byte sequences fit, which hardly happens by chance,
 #: so it has a bonus; the second fits many words by chance. Each further step costs a byte.
 UTF8_COST, BYTE_COST, NEXT_COST = -2, 3, 1
-#: Extra bytes for a character that the dictionaries' languages do not use.
+#: Extra bytes for each character that a step brings in and the dictionaries' languages do not use.
 STRANGE_COST = 5
 #: Extra bytes for a word built as none is: a capital inside small letters, a sign between letters.
 ODD_COST = 4
@@ -39,14 +39,16 @@ _LEVEL = 12
 _ODD = re.compile(r"(?<=[^\W\d_])[À-ÖØ-Þ](?=[a-zß-öø-ÿ])|[a-zß-öø-ÿ][À-ÖØ-Þ]|(?<=[^\W\d_])[^\w\s\x00-\x7f’‘–—…“”«»](?=[^\W\d_])")
 LOST = "�"
 #: Encodings that text is read with by mistake, and the ones it was written in.
-READ_AS = ("cp1252", "cp850", "cp437", "mac_roman", "cp1250", "cp1251")
+READ_AS = ("cp1252", "cp850", "cp437", "mac_roman", "cp1250")
 _ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñßœÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑŒ"
 #: What western text holds beside ASCII.
-_EXPECTED = frozenset(_ACCENTED + "æøåÆØÅÿ¿¡«»“”„‘’‚–—…ªº°§©®·•²³¹½¼¾µ×€£  ")
+_EXPECTED = frozenset(_ACCENTED + "æøåÆØÅÿ¿¡«»“”„‘’‚–—…ªº°§©®·•²³¹½¼¾µ×€£\xa0\u202f")
 #: Words of usual shape: all capitals, or small letters behind at most one plain capital.
 _USUAL = re.compile(r"""[^\w\s]*(?:[A-Z]?[a-záàâãäéèêëíìîïóòôõöúùûüçñßœ'’\-]*|[A-ZÁÀÂÃÄÉÈÊËÍÓÔÕÖÚÜÇÑ'’\-]+)[.,;:!?…”“"»)\]\d’']*""")
 _ODD_PUNCTUATION = re.compile("[^\\x00-\\x7f“”„‘’–—…«»¿¡áàâãäéèêëíìîïóòôõöúùûüçñßœÁÀÂÃÄÉÈÊËÍÓÔÕÖÚÜÇÑ]")
 
+_WORD = re.compile(r"[^ \t\n\r\f\v]+")
+
 Step = Callable[[str], str]
 
 
@@ -136,6 +138,11 @@ def train_dictionaries(samples: dict[str, list[str]]) -> dict[str, bytes]:
     return out or {"any": _ACCENTED.encode() * 4}
 
 
+def _split(text: str) -> list[str]:
+    """Words between plain white space; a no-break space or a next-line sign may be half of a garbled letter."""
+    return _WORD.findall(text) if "\xa0" in text or "\x85" in text else text.split()
+
+
 def suspicious_shape(word: str) -> bool:
     """Whether a word is not plainly built: only such words are compared under the chains."""
     return not word.isascii() and (_ODD_PUNCTUATION.search(word) is not None or not _USUAL.fullmatch(word))
@@ -146,13 +153,24 @@ class Restorer:
 
     def __init__(self, dictionaries: dict[str, bytes], remember: int = 200_000):
         self._zip = {lang: zstandard.ZstdCompressor(level=_LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for lang, d in dictionaries.items()}
+        self._content = {lang: d.decode("utf-8", "ignore") for lang, d in dictionaries.items()}
+        self._known: dict[str, dict[int, list[str]]] = {}
         self._remember = remember
         self._words: dict[str, bool] = {}
         self._costs: dict[tuple[str, str], int] = {}
 
+    def _vocabulary(self, lang: str) -> dict[int, list[str]]:
+        """Words with accents that stand whole in the dictionary, by length."""
+        if lang not in self._known:
+            by: dict[int, list[str]] = {}
+            for w in set(re.findall(r"(?<=\s)[^\W\d_]+(?=[\s.,;:])", self._content[lang].lower())):
+                if not w.isascii():
+                    by.setdefault(len(w), []).append(w)
+            self._known[lang] = by
+        return self._known[lang]
+
     def _size(self, lang: str, text: str) -> int:
-        strange = sum(c not in _EXPECTED for c in text if c >= "\x80") if not text.isascii() else 0
-        return len(self._zip[lang].compress(text.encode("utf-8", "surrogatepass"))) + STRANGE_COST * strange
+        return len(self._zip[lang].compress(text.encode("utf-8", "surrogatepass")))
 
     def _cost(self, lang: str, word: str) -> int:
         key = (lang, word)
@@ -162,14 +180,18 @@ class Restorer:
             n = self._costs[key] = self._size(lang, f" {word} ") + ODD_COST * bool(_ODD.search(word))
         return n
 
-    def _run(self, steps: tuple[Step, ...], cost: int, word: str, lang: str) -> str:
-        """The word behind the steps, or as it was where that is no shorter."""
+    def _run(self, steps: tuple[Step, ...], cost: int, word: str, lang: str, chosen: bool = False) -> str:
+        """The word behind the steps, or as it was where that is no shorter.
+
+        Where the chain is ``chosen`` for the value already, as short is enough.
+        """
         out = word
         for step in steps:
             out = step(out)
         if out == word or any(unicodedata.category(c) == "Cc" for c in out):
             return word
-        return out if self._cost(lang, out) + min(cost, 0) < self._cost(lang, word) else word
+        gain = self._cost(lang, word) - self._cost(lang, out) - STRANGE_COST * _brought_in(word, out) - min(cost, 0)
+        return out if gain > (-1 if chosen and not _ODD.search(out) else 0) else word
 
     def _suspect(self, word: str) -> bool:
         if (known := self._words.get(word)) is None:
@@ -180,7 +202,14 @@ class Restorer:
         return known
 
     def _mend_lost(self, word: str, lang: str) -> str:
-        """Fill replacement characters from the dictionary, if one filling is clearly the shortest."""
+        """Fill replacement characters: by the dictionary's word that fits, else by the filling that is clearly the shortest."""
+        core = word.strip("".join(c for c in word if not c.isalnum() and c != LOST))
+        if core.strip(LOST):
+            fits = re.compile("".join(f"[{_ACCENTED}–]" if c == LOST else re.escape(c) for c in core.lower()))
+            known = [w for w in self._vocabulary(lang).get(len(core), ()) if fits.fullmatch(w)]
+            if known:
+                best = min(known, key=lambda w: (self._cost(lang, w), w))
+                return word.replace(core, "".join(b if c == LOST else c for b, c in zip(best, core)), 1)
         beam = [word]
         while LOST in beam[0]:
             grown = {w.replace(LOST, c, 1) for w in beam for c in _ACCENTED + "–…“”"}
@@ -192,29 +221,38 @@ class Restorer:
         """(restored, chain); the chain is None where the value holds nothing garbled."""
         if not text or text.isascii():
             return text, None
-        words = {w for w in text.split() if not w.isascii()}
+        words = {w for w in _split(text) if not w.isascii()}
         if not any(self._suspect(w) for w in words):
             return text, None
         # nothing lost counts for the language: the shortest description of the value as it stands
         lang = min(self._zip, key=lambda x: (self._size(x, text), x))
-        odd = {w for w in words if _ODD.search(w)}
+        odd, way = {w for w in words if _ODD.search(w)}, None
         best, name, length = text, None, self._size(lang, text) + ODD_COST * len(odd)
         for chain, steps, cost in chains():
             changed = {w: new for w in words if (new := self._run(steps, cost, w, lang)) != w}
             if changed:
                 candidate = _replace(text, changed)
                 still = sum(1 for w in words if (_ODD.search(changed[w]) if w in changed else w in odd))
-                total = self._size(lang, candidate) + ODD_COST * still + cost
+                strange = sum(_brought_in(w, new) for w, new in changed.items())
+                total = self._size(lang, candidate) + ODD_COST * still + STRANGE_COST * strange + cost
                 if total < length:
-                    best, name, length = candidate, chain, total
+                    best, name, length, way = candidate, chain, total, (steps, cost)
+        if way:
+            best = _replace(text, {w: self._run(*way, w, lang, chosen=True) for w in words})
         if LOST in best:
-            lost = {w: new for w in best.split() if LOST in w and (new := self._mend_lost(w, lang)) != w}
+            lost = {w: new for w in _split(best) if LOST in w and (new := self._mend_lost(w, lang)) != w}
             best, name = _replace(best, lost), " > ".join(filter(None, (name, "lost bytes")))
         return best, name
 
 
+def _brought_in(word: str, out: str) -> int:
+    """How many more characters of no expected language there are behind a step."""
+    count = lambda t: sum(c >= "\x80" and c not in _EXPECTED for c in t)
+    return max(0, count(out) - count(word))
+
+
 def _replace(text: str, changed: dict[str, str]) -> str:
-    return re.sub(r"\S+", lambda m: changed.get(m[0], m[0]), text) if changed else text
+    return _WORD.sub(lambda m: changed.get(m[0], m[0]), text) if changed else text
 
 
 def fit_dictionaries(docs: DataFrame, text: str = "text", source: str = "source", label: str = "lang") -> dict[str, bytes]:
@@ -256,8 +294,9 @@ def restore_encoding(docs: DataFrame, dictionaries: dict[str, bytes], fields: tu
     """Every row with its fields as originally written and a column ``<field>_chain`` for each.
 
     The chain names how the value had been read; it is null where nothing was changed. All
-    other columns stay as they are.
+    other columns stay as they are; columns of the added names are replaced.
     """
+    docs = docs.drop(*[f"{f}_chain" for f in fields])
     schema = T.StructType(list(docs.schema.fields))
     for f in fields:
         schema = schema.add(f"{f}_chain", "string")
