@@ -33,17 +33,22 @@ def session(app: str = "quillon", master: str | None = None, **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local runs and tests) a folder of our own is made and set.
+    Only where that is unset (local runs and tests) a folder of our own is made, one for each
+    application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder(spark.sparkContext.applicationId)
     return folder
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="quillon-")
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -72,3 +77,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of the folder; the first call of an application also ships this package."""
     _ship(spark.sparkContext.applicationId)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+def clean_shared(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` wrote; for the end of an application, when no result is read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillon")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
