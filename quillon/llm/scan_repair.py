@@ -30,9 +30,10 @@ HYPHENS = "-‐\xad¬"
 _ENDS = ".!?…:"
 _DECORATION = r"[\s\-–—•·*\[\]()|/~=<>]*"
 _PAGE_NUMBER = re.compile(rf"{_DECORATION}(?:(?i:p[áa]ginas?|p[áa]gs?|pages?|pp?|seite|s|folha|hoja|fls?|f)\b\.?\s*)?(\d{{1,5}}|[ivxlc]+)(?:\s*(?:/|de|of|von|sur)\s*\d+)?{_DECORATION}")
+_FIRST_NUMBER = re.compile(r"^(?:\d+|[ivxlc]+)(?:\s{2,}|\s*[|•·–—-]\s+)")
+_LAST_NUMBER = re.compile(r"(?:\s{2,}|\s*[|•·]\s*)(?:\d+|[ivxlc]+)$")
 _CHAPTER = re.compile(r"\W*(?:\d+\s+)?\S{4,12}\s+(?:\d+|[IVXLC]+)\s*[–—:.-]\s+\S")
 _ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
-_NUMERAL = re.compile(r"\d+|[ivxlc]+")
 _LETTER_IN_NUMBER = re.compile(r"(?=(?:.*\d){2})[\dlIOoSBgZ]*[lIOoSBgZ][\dlIOoSBgZ]*")
 _OPENING, _CLOSING = "\"“”„«»‘’'([{¿¡–—-", "\"“”«»‘’')]}.,;:…?–—"
 #: What is printed and what character recognition takes it for.
@@ -45,7 +46,8 @@ SIGNS = {"0": "od", "1": "litf", "!": "lit", "|": "lit", "@": "a", "5": "s", "6"
 #: A word is taken as misread for one so many times as frequent, if it stands at most so often
 #: as misreading explains: a few times, and this share of the other word's count.
 RATIO, FEW, SHARE = 8, 3, 0.02
-_MIXED = re.compile(r"[@!|$&\d]")
+#: Share of a source's pages with a repeated title at an edge from which it has running titles.
+RUNNING = 0.45
 
 _EDGE = "page_id {id}, source string, page int, line_no int, pos string, norm string, half int, key string, value int, roman boolean"
 
@@ -69,13 +71,14 @@ def page_number(line: str) -> tuple[int, bool] | None:
     return (int(m[1]), False) if m[1].isdigit() else (_roman(m[1]), True)
 
 
+def without_number(line: str) -> str:
+    """A title line without the page number that stands apart at an end."""
+    return _LAST_NUMBER.sub("", _FIRST_NUMBER.sub("", line.strip())).strip()
+
+
 def title_norm(line: str) -> str:
     """Words of a title line without accents, case, decoration and the page number at an end."""
-    words = [w for w in (t.strip("–—-•*[](){}.,:;") for t in _plain(line).strip(" |").split()) if w]
-    if len(words) > 2 and _NUMERAL.fullmatch(words[-1]):
-        words.pop()
-    if len(words) > 2 and words[0].isdigit():
-        words = words[1:]
+    words = [w for w in (t.strip("–—-•*[](){}.,:;") for t in _plain(without_number(line)).split()) if w]
     # a bar between words may be a misread letter, one at an end is decoration
     return " ".join(words).strip(" |")
 
@@ -157,11 +160,11 @@ def latest_pages(pages: DataFrame) -> DataFrame:
     return kept.groupBy("page_id").agg(newest).select("page_id", "p.*")
 
 
-def _furniture(lines: list[str], book: str | None, page: int | None, hits: list, number: dict) -> dict[int, str]:
+def _furniture(lines: list[str], book: str | None, page: int | None, hits: list, style: dict) -> dict[int, str]:
     """Kind of every line of a page that is furniture.
 
-    ``hits``: (line, lines with this title, first page of them, title as most often printed) by half
-    title; ``number``: what the source's page numbers are like.
+    ``hits``: (line, title as most often printed) by half title; ``style``: what the source's
+    page numbers are like, and whether its running titles stand at the bottom (null: it has none).
     """
     solid = [i for i, line in enumerate(lines) if line.strip()]
     if not solid:
@@ -177,33 +180,21 @@ def _furniture(lines: list[str], book: str | None, page: int | None, hits: list,
             return False
         value, roman = parsed
         if page is None:
-            low, high = number.get("low"), number.get("high")
+            low, high = style.get("low"), style.get("high")
             return roman or (low is not None and low - 40 <= value <= high + 40)
-        if number.get("best") is not None and number["votes"] >= 2 and not roman:
-            return value - page == number["best"]
+        if style.get("best") is not None and style["votes"] >= 2 and not roman:
+            return value - page == style["best"]
         return roman or (value < 1000 and 0 <= value - page <= 40)
 
-    def is_header(i: int, bottom: bool) -> bool:
-        line = lines[i]
-        norm = title_norm(line)
-        # no title looks like a piece of a sentence
-        if len(norm.split()) < 2 or len(line.strip()) > 110 or re.search(r"[,.;:?] ", line) or re.match(r"\W*[^\W\dA-ZÀ-ÖØ-Þl_]", line):
+    def is_header(i: int) -> bool:
+        bare = without_number(lines[i])
+        norm = title_norm(lines[i])
+        # no title looks like a piece of a sentence; a small l may stand for any capital
+        if len(norm.split()) < 2 or len(bare) > 100 or re.search(r"[,.;:?] ", bare) or re.match(r"[^\W\dA-ZÀ-ÖØ-Þl_]", bare.lstrip("(“\"'¿¡«–— ")):
             return False
         if title and _alike(norm, title):
             return True
-        own = [h for h in found.get(i, ()) if h["lines"] >= 2 and _alike(norm, h["title"])]
-        numbered = len(norm.split()) < len([w for w in line.split() if any(c.isalnum() for c in w)])
-        shout = line.upper() == line
-        behind = lines[solid[solid.index(i) + 1]].lstrip() if i != solid[-1] else ""
-        if not own:
-            # a chapter's title met only here: set as headers are, or in the middle of a sentence
-            return _CHAPTER.match(line) is not None and (numbered or shout or behind[:1].islower())
-        if bottom:
-            return True
-        first_time = page is not None and all(h["first_page"] is not None and h["first_page"] >= page for h in own)
-        # the chapter's own heading: the title is met for the first time and a sentence begins behind it
-        twice = any(_alike(title_norm(lines[j]), h["title"]) for h in own for j in solid if j != i and len(lines[j]) <= 90)
-        return numbered or shout or twice or not first_time or not behind[:1].isupper()
+        return any(_alike(norm, h["title"]) for h in found.get(i, ())) or _CHAPTER.match(bare) is not None
 
     kinds: dict[int, str] = {}
     for edge, bottom in ((solid, False), (solid[::-1], True)):
@@ -212,7 +203,7 @@ def _furniture(lines: list[str], book: str | None, page: int | None, hits: list,
                 continue
             if is_number(i) and "pagenum" not in (kinds.get(j) for j in edge[:k]):
                 kinds[i] = "pagenum"
-            elif is_header(i, bottom) and "header" not in (kinds.get(j) for j in edge[:k]):
+            elif bottom == style.get("bottom") and is_header(i) and "header" not in (kinds.get(j) for j in edge[:k]):
                 kinds[i] = "header"
             else:
                 break
@@ -239,8 +230,8 @@ def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for r, text in enumerate(get["text"]):
             lines = text.split("\n")
-            number = {"best": get["best"][r], "votes": get["votes"][r], "low": get["low"][r], "high": get["high"][r]}
-            kinds = _furniture(lines, get["book_title"][r] or get["book"][r], get["page"][r], get["hits"][r] or [], number)
+            style = {k: get[k][r] for k in ("best", "votes", "low", "high", "bottom")}
+            kinds = _furniture(lines, get["book_title"][r] or get["book"][r], get["page"][r], get["hits"][r] or [], style)
 
             def add(kind: str, i: int, word: str | None = None, after: str | None = None, after_line: int | None = None, capital: bool = False, r: int = r) -> None:
                 at.append(r)
@@ -255,7 +246,8 @@ def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = _words(lines[i])
                 if k == 0 and words:
                     add("first", i, words[0])
-                broken = len(raw) > 1 and raw[-1] in HYPHENS and raw[-2].isalpha()
+                # the letter before the hyphen may be misread itself, a number's range is no word
+                broken = len(raw) > 1 and raw[-1] in HYPHENS and (raw[-2].isalnum() or raw[-2] in SIGNS) and any(c.isalpha() for c in raw.split()[-1])
                 begin, stop = 1 if skip_first else 0, len(words)
                 skip_first = False
                 if broken:
@@ -285,18 +277,21 @@ def with_edges(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     edges = materialize(pages.select("page_id", "source", "page", "text").mapInArrow(_edges, _EDGE.format(id=kind)), "edges")
     # counted by spelling first, so that a hot title costs one row a task and spelling
-    spelled = edges.where("half >= 0").groupBy("source", "half", "key", "norm").agg(F.count("*").alias("n"), F.min("page").alias("first_page"))
-    titles = spelled.groupBy("source", "half", "key").agg(F.sum("n").alias("lines"), F.min("first_page").alias("first_page"), F.max_by("norm", F.struct("n", "norm")).alias("title"))
-    hits = (
-        edges.where("half >= 0 AND pos <> 'I'")
-        .join(titles.where("lines >= 2"), ["source", "half", "key"])
-        .groupBy("page_id")
-        .agg(F.collect_list(F.struct("line_no", "lines", "first_page", "title")).alias("hits"))
-    )
+    spelled = edges.where("half >= 0").groupBy("source", "half", "key", "norm").agg(F.count("*").alias("n"))
+    titles = spelled.groupBy("source", "half", "key").agg(F.sum("n").alias("lines"), F.max_by("norm", F.struct("n", "norm")).alias("title"))
+    met = edges.where("half >= 0 AND pos <> 'I'").join(titles.where("lines >= 2"), ["source", "half", "key"]).select("source", "page_id", "pos", "line_no", "title")
+    met = materialize(met, "titles")
+    hits = met.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "title")).alias("hits"))
+    # running titles are on most pages and on one side; elsewhere a chapter's own heading is at the edge by chance
+    sides = met.groupBy("source", "page_id").agg(F.max(F.col("pos").startswith("T").cast("int")).alias("t"), F.max(F.col("pos").startswith("B").cast("int")).alias("b"))
+    sides = sides.groupBy("source").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    sizes = pages.groupBy("source").agg(F.count("*").alias("n"))
+    titled = F.greatest("t", "b") >= RUNNING * F.col("n")
+    sides = sizes.join(sides, "source").select("source", F.when(titled, F.col("b") > F.col("t")).alias("bottom"))
     votes = edges.where("value IS NOT NULL AND page IS NOT NULL AND NOT roman").groupBy("source", (F.col("value") - F.col("page")).alias("off")).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     numbers = votes.groupBy("source").agg(F.max_by(F.struct(F.col("off").alias("best"), F.col("n").cast("int").alias("votes"), "low", "high"), F.struct("n", -F.abs("off"))).alias("b")).select("source", "b.*")
     books = pages.where("book_title IS NOT NULL").groupBy("source", "book_title").agg(F.count("*").alias("n")).groupBy("source").agg(F.max_by("book_title", F.struct("n", "book_title")).alias("book"))
-    return pages.join(hits, "page_id", "left").join(numbers, "source", "left").join(books, "source", "left")
+    return pages.join(hits, "page_id", "left").join(numbers, "source", "left").join(sides, "source", "left").join(books, "source", "left")
 
 
 def _variants(word: str) -> Iterator[tuple[str, int]]:
@@ -349,7 +344,7 @@ class Repair:
     def __init__(self, pages: DataFrame):
         self.pages = materialize(latest_pages(pages), "pages")
         kind = self.pages.schema["page_id"].dataType.simpleString()
-        rows = with_edges(self.pages).select("page_id", "source", "page", "text", "book_title", "book", "hits", "best", "votes", "low", "high")
+        rows = with_edges(self.pages).select("page_id", "source", "page", "text", "book_title", "book", "hits", "best", "votes", "low", "high", "bottom")
         self.rows = materialize(rows.mapInArrow(_page_rows, _TOKENS.format(id=kind)), "rows")
         words = self.rows.where("kind = 'word'").select("word", "capital")
         counts = words.groupBy("word").agg(F.count("*").alias("n"))
