@@ -33,10 +33,15 @@ DICTIONARY_BYTES = 48 << 10
 UTF8_COST, BYTE_COST, NEXT_COST = -2, 3, 1
 #: Extra bytes for each character that a step brings in and the dictionaries' languages do not use.
 STRANGE_COST = 5
-#: Extra bytes for a word built as none is: a capital inside small letters, a sign between letters.
-ODD_COST = 4
+#: Extra bytes for a word built as none is: a capital inside small letters, a sign between letters,
+#: a letter behind a full stop, an accented letter alone that is no word. Bytes that a word of the
+#: dictionary saves.
+ODD_COST, KNOWN_GAIN = 6, 3
 _LEVEL = 12
-_ODD = re.compile(r"(?<=[^\W\d_])[À-ÖØ-Þ](?=[a-zß-öø-ÿ])|[a-zß-öø-ÿ][À-ÖØ-Þ]|(?<=[^\W\d_])[^\w\s\x00-\x7f’‘–—…“”«»](?=[^\W\d_])")
+_ODD = re.compile(
+    r"(?<=[^\W\d_])[À-ÖØ-Þ](?=[a-zß-öø-ÿ])|[a-zß-öø-ÿ][À-ÖØ-Þ]|[ß-öø-ÿ][A-Z]|(?<=[^\W\d_])[^\w\s\x00-\x7f’‘–—…“”«»](?=[^\W\d_])"
+    r"|(?<=[^\W\d_])[¡¿«“„]|[.,;:!?)\d][À-ÖØ-öø-ÿ]\W*$|^\W*[^\W\x00-\x7féàáóôÉÀÁÓÔ]\W*$"
+)
 LOST = "�"
 #: Encodings that text is read with by mistake, and the ones it was written in.
 READ_AS = ("cp1252", "cp850", "cp437", "mac_roman", "cp1250")
@@ -47,6 +52,7 @@ _EXPECTED = frozenset(_ACCENTED + "æøåÆØÅÿ¿¡«»“”„‘’‚–
 _USUAL = re.compile(r"""[^\w\s]*(?:[A-Z]?[a-záàâãäéèêëíìîïóòôõöúùûüçñßœ'’\-]*|[A-ZÁÀÂÃÄÉÈÊËÍÓÔÕÖÚÜÇÑ'’\-]+)[.,;:!?…”“"»)\]\d’']*""")
 _ODD_PUNCTUATION = re.compile("[^\\x00-\\x7f“”„‘’–—…«»¿¡áàâãäéèêëíìîïóòôõöúùûüçñßœÁÀÂÃÄÉÈÊËÍÓÔÕÖÚÜÇÑ]")
 
+_MARKS = "\"'“”„‘’()[]{}«»¿¡.,;:!?…–—"
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
 
 Step = Callable[[str], str]
@@ -94,7 +100,7 @@ def _byte_step(encoding: str, written: str = "cp1252") -> Step:
             mapping[c] = bytes([b]).decode(written)
         except UnicodeDecodeError:
             continue
-    mapping = {c: d for c, d in mapping.items() if d in _EXPECTED}
+    mapping = {c: d for c, d in mapping.items() if d in _EXPECTED and not d.isspace()}
 
     def step(word: str) -> str:
         out = []
@@ -145,7 +151,7 @@ def _split(text: str) -> list[str]:
 
 def suspicious_shape(word: str) -> bool:
     """Whether a word is not plainly built: only such words are compared under the chains."""
-    return not word.isascii() and (_ODD_PUNCTUATION.search(word) is not None or not _USUAL.fullmatch(word))
+    return not word.isascii() and (_ODD_PUNCTUATION.search(word) is not None or not _USUAL.fullmatch(word) or _ODD.search(word) is not None)
 
 
 class Restorer:
@@ -154,18 +160,17 @@ class Restorer:
     def __init__(self, dictionaries: dict[str, bytes], remember: int = 200_000):
         self._zip = {lang: zstandard.ZstdCompressor(level=_LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for lang, d in dictionaries.items()}
         self._content = {lang: d.decode("utf-8", "ignore") for lang, d in dictionaries.items()}
-        self._known: dict[str, dict[int, list[str]]] = {}
+        self._known: dict[str, dict[int, set[str]]] = {}
         self._remember = remember
         self._words: dict[str, bool] = {}
         self._costs: dict[tuple[str, str], int] = {}
 
-    def _vocabulary(self, lang: str) -> dict[int, list[str]]:
-        """Words with accents that stand whole in the dictionary, by length."""
+    def _vocabulary(self, lang: str) -> dict[int, set[str]]:
+        """Words that stand whole in the dictionary, by length."""
         if lang not in self._known:
-            by: dict[int, list[str]] = {}
-            for w in set(re.findall(r"(?<=\s)[^\W\d_]+(?=[\s.,;:])", self._content[lang].lower())):
-                if not w.isascii():
-                    by.setdefault(len(w), []).append(w)
+            by: dict[int, set[str]] = {}
+            for w in re.findall(r"(?<=\s)[^\W\d_]+(?=[\s.,;:])", self._content[lang].lower()):
+                by.setdefault(len(w), set()).add(w)
             self._known[lang] = by
         return self._known[lang]
 
@@ -177,7 +182,9 @@ class Restorer:
         if (n := self._costs.get(key)) is None:
             if len(self._costs) >= self._remember:
                 self._costs.clear()
-            n = self._costs[key] = self._size(lang, f" {word} ") + ODD_COST * bool(_ODD.search(word))
+            core = word.strip(_MARKS).lower()
+            known = core in self._vocabulary(lang).get(len(core), ())
+            n = self._costs[key] = self._size(lang, f" {word} ") + ODD_COST * bool(_ODD.search(word)) - KNOWN_GAIN * known
         return n
 
     def _run(self, steps: tuple[Step, ...], cost: int, word: str, lang: str, chosen: bool = False) -> str:
@@ -191,7 +198,11 @@ class Restorer:
         if out == word or any(unicodedata.category(c) == "Cc" for c in out):
             return word
         gain = self._cost(lang, word) - self._cost(lang, out) - STRANGE_COST * _brought_in(word, out) - min(cost, 0)
-        return out if gain > (-1 if chosen and not _ODD.search(out) else 0) else word
+        if gain == 0 and chosen and not _ODD.search(out):
+            plain = lambda w: w.strip(_MARKS).lower()
+            known = self._vocabulary(lang)
+            return word if plain(word) in known.get(len(plain(word)), ()) and plain(out) not in known.get(len(plain(out)), ()) else out
+        return out if gain > 0 else word
 
     def _suspect(self, word: str) -> bool:
         if (known := self._words.get(word)) is None:
