@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, replace
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,12 @@ class RetrievalConfig:
         """A copy with the given parameters; None leaves a parameter as it is."""
         return replace(self, **{k: v for k, v in changes.items() if v is not None})
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str]) -> RetrievalConfig:
+        """Parameters from variables named like them in capitals; empty ones leave the default."""
+        kinds = {"int": int, "float": float, "bool": lambda v: v.strip().lower() in ("1", "true", "yes", "on", "sim")}
+        return cls(**{f.name: kinds[f.type](v) for f in fields(cls) if (v := env.get(f.name.upper(), "")).strip()})
+
     def snapshot(self) -> dict:
         return asdict(self)
 

@@ -391,6 +391,15 @@ def context_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return dialogue.context_blocks(_packed(spark, folder))
 
 
+@query
+def prompt_statuses(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each candidate ended up: filtered, in the prompt, cut or out of it."""
+    pool = cascade.absolute_filter(_pool(spark, folder), CONFIG.min_score).where("text IS NOT NULL").select("qid", "cid", "text")
+    usable = pool.groupBy("qid").agg(F.max(F.length("text") >= 80).alias("usable"))
+    joined = pool.join(usable, "qid").join(dialogue.context_blocks(_packed(spark, folder)), "qid", "left")
+    return joined.select("qid", "cid", tx.prompt_status(F.col("text"), F.coalesce("context", F.lit("")), F.col("usable")).alias("status"))
+
+
 # --- answers
 
 

@@ -244,6 +244,11 @@ def sql() -> dict[str, str]:
       packed AS (SELECT qid, rank, CASE WHEN s <= 3500 THEN 'whole' ELSE 'cut' END AS status, CASE WHEN s <= 3500 THEN e ELSE substring(e, 1, CAST(3500 - (s - length(e)) AS BIGINT)) || '…' END AS entry FROM summed WHERE s <= 3500 OR 3500 - (s - length(e)) > 150)"""
     out["context_pack"] = f"{packed} SELECT * FROM packed"
     out["context_blocks"] = f"{packed} SELECT qid, string_agg(entry, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM packed GROUP BY qid"
+    t = _strip("a.text")
+    out["prompt_statuses"] = f"""{packed}, b AS (SELECT qid, string_agg(entry, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM packed GROUP BY qid),
+      u AS (SELECT qid, max(length(text)) >= 80 AS usable FROM absolute WHERE text IS NOT NULL GROUP BY qid)
+      SELECT a.qid, a.cid, CASE WHEN length({t}) < 80 AND usable THEN 'filtered' WHEN {t} <> '' AND contains(coalesce(context, ''), {t}) THEN 'in prompt' WHEN {t} <> '' AND contains(coalesce(context, ''), substring({t}, 1, 60)) THEN 'cut' ELSE 'out' END AS status
+      FROM absolute a JOIN u USING (qid) LEFT JOIN b USING (qid) WHERE a.text IS NOT NULL"""
     names = rf"list_transform(list_filter({_words('@')}, lambda x: regexp_matches(x, '^\p{{Lu}}') AND length(x) > 3), lambda x: lower(x))"
     out["topical_relevance"] = f"""{_CASCADE}, asked AS (SELECT qid, list_distinct({_TOPIC('query')}) AS kw, {names.replace('@', 'query')} AS names FROM queries),
       pool AS (SELECT qid, flatten(list(list_concat({_TOPIC('text')}, {names.replace('@', 'text')}))) AS words FROM final WHERE text IS NOT NULL GROUP BY qid)
