@@ -76,7 +76,24 @@ def _ship(application: str) -> None:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of the folder; the first call of an application also ships this package."""
     _ship(spark.sparkContext.applicationId)
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(folder, f"{name}.parquet")))
+
+
+#: Bytes on disk from which a table in few parts is worth spreading.
+SPREAD_BYTES = 512 << 10
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over all cores where the files give it fewer parts than there are cores.
+
+    Only small tables are in so few parts, so the exchange is small too; a table of the size a
+    cluster is for has more parts than cores and is read as it lies. Filters and the choice of
+    columns still reach the scan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES:
+        return scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def clean_shared(spark: SparkSession) -> None:
