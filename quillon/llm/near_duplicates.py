@@ -5,7 +5,7 @@ position with probability one minus their similarity. The positions lie on a rin
 cut into equal segments. By the pigeonring principle a pair within distance ``tau`` of each
 other has a segment from which every chain of l consecutive segments differs in at most
 ``l * tau / segments`` positions. Index rows carry the content of a segment as key and a
-four-bit digest of the sixteen positions that follow it on the ring, so the join on the key
+four-bit digest of the thirty-two positions that follow it on the ring, so the join on the key
 checks the chain budgets before a pair leaves the join. Pairs that survive meet the full
 Hamming check on the sets of shingles themselves, |A ^ B| <= (|A| + |B|)(1 - t)/(1 + t),
 which is exactly Jaccard similarity >= t.
@@ -29,7 +29,8 @@ from quillon.runtime import materialize
 
 #: Ids up to this number (16 MB) are sent to all executors; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-_DIGEST = 16  # positions behind a segment whose digest a row carries
+_DIGEST = 32  # positions behind a segment whose digest a row carries, sixteen in a number
+_CHAINS = tuple(f"chain{i}" for i in range(_DIGEST // 16))
 
 
 @dataclass(frozen=True)
@@ -121,17 +122,17 @@ def _index_rows(ring: Ring, words: int):
                     np.minimum.reduceat(short * factors[k], begin, out=least[k])
                 nibble = (ta.mix64(least) & np.uint64(15)).astype(np.uint64)
                 keys = np.empty((segments, begin.size), dtype=np.uint64)
-                chains = np.zeros((segments, begin.size), dtype=np.uint64)
+                chains = np.zeros((len(_CHAINS), segments, begin.size), dtype=np.uint64)
                 for s in range(segments):
                     key = np.full(begin.size, s + 1, dtype=np.uint64)
                     for p in range(s * width, (s + 1) * width):
                         key = ta.mix64(key ^ least[p].astype(np.uint64))
                     keys[s] = key
                     for j in range(_DIGEST):
-                        chains[s] |= nibble[((s + 1) * width + j) % positions] << np.uint64(4 * j)
+                        chains[j // 16, s] |= nibble[((s + 1) * width + j) % positions] << np.uint64(4 * (j % 16))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(ids, segments)), pa.array(chains.ravel().view(np.int64))],
-                    names=["key", "uid", "chain"],
+                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(ids, segments)), *[pa.array(c.ravel().view(np.int64)) for c in chains]],
+                    names=["key", "uid", *_CHAINS],
                 )
 
     return rows
@@ -162,18 +163,25 @@ def _shingle_sets(words: int):
 
 def candidate_pairs(texts: DataFrame, ring: Ring, words: int) -> DataFrame:
     """Distinct (uid_a, uid_b) of texts that share a segment and keep the chain budgets behind it."""
-    rows = texts.mapInArrow(_index_rows(ring, words), "key bigint, uid bigint, chain bigint")
-    a = rows.select("key", F.col("uid").alias("uid_a"), F.col("chain").alias("chain_a"))
-    b = rows.select("key", F.col("uid").alias("uid_b"), F.col("chain").alias("chain_b"))
-    x = F.col("chain_a").bitwiseXOR(F.col("chain_b"))
-    # one bit for each position that differs
-    folded = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    folded = folded.bitwiseOR(F.shiftrightunsigned(folded, 2)).bitwiseAND(F.lit(0x1111111111111111))
+    rows = texts.mapInArrow(_index_rows(ring, words), "key bigint, uid bigint, " + ", ".join(f"{c} bigint" for c in _CHAINS))
+    side = lambda x: rows.select("key", F.col("uid").alias(f"uid_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in _CHAINS])
+    a, b = side("a"), side("b")
+
+    def differing(ahead: int):
+        """How many of the next positions differ: one bit is left of each."""
+        total = F.lit(0)
+        for i, c in enumerate(_CHAINS):
+            if (part := min(16, ahead - 16 * i)) > 0:
+                x = F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))
+                x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+                x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+                total += F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111 & ((1 << 4 * part) - 1))))
+        return total
+
     viable = F.lit(True)
     for ahead, most in ring.budgets():
         if most < ahead:
-            mask = (1 << 4 * ahead) - 1
-            viable &= F.bit_count(folded.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))) <= most
+            viable &= differing(ahead) <= most
     return a.join(b, "key").where((F.col("uid_a") < F.col("uid_b")) & viable).select("uid_a", "uid_b").distinct()
 
 
