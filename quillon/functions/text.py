@@ -86,8 +86,8 @@ def tokens(text: Column, stopwords: list[str] | None = None, min_length: int = 1
     found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     if not stopwords and min_length <= 1:
         return found
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else None
-    keep = lambda x: F.length(x) >= min_length if stop is None else (F.length(x) >= min_length) & ~F.array_contains(stop, x)
+    # a literal list becomes a hash set, an array would be searched from its start
+    keep = lambda x: F.length(x) >= min_length if not stopwords else (F.length(x) >= min_length) & ~x.isin(*stopwords)
     return F.filter(found, keep)
 
 

@@ -44,8 +44,9 @@ def _queries(spark: SparkSession, folder: str) -> DataFrame:
 def _pool(spark: SparkSession, folder: str, config: RetrievalConfig = CONFIG) -> DataFrame:
     vecs = table(spark, folder, "embeddings")
     near = vectors.top_k(vecs, vecs.where("vec_id % 20 = 0"), config.pool)
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("cid"), "text", "source")
-    return near.join(docs, "cid", "left").withColumn("ctok", tx.ranking_tokens(F.col("text"))).join(_queries(spark, folder), "qid")
+    # tokens are taken once a document, before the join
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("cid"), "text", "source", tx.ranking_tokens(F.col("text")).alias("ctok"))
+    return near.join(docs, "cid", "left").join(_queries(spark, folder), "qid")
 
 
 def _stage(name: str) -> Query:
