@@ -88,42 +88,26 @@ def test_tiny_sections_merge(spark):
     assert outline.merge_tiny(df, 1).count() == 3
 
 
-def fold(parts, config):
-    """Packing written as one loop, to compare with."""
-    out, open_, size = [], [], 0
-    for s in parts:
-        n = chunking.estimate(s)
-        if n > config.max_tokens:
-            if open_:
-                out.append(" ".join(open_))
-            out.append(s)
-            open_, size = [], 0
-            continue
-        if size + n > config.max_tokens and open_ and size >= config.min_tokens:
-            out.append(" ".join(open_))
-            back, total = [], 0
-            for p in reversed(open_):
-                if not config.overlap_tokens or (back and total + chunking.estimate(p) > config.overlap_tokens):
-                    break
-                back.insert(0, p)
-                total += chunking.estimate(p)
-            open_, size = back, total
-        open_.append(s)
-        size += n
-    if open_:
-        if size < config.min_tokens and out:
-            out[-1] += " " + " ".join(open_)
-        else:
-            out.append(" ".join(open_))
-    return out
-
-
-def test_packing_against_a_plain_loop():
+def test_packing_rules():
     r = random.Random(5)
-    for _ in range(200):
-        parts = [" ".join(["w"] * r.randint(1, 40)) + "." for _ in range(r.randint(0, 25))]
+    for _ in range(300):
+        parts = [" ".join([f"s{i}"] * r.randint(1, 40)) for i in range(r.randint(0, 25))]
         config = ChunkConfig(min_tokens=r.randint(1, 30), max_tokens=r.randint(20, 60), overlap_tokens=r.choice([0, 5, 20]))
-        assert chunking.pack_sentences(parts, config) == fold(parts, config)
+        packs = [sorted({int(w[1:]) for w in p.split()}) for p in chunking.pack_sentences(parts, config)]
+        # consecutive sentences, none left out, order kept
+        assert all(p == list(range(p[0], p[-1] + 1)) for p in packs)
+        assert sorted({i for p in packs for i in p}) == list(range(len(parts)))
+        for before, after in zip(packs, packs[1:]):
+            shared = set(before) & set(after)
+            assert before[-1] < after[-1] and after[0] <= before[-1] + 1
+            assert not shared or config.overlap_tokens
+            # more than one shared sentence only within the overlap
+            assert len(shared) < 2 or sum(chunking.estimate(parts[i]) for i in shared) <= config.overlap_tokens
+        sizes = [chunking.estimate(p) for p in parts]
+        for k, p in enumerate(packs[:-1]):
+            # over the limit only alone, or as long as too small; the overlap, one sentence at least, comes on top
+            new = [i for i in p if not k or i > packs[k - 1][-1]]
+            assert sum(sizes[i] for i in new) <= config.max_tokens or len(new) == 1 or sum(sizes[i] for i in p[:-1]) < config.min_tokens
 
 
 def test_chunk_documents(spark):
