@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,13 @@ ORDERS = (2, 3, 4)
 MIN_LETTERS, MIN_WORDS, MIN_CONFIDENCE, UNMARKED_LETTERS = 20, 4, 0.8, 70
 
 _ALPHA, _BETA, _L1, _L2 = 0.5, 1.0, 0.02, 0.02
-_CLOSERS = np.array([ord(c) for c in "\"'”’»)]"], dtype=np.uint32)
-_ENDERS = np.array([ord(c) for c in ".!?…"], dtype=np.uint32)
+
+
+@cache
+def _among(characters: str) -> np.ndarray:
+    table = np.zeros(ta.SPAN, dtype=bool)
+    table[[ord(c) for c in characters]] = True
+    return table
 
 
 def _sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,8 +48,8 @@ def _sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     line = (codes == 10) | (codes == 0) | (codes == 13)
     space = ta.look(ta.flags("isspace"), codes) | line
     # a sentence ends behind its mark and the closing quotes that follow, if white space comes next
-    mark = np.isin(codes, _ENDERS)
-    closer = np.isin(codes, _CLOSERS)
+    mark = ta.look(_among(".!?…"), codes)
+    closer = ta.look(_among("\"'”’»)]"), codes)
     for _ in range(2):
         mark[1:] |= closer[1:] & mark[:-1]
     end = mark.copy()
@@ -84,13 +90,21 @@ def _ngrams(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[lis
     return out, np.bincount(owner[letter], minlength=size), np.bincount(owner[first], minlength=size)
 
 
-def _summed(table: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
-    """Sum of the table's values over the n-grams of each sentence."""
-    total = np.zeros(size)
+def _runs(grams: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order the buckets, where each sentence begins in them, and which sentence that is."""
+    out = []
     for buckets, owner in grams:
         if owner.size:
-            begin = np.flatnonzero(np.diff(owner, prepend=-1))
-            total[owner[begin]] += np.add.reduceat(table[buckets], begin, dtype=np.float64)
+            begin = np.concatenate(([0], np.flatnonzero(owner[1:] != owner[:-1]) + 1))
+            out.append((buckets, begin, owner[begin]))
+    return out
+
+
+def _summed(table: np.ndarray, runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """Sum of the table's values over the n-grams of each sentence."""
+    total = np.zeros(size)
+    for buckets, begin, owner in runs:
+        total[owner] += np.add.reduceat(table[buckets], begin, dtype=np.float64)
     return total
 
 
@@ -105,8 +119,9 @@ class Model:
     temperature: float
 
     def logits(self, grams: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
-        norm = np.sqrt(np.maximum(_summed(self.squares, grams, size), 1e-9))
-        return np.stack([_summed(w, grams, size) / norm for w in self.weights], axis=1) + self.bias
+        runs = _runs(grams)
+        norm = np.sqrt(np.maximum(_summed(self.squares, runs, size), 1e-9))
+        return np.stack([_summed(w, runs, size) / norm for w in self.weights], axis=1) + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
