@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.config import ChunkConfig
 from quillon.operators import chunking, components, dialogue, genmetrics, links, outline, reports, sampling, vectors
+from quillon.plans import catalog
 
 
 def unit_rows(n, dim=16, seed=1):
@@ -47,6 +48,21 @@ def test_approximate_search_recall(spark, vecs):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_approximate_search_recall_as_registered(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, m = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    want = {}
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = np.where(ids == ids[i], -np.inf, m @ m[i])
+        want[int(ids[i])] = set(ids[np.lexsort((ids, -s))[:10]].tolist())
+    got = {}
+    for r in catalog.queries()["approximate_search"](spark, folder).collect():
+        got.setdefault(r.qid, set()).add(r.cid)
+    assert set(got) == set(want) and all(len(c) == 10 for c in got.values())
+    assert sum(len(got[q] & want[q]) for q in want) / (10 * len(want)) >= 0.9
+
+
 def test_vectors_with_nulls(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (None, [1.0, 0.0]), (3, [0.5, None]), (4, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
     assert {(r.qid, r.cid) for r in vectors.top_k(df, df, 5).collect()} == {(1, 4), (4, 1)}
