@@ -42,11 +42,11 @@ class Ring:
     """
 
     threshold: float
-    miss: float = 0.004
+    miss: float = 0.00002
 
     @property
     def width(self) -> int:
-        return max(2, round(math.log(0.13) / math.log(self.threshold)))
+        return max(2, round(math.log(0.216) / math.log(self.threshold)))
 
     @property
     def segments(self) -> int:
@@ -58,9 +58,9 @@ class Ring:
 
     @property
     def tau(self) -> int:
-        """Largest signature distance allowed: that of a pair at the threshold, three deviations above the mean."""
+        """Largest signature distance allowed: that of a pair at the threshold, five deviations above the mean."""
         k, t = self.positions, self.threshold
-        return min(k, math.ceil(k * (1 - t) + 3 * math.sqrt(k * t * (1 - t))))
+        return min(k, math.ceil(k * (1 - t) + 5 * math.sqrt(k * t * (1 - t))))
 
     def budgets(self) -> list[tuple[int, int]]:
         """(positions behind the matching segment, differences allowed in them)."""

@@ -47,6 +47,16 @@ def test_against_all_pairs(spark, t, n):
     assert len(want) > 10 and len(got) >= 0.99 * len(want)
 
 
+def test_no_pair_at_the_threshold_is_lost(spark):
+    # 60 shared runs of three words, 20 in each text alone: exactly 0.6
+    rows = []
+    for i in range(4000):
+        same = [f"s{i}x{k}" for k in range(62)]
+        rows += [(f"{i:04}{side}", " ".join(same + [f"{side}{i}x{k}" for k in range(20)])) for side in "ab"]
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in nd.similar_pairs(spark.createDataFrame(rows, SCHEMA), 0.6, 3).collect()}
+    assert got == {(f"{i:04}a", f"{i:04}b") for i in range(4000)}
+
+
 def test_ids_by_shuffle_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame(corpus(9, 25), SCHEMA)
     one = nd.similar_pairs(df, 0.6, 3).collect()
