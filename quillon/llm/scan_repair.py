@@ -210,6 +210,13 @@ def _furniture(lines: list[str], book: str | None, page: int | None, hits: list,
     return kinds
 
 
+def misread_number(word: str) -> bool:
+    """Whether a number, a range of numbers, or one of these before an exclamation mark, has a letter for a digit."""
+    sides = re.split("[-–—]", word.removesuffix("!"))
+    read = [_LETTER_IN_NUMBER.fullmatch(side) is not None for side in sides]
+    return any(read) and all(r or side.isdecimal() for r, side in zip(read, sides))
+
+
 def _words(line: str) -> list[str]:
     out = []
     for t in line.split():
@@ -260,7 +267,7 @@ def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if words and raw.split()[-1].lstrip(_OPENING).rstrip(_CLOSING + HYPHENS) == words[-1].rstrip(HYPHENS):
                         stop -= 1
                 for w in words[begin:stop]:
-                    if _LETTER_IN_NUMBER.fullmatch(w):
+                    if misread_number(w):
                         add("number", i, w)
                     elif any(c.isalpha() for c in w):
                         add("word", i, w.lower(), capital=w[0].isupper())

@@ -78,6 +78,18 @@ def test_page_numbers(line, number):
     assert sr.page_number(line) == number
 
 
+def test_misread_numbers_before_a_mark_and_in_ranges(spark):
+    rows, truth = book()
+    rows[1][3][4] = "A região foi ocupada em 1g63!"
+    rows[2][3][4] = "A cooperativa (l812-1834) cresceu."
+    rows[3][3][4] = "A comunidade de 1860! E de 1812-1834!"
+    truth |= {(2, 4, "misread"), (3, 4, "misread")}
+    repair = sr.Repair(table(spark, rows))
+    assert {(r.page_id, r.line_no, r.kind) for r in repair.found().collect()} == truth
+    text = "\n".join(r.text for r in repair.paragraphs().collect())
+    assert "em 1963!" in text and "(1812-1834)" in text
+
+
 def test_variants():
     assert "ciclo" in {v for v, _ in sr._variants("cic1o")} and "dinâmica" in {v for v, _ in sr._variants("dinârnica")} and "geral" in {v for v, _ in sr._variants("gera!")}
 
