@@ -46,6 +46,8 @@ SIGNS = {"0": "od", "1": "litf", "!": "lit", "|": "lit", "@": "a", "5": "s", "6"
 #: A word is taken as misread for one so many times as frequent, if it stands at most so often
 #: as misreading explains: a few times, and this share of the other word's count.
 RATIO, FEW, SHARE = 8, 3, 0.02
+#: A word of so many characters or more may have a letter confused besides its signs; so many signs at most are undone.
+MIXED, MOST_SIGNS = 5, 5
 #: Share of a source's pages with a repeated title at an edge from which it has running titles.
 RUNNING = 0.45
 
@@ -301,10 +303,18 @@ def with_edges(pages: DataFrame) -> DataFrame:
     return pages.join(hits, "page_id", "left").join(numbers, "source", "left").join(sides, "source", "left").join(books, "source", "left")
 
 
+def _confused(word: str) -> Iterator[tuple[str, int]]:
+    for printed, read in CONFUSIONS.items():
+        at = word.find(read)
+        while at >= 0:
+            yield word[:at] + printed + word[at + len(read) :], at
+            at = word.find(read, at + 1)
+
+
 def _variants(word: str) -> Iterator[tuple[str, int]]:
     """(what may have been printed, first character that differs) for a word as read."""
     signs = [i for i, c in enumerate(word) if c in SIGNS]
-    if signs and len(signs) <= 3:
+    if signs and len(signs) <= MOST_SIGNS:
         for letters in itertools.product(*(SIGNS[word[i]] for i in signs)):
             chars = list(word)
             for i, c in zip(signs, letters):
@@ -313,33 +323,44 @@ def _variants(word: str) -> Iterator[tuple[str, int]]:
         if word[-1] == "!" and len(signs) > 1:
             yield from _variants(word[:-1])
     if not signs:
-        for printed, read in CONFUSIONS.items():
-            at = word.find(read)
-            while at >= 0:
-                yield word[:at] + printed + word[at + len(read) :], at
-                at = word.find(read, at + 1)
+        yield from _confused(word)
+
+
+def _mixed(word: str) -> Iterator[tuple[str, int]]:
+    """Like ``_variants`` for a word with signs, of whose letters one is confused too."""
+    signs = sum(c in SIGNS for c in word)
+    if len(word) >= MIXED and 0 < signs <= 2:
+        for plain, first in _variants(word):
+            for printed, at in _confused(plain):
+                yield printed, min(first, at)
 
 
 def corrections(counts: DataFrame) -> DataFrame:
     """(word, printed, at) for the misread words of a vocabulary (word, n, capital).
 
     A word with a sign or digit among its letters needs a known word behind it, one of plain
-    letters a word far more frequent; an exclamation mark at the end counts as such
-    where the rest is a word.
+    letters a word far more frequent, and so do words of two characters, which need a sign, and
+    those with a letter confused besides a sign, which are tried last; an exclamation mark at the
+    end counts as such where the rest is a word.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(w, n, v, at, any(c in SIGNS for c in w)) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(w) > 2 for v, at in _variants(w) if v != w]
-            columns = list(zip(*out)) if out else [()] * 5
+            out = []
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sign = any(c in SIGNS for c in w)
+                if len(w) > 2 or len(w) == 2 and sign:
+                    out += [(w, n, v, at, sign and len(w) > 2, False) for v, at in _variants(w) if v != w]
+                    out += [(w, n, v, at, False, True) for v, at in _mixed(w) if v != w]
+            columns = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_()))], names=["word", "n", "printed", "at", "sign"]
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()))], names=["word", "n", "printed", "at", "sign", "mixed"]
             )
 
     known = counts.select(F.col("word").alias("printed"), F.col("n").alias("m"))
-    tried = counts.select("word", "n").mapInArrow(rows, "word string, n bigint, printed string, at int, sign boolean").join(known, "printed")
+    tried = counts.select("word", "n").mapInArrow(rows, "word string, n bigint, printed string, at int, sign boolean, mixed boolean").join(known, "printed")
     likely = tried.where(F.when(F.col("sign"), (F.col("m") >= 2) & (F.col("m") > F.col("n"))).otherwise((F.col("m") >= 4) & (F.col("m") >= RATIO * F.col("n")) & (F.col("n") <= FEW + SHARE * F.col("m"))))
-    best = likely.groupBy("word").agg(F.max_by(F.struct("printed", "at"), F.struct("m", "printed")).alias("b")).select("word", "b.*")
+    best = likely.groupBy("word").agg(F.max_by(F.struct("printed", "at"), F.struct(~F.col("mixed"), "m", "printed")).alias("b")).select("word", "b.*")
     ended = counts.where(F.col("word").endswith("!")).select("word", F.expr("substring(word, 1, length(word) - 1)").alias("printed"))
     real = ended.join(known.where("m >= 2"), "printed").select("word")
     return best.join(real, "word", "left_anti")

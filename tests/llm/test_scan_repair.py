@@ -90,6 +90,17 @@ def test_misread_numbers_before_a_mark_and_in_ranges(spark):
     assert "em 1963!" in text and "(1812-1834)" in text
 
 
+def test_short_words_and_words_of_many_signs(spark):
+    rows, truth = book()
+    lines = {1: "A seca d0 trabalho.", 2: "A região d| comunidade.", 3: "A c00p3ra7ivas.", 4: "A co0perafivas.", 5: "A cooperativas e d!"}
+    for p, line in lines.items():
+        rows[p][3][4] = line
+    for p in (0, 6, 7):
+        rows[p][3][6] = "do da di " * 4 + "cooperativas " * 3 + "."
+    truth |= {(p + 1, 4, "misread") for p in lines}
+    assert {(r.page_id, r.line_no, r.kind) for r in sr.Repair(table(spark, rows)).found().collect()} == truth
+
+
 def test_variants():
     assert "ciclo" in {v for v, _ in sr._variants("cic1o")} and "dinâmica" in {v for v, _ in sr._variants("dinârnica")} and "geral" in {v for v, _ in sr._variants("gera!")}
 
