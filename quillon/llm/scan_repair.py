@@ -50,8 +50,10 @@ RATIO, FEW, SHARE = 8, 3, 0.02
 MIXED, MOST_SIGNS = 5, 5
 #: Share of a source's pages with a repeated title at an edge from which it has running titles.
 RUNNING = 0.45
+#: Pages at whose edges a title stands from which it is a running one, whatever the share, if no more lines of it stand inside.
+MANY = 4
 
-_EDGE = "page_id {id}, source string, page int, line_no int, pos string, norm string, half int, key string, value int, roman boolean"
+_EDGE = "page_id {id}, source string, page int, line_no int, pos string, norm string, half int, key string, value int, roman boolean, capitals boolean"
 
 
 def _plain(text: str) -> str:
@@ -85,6 +87,11 @@ def title_norm(line: str) -> str:
     return " ".join(words).strip(" |")
 
 
+def in_capitals(line: str) -> bool:
+    """Whether most letters are capitals; single ones may be misread."""
+    return sum(c.isupper() for c in line) > sum(c.islower() for c in line)
+
+
 def _halves(norm: str) -> list[tuple[int, str]]:
     words = norm.split()
     if len(words) < 2:
@@ -136,12 +143,12 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 norm = title_norm(lines[i])
                 for half, key in [(-1, "")] if number else _halves(norm):
                     at.append(r)
-                    rows.append((sources[r], pages[r], i, pos, norm, half, key, *(number or (None, None))))
-        columns = list(zip(*rows)) if rows else [()] * 9
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_()]
+                    rows.append((sources[r], pages[r], i, pos, norm, half, key, *(number or (None, None)), in_capitals(lines[i])))
+        columns = list(zip(*rows)) if rows else [()] * 10
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, k) for c, k in zip(columns, kinds)],
-            names=["page_id", "source", "page", "line_no", "pos", "norm", "half", "key", "value", "roman"],
+            names=["page_id", "source", "page", "line_no", "pos", "norm", "half", "key", "value", "roman", "capitals"],
         )
 
 
@@ -165,8 +172,11 @@ def latest_pages(pages: DataFrame) -> DataFrame:
 def _furniture(lines: list[str], book: str | None, page: int | None, hits: list, style: dict) -> dict[int, str]:
     """Kind of every line of a page that is furniture.
 
-    ``hits``: (line, title as most often printed) by half title; ``style``: what the source's
-    page numbers are like, and whether its running titles stand at the bottom (null: it has none).
+    ``hits``: (line, title as most often printed, whether it is on many pages and in
+    capitals there) by half title;
+    ``style``: what the source's page numbers are like, and whether its running titles stand at
+    the bottom (null: it has none). The book's title and titles on many pages are headers on
+    either side; a chapter's heading is one only where the running titles stand.
     """
     solid = [i for i, line in enumerate(lines) if line.strip()]
     if not solid:
@@ -188,7 +198,7 @@ def _furniture(lines: list[str], book: str | None, page: int | None, hits: list,
             return value - page == style["best"]
         return roman or (value < 1000 and 0 <= value - page <= 40)
 
-    def is_header(i: int) -> bool:
+    def is_header(i: int, bottom: bool) -> bool:
         bare = without_number(lines[i])
         norm = title_norm(lines[i])
         # no title looks like a piece of a sentence; a small l may stand for any capital
@@ -196,7 +206,11 @@ def _furniture(lines: list[str], book: str | None, page: int | None, hits: list,
             return False
         if title and _alike(norm, title):
             return True
-        return any(_alike(norm, h["title"]) for h in found.get(i, ())) or _CHAPTER.match(bare) is not None
+        alike = [h for h in found.get(i, ()) if _alike(norm, h["title"])]
+        if bottom != style.get("bottom"):
+            # a chapter's own heading, at the edge by chance, is told from its running title by the letters
+            return any(h["many"] and h["large"] == in_capitals(bare) for h in alike) and (in_capitals(bare) or not _CHAPTER.match(bare))
+        return bool(alike) or _CHAPTER.match(bare) is not None
 
     kinds: dict[int, str] = {}
     for edge, bottom in ((solid, False), (solid[::-1], True)):
@@ -205,7 +219,7 @@ def _furniture(lines: list[str], book: str | None, page: int | None, hits: list,
                 continue
             if is_number(i) and "pagenum" not in (kinds.get(j) for j in edge[:k]):
                 kinds[i] = "pagenum"
-            elif bottom == style.get("bottom") and is_header(i) and "header" not in (kinds.get(j) for j in edge[:k]):
+            elif is_header(i, bottom) and "header" not in (kinds.get(j) for j in edge[:k]):
                 kinds[i] = "header"
             else:
                 break
@@ -286,11 +300,15 @@ def with_edges(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     edges = materialize(pages.select("page_id", "source", "page", "text").mapInArrow(_edges, _EDGE.format(id=kind)), "edges")
     # counted by spelling first, so that a hot title costs one row a task and spelling
-    spelled = edges.where("half >= 0").groupBy("source", "half", "key", "norm").agg(F.count("*").alias("n"))
-    titles = spelled.groupBy("source", "half", "key").agg(F.sum("n").alias("lines"), F.max_by("norm", F.struct("n", "norm")).alias("title"))
-    met = edges.where("half >= 0 AND pos <> 'I'").join(titles.where("lines >= 2"), ["source", "half", "key"]).select("source", "page_id", "pos", "line_no", "title")
+    edge = F.col("pos") != "I"
+    spelled = edges.where("half >= 0").groupBy("source", "half", "key", "norm").agg(F.count("*").alias("n"), F.count(F.when(edge, 1)).alias("n_edge"), F.count(F.when(edge & F.col("capitals"), 1)).alias("n_capitals"))
+    # those at edges and inside are compared by one spelling: titles that share a half do not count for each other
+    best = F.max_by(F.struct("norm", "n", "n_edge", "n_capitals"), F.struct("n", "norm")).alias("b")
+    titles = spelled.groupBy("source", "half", "key").agg(F.sum("n").alias("lines"), best)
+    titles = titles.select("source", "half", "key", "lines", F.col("b.norm").alias("title"), ((F.col("b.n_edge") >= MANY) & (2 * F.col("b.n_edge") >= F.col("b.n"))).alias("many"), (2 * F.col("b.n_capitals") > F.col("b.n_edge")).alias("large"))
+    met = edges.where("half >= 0 AND pos <> 'I'").join(titles.where("lines >= 2"), ["source", "half", "key"]).select("source", "page_id", "pos", "line_no", "title", "many", "large")
     met = materialize(met, "titles")
-    hits = met.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "title")).alias("hits"))
+    hits = met.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "title", "many", "large")).alias("hits"))
     # running titles are on most pages and on one side; elsewhere a chapter's own heading is at the edge by chance
     sides = met.groupBy("source", "page_id").agg(F.max(F.col("pos").startswith("T").cast("int")).alias("t"), F.max(F.col("pos").startswith("B").cast("int")).alias("b"))
     sides = sides.groupBy("source").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))

@@ -101,6 +101,23 @@ def test_short_words_and_words_of_many_signs(spark):
     assert {(r.page_id, r.line_no, r.kind) for r in sr.Repair(table(spark, rows)).found().collect()} == truth
 
 
+def test_titles_on_few_pages_and_on_both_sides(spark):
+    few, _ = book("poucas.pdf", 24)
+    sides, _ = book("dois.pdf", 12)
+    truth = set()
+    for row in few:
+        # titles on every third page only, the book's and a chapter's by turns
+        row[3][0] = "" if row[0] % 3 else ("GEOGRAFIA DO VALE" if row[0] % 2 else "CAPÍTULO 1 – A ÁGUA DOCE")
+    for row in sides:
+        row[0] += 100
+        row[3][0] = "GEOGRAFIA DO VALE"
+        row[3].insert(-1, "CAPÍTULO 1 – A ÁGUA DOCE")
+    for row in few + sides:
+        truth |= {(row[0], i) for i, line in enumerate(row[3]) if line.isupper()}
+    got = {(r.page_id, r.line_no) for r in sr.Repair(table(spark, few + sides)).found().where("kind = 'header'").collect()}
+    assert got == truth
+
+
 def test_variants():
     assert "ciclo" in {v for v, _ in sr._variants("cic1o")} and "dinâmica" in {v for v, _ in sr._variants("dinârnica")} and "geral" in {v for v, _ in sr._variants("gera!")}
 
