@@ -36,8 +36,14 @@ def _partial_top(ids: list, vectors: np.ndarray, k: int):
             m = _matrix(batch.column(1))
             if not m.size:
                 continue
-            own = batch.column(0).to_pylist()
+            own = batch.column(0).to_numpy()
             scores = m @ vectors.T
+            # copies of a row must not take the places of others
+            by_id = np.argsort(own, kind="stable")
+            first = np.flatnonzero(np.diff(own[by_id], prepend=own[by_id[0]] - 1))
+            if len(first) < len(own):
+                own, scores = own[by_id[first]], np.maximum.reduceat(scores[by_id], first, axis=0)
+            own = own.tolist()
             # one more for the row of the query itself; ties with the last score all stay, so the order of batches cannot matter
             keep = min(k + 1, len(own))
             edge = np.partition(scores, len(own) - keep, axis=0)[len(own) - keep]
@@ -46,8 +52,11 @@ def _partial_top(ids: list, vectors: np.ndarray, k: int):
                     if own[r] != ids[q]:
                         best[q].append((float(scores[r, q]), own[r]))
                 if len(best[q]) > 4 * k + 64:
-                    floor = heapq.nlargest(k, (s for s, _ in best[q]))[-1]
-                    best[q] = [x for x in best[q] if x[0] >= floor]
+                    most: dict = {}
+                    for s, c in best[q]:
+                        most[c] = max(s, most.get(c, s))
+                    floor = heapq.nlargest(k, most.values())[-1]
+                    best[q] = [(s, c) for c, s in most.items() if s >= floor]
         found = [(q, c, s) for q, rows_ in zip(ids, best) for s, c in rows_]
         columns = list(zip(*found)) if found else [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["qid", "cid", "score"])
@@ -63,7 +72,7 @@ def _clean(df: DataFrame, row_id: str, vector: str) -> DataFrame:
 
 def _ranked(partial: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    return partial.dropDuplicates(["qid", "cid"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return partial.groupBy("qid", "cid").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

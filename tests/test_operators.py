@@ -41,6 +41,18 @@ def test_exact_search_in_several_blocks(spark, vecs, monkeypatch):
     assert {(r.qid, r.cid) for r in got} == brute(m, range(0, 400, 20), 3)
 
 
+def test_exact_search_with_repeated_rows(spark, vecs):
+    m, _ = vecs
+    near = [int(i) for i in np.argsort(-(m[:200].astype(np.float64) @ m[0].astype(np.float64)))[1:3]]
+    rows = [(i, v.tolist()) for i, v in enumerate(m[:200])] + [(i, m[i].tolist()) for i in near for _ in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1)
+    one = {(r.qid, r.cid) for r in vectors.top_k(df, df.where("vec_id % 20 = 0"), 7).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    many = {(r.qid, r.cid) for r in vectors.top_k(df, df.where("vec_id % 20 = 0"), 7).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert one == many == brute(m[:200], range(0, 200, 20), 7)
+
+
 def test_approximate_search_recall(spark, vecs):
     m, df = vecs
     want = brute(m, range(0, 400, 20), 10)
