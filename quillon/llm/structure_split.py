@@ -153,8 +153,10 @@ def split_oversized(
     new word; repeated rows count once.
     """
     rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(item_id, text, F.col(limit).cast("int").alias("lim"), F.col(overlap).cast("int").alias("ovl"))
+    # pieces are told apart by the item they come from, not by their places in it alone
+    rows = rows.withColumn("item", F.xxhash64(F.col(text), F.coalesce("lim", F.lit(-(1 << 31))), F.coalesce("ovl", F.lit(0))))
     kind = rows.schema[item_id].dataType.simpleString()
-    schema = f"`{item_id}` {kind}, piece_no int, n_pieces int, item_tokens int, max_tokens int, piece_tokens int, shared_tokens int, start int, stop int" + ", piece string" * with_text
+    schema = f"`{item_id}` {kind}, piece_no int, n_pieces int, item_tokens int, max_tokens int, piece_tokens int, shared_tokens int, start int, stop int" + ", piece string" * with_text + ", item bigint"
     names = [item_id, "piece_no", "n_pieces", "item_tokens", "max_tokens", "piece_tokens", "shared_tokens", "start", "stop"] + ["piece"] * with_text
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +179,8 @@ def split_oversized(
                     for column, value in zip(out, row + [t[s:e]] * with_text):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, pa.string() if n == "piece" else pa.int32()) for n, c in zip(names[1:], out)], names=names
+                [batch.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, pa.string() if n == "piece" else pa.int32()) for n, c in zip(names[1:], out)] + [batch.column(4).take(pa.array(at, pa.int64()))],
+                names=[*names, "item"],
             )
 
-    return rows.mapInArrow(pieces, schema).dropDuplicates([item_id, "piece_no", "start", "stop"])
+    return rows.mapInArrow(pieces, schema).dropDuplicates([item_id, "item", "piece_no"]).drop("item")

@@ -63,6 +63,12 @@ def test_pieces_of_a_table(spark):
     assert ss.split_oversized(df.limit(0)).count() == 0
 
 
+def test_items_of_one_id_keep_their_pieces(spark):
+    rows = [("a", "um dois", 40, 0), ("a", "um três", 40, 0), ("a", "um três", 40, 0), ("a", "um seis", 40, 0), ("a", "um seis", 50, 0), ("a", "um seis", None, 0)]
+    got = ss.split_oversized(spark.createDataFrame(rows, "chunk_id string, text string, max_tokens int, overlap_tokens int")).collect()
+    assert sorted((r.piece, r.max_tokens or 0) for r in got) == [("um dois", 40), ("um seis", 0), ("um seis", 40), ("um seis", 50), ("um três", 40)]
+
+
 def test_differencing_is_a_partition_and_nearly_equal():
     r = random.Random(1)
     for _ in range(50):
