@@ -32,6 +32,14 @@ ORDERS = (2, 3, 4)
 #: What has no mark at its end is a title or a notice rather than a sentence, unless it is long.
 MIN_LETTERS, MIN_WORDS, MIN_CONFIDENCE, UNMARKED_LETTERS = 20, 4, 0.8, 70
 
+#: Frequent small words. Too short for the model, a sentence with an end mark is judged by these.
+_SMALL = {
+    "pt": "não é são uma isso isto este esta você também muito pelo pela ele ela bom boa está em ao foi com os as tem o a e um de que do da das dos se no na me bem",
+    "es": "el los las una un muy pero esto eso este esta ella él usted también fue bueno buena está es y hay del con no la lo le de que se en me bien a o son",
+    "en": "the is this that it are and of with you he she they very not good well we his her was were for to in on no me a an as do so has have had",
+    "fr": "le la les une un et est c il elle on ce cette pas très nous vous ils qui que dans avec bon bonne bien de des du se en me a y son tu je",
+    "de": "das ist der die den und nicht ein eine ich wir sie er es sehr gut war was mit auf im in so an zu du des dem man am",
+}
 _ALPHA, _BETA, _L1, _L2 = 0.5, 1.0, 0.02, 0.02
 
 
@@ -215,6 +223,25 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang") -> Model:
     return train(labelled_sample(docs, SAMPLE_TEXTS, text, label))
 
 
+@cache
+def _small_words() -> dict[str, frozenset[str]]:
+    by: dict[str, set[str]] = {}
+    for lang, words in _SMALL.items():
+        for w in words.split():
+            by.setdefault(w, set()).add(lang)
+    return {w: frozenset(langs) for w, langs in by.items()}
+
+
+def short_language(sentence: str) -> str | None:
+    """The one language that all small words of a short sentence share, if they are two at least and half of its words."""
+    words = re.findall(r"[^\W\d_]+", sentence.lower())
+    known = [_small_words()[w] for w in words if w in _small_words()]
+    if len(known) < 2 or 2 * len(known) < len(words):
+        return None
+    shared = frozenset.intersection(*known)
+    return next(iter(shared)) if len(shared) == 1 else None
+
+
 def classify(model: Model, texts: list[str]) -> list[list[tuple[int, int, int, str, float, bool]]]:
     """For each text its segments: (start, stop, letters, language, confidence, holds a whole sentence).
 
@@ -228,6 +255,11 @@ def classify(model: Model, texts: list[str]) -> list[list[tuple[int, int, int, s
     best, top = p.argmax(axis=1), p.max(axis=1)
     whole = (letters >= MIN_LETTERS) & (words >= MIN_WORDS) & (top >= MIN_CONFIDENCE) & (marked | (letters >= UNMARKED_LETTERS))
     begins = np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))[:-1]))
+    for i in np.flatnonzero(marked & (words >= 2) & ((letters < MIN_LETTERS) | (words < MIN_WORDS))):
+        lang = short_language(texts[owner[i]][start[i] - begins[owner[i]] : stop[i] - begins[owner[i]]])
+        if lang in model.languages:
+            best[i], whole[i] = model.languages.index(lang), True
+            p[i] = np.arange(len(model.languages)) == best[i]
     out: list[list] = [[] for _ in texts]
     # only sentences with letters count; a text without any has no segment
     for i in np.flatnonzero(letters > 0):

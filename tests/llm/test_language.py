@@ -70,6 +70,13 @@ def test_a_foreign_phrase_is_no_segment(model):
     assert [s[3] for s in lg.classify(model, [text])[0]] == ["pt"]
 
 
+def test_short_sentences_count(model):
+    for lang, short in {"de": "Das ist gut.", "en": "This is good.", "es": "Está bien.", "fr": "C'est bien.", "pt": "Isso é bom."}.items():
+        other = "en" if lang == "pt" else "pt"
+        assert {s[3] for s in lg.classify(model, [f"{TEXTS[other]} {short}"])[0] if s[5]} == {other, lang}
+    assert {s[3] for s in lg.classify(model, [TEXTS["pt"] + " Dr. Silva. Um total. Das ist"])[0] if s[5]} == {"pt"}
+
+
 def test_tables_of_edges(spark, model):
     rows = [(1, TEXTS["pt"], "pt-BR"), (2, TEXTS["pt"], "en"), (2, TEXTS["pt"], "en"), (3, TEXTS["en"] + " " + TEXTS["fr"], "en"), (4, None, "pt"), (5, "", "pt"), (6, " \n ", None), (7, TEXTS["es"], None), (None, TEXTS["es"], None), (8, "12345 !!", "pt"), (9, TEXTS["en"] * 3000, "und")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, lang string, letters int")
