@@ -164,7 +164,10 @@ def _shingle_sets(words: int):
 def candidate_pairs(texts: DataFrame, ring: Ring, words: int) -> DataFrame:
     """Distinct (uid_a, uid_b) of texts that share a segment and keep the chain budgets behind it."""
     rows = texts.mapInArrow(_index_rows(ring, words), "key bigint, uid bigint, " + ", ".join(f"{c} bigint" for c in _CHAINS))
-    side = lambda x: rows.select("key", F.col("uid").alias(f"uid_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in _CHAINS])
+    # a text that many tasks hold has its rows once behind the exchange, which also serves the join
+    rows = rows.repartition("key").groupBy("key", "uid").agg(*[F.first(c).alias(c) for c in _CHAINS])
+    # a text becomes a row a segment, which the planner's size estimate does not know: never a broadcast
+    side = lambda x: rows.select("key", F.col("uid").alias(f"uid_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in _CHAINS]).hint("merge")
     a, b = side("a"), side("b")
 
     def differing(ahead: int):
@@ -191,8 +194,8 @@ def similar_texts(texts: DataFrame, threshold: float, words: int) -> DataFrame:
     pairs = materialize(candidate_pairs(texts, ring, words), "pairs")
     ids = materialize(pairs.select(F.explode(F.array("uid_a", "uid_b")).alias("uid")).distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    # hashed by uid here, the sets serve both joins without another exchange
-    sets = texts.join(wanted, "uid", "left_semi").mapInArrow(_shingle_sets(words), "uid bigint, shingles array<bigint>").dropDuplicates(["uid"])
+    # hashed by uid here, the sets serve both joins without another exchange; their size is unknown to the planner too
+    sets = texts.join(wanted, "uid", "left_semi").mapInArrow(_shingle_sets(words), "uid bigint, shingles array<bigint>").dropDuplicates(["uid"]).hint("merge")
     joined = pairs.join(sets.select(F.col("uid").alias("uid_a"), F.col("shingles").alias("sa")), "uid_a").join(
         sets.select(F.col("uid").alias("uid_b"), F.col("shingles").alias("sb")), "uid_b"
     )
