@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 TOKENS_PER_WORD = 1.33
 WORD = r"[\p{L}\p{N}_]+"
 _SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
-_NOT_SPACE = r"[^\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
+NOT_SPACE = r"[^\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 _UPPER = "A-ZÁÉÍÓÚÀÂÊÔÃÕÇ"
 
 # Words left out of ranking tokens.
@@ -67,7 +67,7 @@ PROMPT_ECHOES = ("você é um professor", "voce e um professor", "regras:", "con
 
 def words_of(text: Column) -> Column:
     """Runs without white space of any kind."""
-    return F.regexp_extract_all(text, F.lit(_NOT_SPACE + "+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(NOT_SPACE + "+"), F.lit(0))
 
 
 def strip(text: Column) -> Column:
