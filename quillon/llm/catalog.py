@@ -47,7 +47,7 @@ def _messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    flagged = lookalikes.normalise(_messages(spark, folder), with_text=False)
+    flagged = lookalikes.normalise(_messages(spark, folder))
     return flagged.where(lookalikes.any_case()).select("origin", "rec_id").distinct()
 
 
@@ -63,26 +63,23 @@ def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return scan_repair.Repair(table(spark, folder, "scan_pages")).paragraphs()
 
 
-def _pieces(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks").select("chunk_id", "text", "config_id")
     configs = table(spark, folder, "chunk_configs").select("config_id", "max_tokens", "overlap_tokens")
-    return structure_split.split_oversized(chunks.join(configs, "config_id", "left"), with_text=with_text)
+    return structure_split.split_oversized(chunks.join(configs, "config_id", "left"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _pieces(spark, folder, with_text=False).where("item_tokens > max_tokens").select("chunk_id").distinct()
-
-
-def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return _pieces(spark, folder, with_text=True)
+    """The items that come out in pieces."""
+    return p6_pieces(spark, folder).where("item_tokens > max_tokens").select("chunk_id").distinct()
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.oversized(table(spark, folder, "documents"), table(spark, folder, "pack_targets"))
+    return packing.split_alone(packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_targets")))
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_targets"))
+    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_targets")).drop("blank")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

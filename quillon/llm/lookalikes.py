@@ -78,23 +78,21 @@ def normalised_sql(relation: str) -> str:
     return f"SELECT * EXCLUDE (text), {one_script} AS normalised FROM ({sql})"
 
 
-def normalise(df: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
-    """Every row with a flag for each kind of look-alike and, if asked for, ``normalised``.
+def normalise(df: DataFrame, text: str = "text") -> DataFrame:
+    """Every row with a flag for each kind of look-alike and ``normalised``.
 
     Null texts have no flag set and stay null, empty and blank ones stay as they are (blank
     ones of unusual spaces become plain spaces). All other columns are kept; columns of the
     added names are replaced.
     """
-    added = [*KINDS, "normalised"] if with_text else [*KINDS]
+    added = [*KINDS, "normalised"]
     kept = df.drop(*added)
     schema = T.StructType(list(kept.schema.fields))
     for k in KINDS:
         schema = schema.add(k, "boolean")
-    if with_text:
-        schema = schema.add("normalised", "string")
-    flagged = flags_sql("batch")
+    schema = schema.add("normalised", "string")
     columns = ", ".join(added)
-    sql = f"SELECT {columns} FROM ({normalised_sql(flagged) if with_text else flagged}) ORDER BY i"
+    sql = f"SELECT {columns} FROM ({normalised_sql(flags_sql('batch'))}) ORDER BY i"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with duckdb.connect(config={"threads": 1, "memory_limit": "400MB"}) as con:

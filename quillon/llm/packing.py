@@ -14,12 +14,15 @@ import heapq
 import math
 from bisect import insort
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.runtime import materialize
+
 #: Items of a block on average.
 BLOCK_ITEMS = 1024
 END_TOKENS = 1
@@ -118,29 +121,37 @@ def _byte_cuts(text: str, limit: int) -> list[int]:
     return cuts
 
 
+#: Targets whose items one pass makes.
+TARGETS_AT_ONCE = 1000
+
+
 def sized_items(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """What has to be packed for each target: whole documents, and pieces of those too large alone.
 
-    Columns: target_id, capacity, doc_id, piece_no, n_pieces, start, stop (characters), size.
-    Null ids, texts, targets and capacities give no rows; a repeated document or target counts
-    once. Blank texts are items like others. The targets are few: they are broadcast only if
-    Spark finds them small.
+    Columns: target_id, capacity, doc_id, piece_no, n_pieces, start, stop (characters), size,
+    blank. Null ids, texts, targets and capacities give no rows; a repeated document or target
+    counts once. Blank texts are items like others. The targets are few and ride in the plan, at
+    most ``TARGETS_AT_ONCE`` in one pass over the documents.
     """
-    ids = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.octet_length(text) + END_TOKENS).alias("bytes"))
-    goals = [(r.target_id, r.capacity) for r in targets.select("target_id", "capacity").where("target_id IS NOT NULL AND capacity > 1").distinct().orderBy("target_id", "capacity").limit(1001).collect()]
-    if len(goals) > 1000:
-        raise ValueError("more than 1000 targets; pack them in several calls")
-    spark = docs.sparkSession
-    kinds = f"target_id {targets.schema['target_id'].dataType.simpleString()}, capacity int"
-    if not goals:
-        return spark.createDataFrame([], f"{kinds}, doc_id {ids.schema['doc_id'].dataType.simpleString()}, piece_no int, n_pieces int, start int, stop int, size int")
+    goals = [(r.target_id, r.capacity) for r in targets.select("target_id", "capacity").where("target_id IS NOT NULL AND capacity > 1").distinct().orderBy("target_id", "capacity").toLocalIterator()]
+    kind = targets.schema["target_id"].dataType.simpleString()
+    parts = [_items_of(docs, goals[i : i + TARGETS_AT_ONCE], kind, doc_id, text) for i in range(0, len(goals), TARGETS_AT_ONCE)]
+    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], _item_schema(docs, kind, doc_id))
+
+
+def _item_schema(docs: DataFrame, kind: str, doc_id: str) -> str:
+    return f"target_id {kind}, capacity int, doc_id {docs.schema[doc_id].dataType.simpleString()}, piece_no int, n_pieces int, start int, stop int, size int, blank boolean"
+
+
+def _items_of(docs: DataFrame, goals: list[tuple[int, int]], kind: str, doc_id: str, text: str) -> DataFrame:
+    blank = ~F.col(text).rlike(r"[^\s\p{Z}]")
+    ids = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.octet_length(text) + END_TOKENS).alias("bytes"), blank.alias("blank"))
     listed = F.array(*[F.struct(F.lit(t).alias("target_id"), F.lit(c).alias("capacity")) for t, c in goals])
     per = ids.withColumn("goal", F.explode(listed))
     fits = per.where("bytes <= goal.capacity").select(
-        "goal.target_id", "goal.capacity", "doc_id", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start"), F.char_length("text").alias("stop"), F.col("bytes").alias("size")
+        "goal.target_id", "goal.capacity", "doc_id", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start"), F.char_length("text").alias("stop"), F.col("bytes").alias("size"), "blank"
     )
-    over = per.where("bytes > goal.capacity").select("goal.target_id", "goal.capacity", "doc_id", "text")
-    schema = f"{kinds}, doc_id {ids.schema['doc_id'].dataType.simpleString()}, piece_no int, n_pieces int, start int, stop int, size int"
+    over = per.where("bytes > goal.capacity").select("goal.target_id", "goal.capacity", "doc_id", "text", "blank")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,17 +163,11 @@ def sized_items(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tex
             columns = list(zip(*rows)) if rows else [()] * 6
             at = pa.array(columns[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(j).take(at) for j in range(3)] + [pa.array(c, pa.int32()) for c in columns[1:]],
-                names=["target_id", "capacity", "doc_id", "piece_no", "n_pieces", "start", "stop", "size"],
+                [batch.column(j).take(at) for j in range(3)] + [pa.array(c, pa.int32()) for c in columns[1:]] + [batch.column(4).take(at)],
+                names=["target_id", "capacity", "doc_id", "piece_no", "n_pieces", "start", "stop", "size", "blank"],
             )
 
-    return fits.unionByName(over.mapInArrow(cut, schema))
-
-
-def oversized(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(target_id, doc_id) of the documents that had to be split for a target."""
-    blank = docs.where(F.col(text).rlike(r"[^\s\p{Z}]"))
-    return sized_items(blank, targets, doc_id, text).where("n_pieces > 1").select("target_id", "doc_id").distinct()
+    return fits.unionByName(over.mapInArrow(cut, _item_schema(docs, kind, doc_id)))
 
 
 def pack(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -171,9 +176,12 @@ def pack(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str
     A container is numbered by its block and its window within the block; its content never
     exceeds the capacity, unless the capacity is too small for a single character.
     """
-    items = sized_items(docs, targets, doc_id, text).distinct()
-    blocks = max(1, math.ceil(docs.count() / block_items))
-    placed = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(blocks)).cast("int"))
+    # written once: the count of each target's items sets its blocks, then the items go to them
+    items = materialize(sized_items(docs, targets, doc_id, text).distinct(), "items")
+    goal = ["target_id", "capacity"]
+    blocks = items.groupBy(*goal).agg(F.ceil(F.count("*") / F.lit(block_items)).cast("int").alias("blocks"))
+    # one row a target, and the targets ride in the plan already
+    placed = items.join(F.broadcast(blocks), goal).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("blocks")).cast("int")).drop("blocks")
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "piece_no"], kind="stable").reset_index(drop=True)
@@ -181,4 +189,9 @@ def pack(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str
         return group.assign(window=pd.Series(pack_block([min(int(s), capacity) for s in group["size"]], capacity), dtype="int32"))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields) + ", window int"
-    return placed.groupBy("target_id", "block").applyInPandas(fill, schema)
+    return placed.groupBy(*goal, "block").applyInPandas(fill, schema)
+
+
+def split_alone(packed: DataFrame) -> DataFrame:
+    """(target_id, doc_id) of the documents with words that a packing had to split, being too large alone."""
+    return packed.where("n_pieces > 1 AND NOT blank").select("target_id", "doc_id").distinct()

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.text import NOT_SPACE, count_tokens
+
 TOKENS_PER_WORD = 1.33
 _HEADING = re.compile(
     r"(?:#{1,6}\s+\S.*|(?i:unidade|unidad|unit|unité|einheit|parte|part|teil|partie|cap[íi]tulo|chapter|chapitre|kapitel|se[çc][ãa]o|secci[óo]n|section|abschnitt)\s+[\dIVXLC]+\b.*|\d+(?:\.\d+)+\.?\s+\S.*)$"
@@ -123,7 +125,8 @@ def split_spans(text: str, max_words: int, overlap_words: int) -> list[tuple[int
                 if open_run and size <= 20 and size + words(*finer[0]) <= limit and level <= 11:
                     finer[0] = (out.pop()[0], finer[0][1])
                 out += finer
-                open_run = False
+                # the rest that is left at the end may take in the next sibling
+                open_run, size = True, words(*finer[-1])
             elif open_run and size + n <= limit:
                 out[-1] = (out[-1][0], e)
                 size += n
@@ -141,46 +144,45 @@ def split_spans(text: str, max_words: int, overlap_words: int) -> list[tuple[int
 
 
 def split_oversized(
-    items: DataFrame, item_id: str = "chunk_id", text: str = "text", limit: str = "max_tokens", overlap: str = "overlap_tokens", with_text: bool = True
+    items: DataFrame, item_id: str = "chunk_id", text: str = "text", limit: str = "max_tokens", overlap: str = "overlap_tokens"
 ) -> DataFrame:
     """The pieces of every distinct item, in order.
 
     Columns: the id, ``piece_no`` from 0, ``n_pieces``, ``item_tokens``, ``max_tokens``,
     ``piece_tokens``, ``shared_tokens`` (of the words a piece shares with the one before it),
-    ``start`` and ``stop`` (characters) and, if asked for, ``piece``. An item within its limit,
-    or with a null limit, is one piece, its text unchanged. Null, empty and blank texts and
-    null ids have no pieces; an overlap not below the limit is cut to what leaves room for one
-    new word; repeated rows count once.
+    ``start`` and ``stop`` (characters) and ``piece``. An item within its limit, or with a null
+    limit, is one piece, its text unchanged, and never leaves the JVM. Null, empty and blank
+    texts and null ids have no pieces; an overlap not below the limit is cut to what leaves room
+    for one new word; repeated rows count once.
     """
-    rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(item_id, text, F.col(limit).cast("int").alias("lim"), F.col(overlap).cast("int").alias("ovl"))
+    rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(item_id, F.col(text).alias("piece"), F.col(limit).cast("int").alias("lim"), F.col(overlap).cast("int").alias("ovl"))
     # pieces are told apart by the item they come from, not by their places in it alone
-    rows = rows.withColumn("item", F.xxhash64(F.col(text), F.coalesce("lim", F.lit(-(1 << 31))), F.coalesce("ovl", F.lit(0))))
+    rows = rows.withColumns({"item": F.xxhash64(F.col("piece"), F.coalesce("lim", F.lit(-(1 << 31))), F.coalesce("ovl", F.lit(0))), "size": count_tokens(F.col("piece"))}).where(F.col("piece").rlike(NOT_SPACE))
+    over = F.coalesce(F.col("size") > F.col("lim"), F.lit(False))
+    number = lambda x, name: F.lit(x).alias(name)
+    whole = rows.where(~over).select(
+        item_id, number(0, "piece_no"), number(1, "n_pieces"), F.col("size").alias("item_tokens"), F.col("lim").alias("max_tokens"), F.col("size").alias("piece_tokens"),
+        number(0, "shared_tokens"), number(0, "start"), F.char_length("piece").alias("stop"), "piece", "item",
+    )
     kind = rows.schema[item_id].dataType.simpleString()
-    schema = f"`{item_id}` {kind}, piece_no int, n_pieces int, item_tokens int, max_tokens int, piece_tokens int, shared_tokens int, start int, stop int" + ", piece string" * with_text + ", item bigint"
-    names = [item_id, "piece_no", "n_pieces", "item_tokens", "max_tokens", "piece_tokens", "shared_tokens", "start", "stop"] + ["piece"] * with_text
+    names = ["piece_no", "n_pieces", "item_tokens", "max_tokens", "piece_tokens", "shared_tokens", "start", "stop", "piece", "item"]
+    schema = f"`{item_id}` {kind}, " + ", ".join(f"{n} {'string' if n == 'piece' else 'bigint' if n == 'item' else 'int'}" for n in names)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at: list[int] = []
-            out: list[list] = [[] for _ in names[1:]]
-            for i, (t, lim, ovl) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                n = len(t.split())
-                if not n:
-                    continue
-                size = tokens_of(n)
-                if lim is None or size <= lim:
-                    spans = [(0, 0, len(t))]
-                else:
-                    spans = split_spans(t, words_within(lim), words_for(ovl or 0))
+            out: list[list] = [[] for _ in names[:-1]]
+            for i, (t, lim, ovl, size) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 5)))):
+                spans = split_spans(t, words_within(lim), words_for(ovl or 0))
                 for k, (s, core, e) in enumerate(spans):
                     at.append(i)
-                    whole = len(spans) == 1
-                    row = [k, len(spans), size, lim, size if whole else tokens_of(len(t[s:e].split())), 0 if core == s else tokens_of(len(t[s:core].split())), s, e]
-                    for column, value in zip(out, row + [t[s:e]] * with_text):
+                    row = [k, len(spans), size, lim, size if len(spans) == 1 else tokens_of(len(t[s:e].split())), 0 if core == s else tokens_of(len(t[s:core].split())), s, e, t[s:e]]
+                    for column, value in zip(out, row):
                         column.append(value)
+            where = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, pa.string() if n == "piece" else pa.int32()) for n, c in zip(names[1:], out)] + [batch.column(4).take(pa.array(at, pa.int64()))],
-                names=[*names, "item"],
+                [batch.column(0).take(where)] + [pa.array(c, pa.string() if n == "piece" else pa.int32()) for n, c in zip(names, out)] + [batch.column(4).take(where)], names=[item_id, *names]
             )
 
-    return rows.mapInArrow(pieces, schema).dropDuplicates([item_id, "item", "piece_no"]).drop("item")
+    cut = rows.where(over).select(item_id, "piece", "lim", "ovl", "item", "size").mapInArrow(pieces, schema)
+    return whole.unionByName(cut).dropDuplicates([item_id, "item", "piece_no"]).drop("item")

@@ -38,7 +38,7 @@ def test_cases(spark):
         on = [k for k in la.KINDS if rows[i][k]]
         assert (kind in on) if kind else not on, (text, on)
         assert rows[i].normalised == clean, text
-    flagged = {r.i for r in la.normalise(df, with_text=False).where(la.any_case()).collect()}
+    flagged = {r.i for r in la.normalise(df).where(la.any_case()).collect()}
     assert flagged == {i for i, (k, _) in enumerate(CASES.values()) if k}
 
 

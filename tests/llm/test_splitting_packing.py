@@ -108,5 +108,5 @@ def test_containers_of_a_table(spark):
         for doc, text in by.items():
             parts = sorted((r.piece_no, r.start, r.stop) for r in got if r.target_id == target and r.doc_id == doc)
             assert "".join(text[s:e] for _, s, e in parts) == text and parts
-    assert {(r.target_id, r.doc_id) for r in packing.oversized(docs, targets).collect()} == {(1, 1), (1, 5), (1, 6)}
+    assert {(r.target_id, r.doc_id) for r in packing.split_alone(packing.pack(docs, targets)).collect()} == {(1, 1), (1, 5), (1, 6)}
     assert packing.pack(docs.limit(0), targets).count() == 0 and packing.pack(docs, targets.limit(0)).count() == 0
