@@ -16,12 +16,12 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillon.runtime import materialize
@@ -242,57 +242,82 @@ def _words(line: str) -> list[str]:
     return out
 
 
-_TOKENS = "page_id {id}, source string, page int, kind string, line_no int, word string, next_word string, next_line int, capital boolean"
+_TOKENS = (
+    "page_id {id}, source string, page int, kind string, line_no int, word string, next_word string, next_line int, capital boolean, n bigint, words array<string>, at array<int>"
+)
+#: Pages that a worker turns into rows at once.
+_BLOCK_PAGES = 512
 
 
 def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a page: furniture, words, line ends in a hyphen, first word and misread numbers."""
-    for batch in batches:
-        get = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names) if n != "page_id"}
-        at: list[int] = []
-        rows: list[tuple] = []
-        for r, text in enumerate(get["text"]):
-            lines = text.split("\n")
-            style = {k: get[k][r] for k in ("best", "votes", "low", "high", "bottom")}
-            kinds = _furniture(lines, get["book_title"][r] or get["book"][r], get["page"][r], get["hits"][r] or [], style)
-
-            def add(kind: str, i: int, word: str | None = None, after: str | None = None, after_line: int | None = None, capital: bool = False, r: int = r) -> None:
-                at.append(r)
-                rows.append((get["source"][r], get["page"][r], kind, i, word, after, after_line, capital))
-
-            body = [i for i, line in enumerate(lines) if line.strip() and i not in kinds]
-            for i, kind in kinds.items():
-                add(kind, i)
-            skip_first = False
-            for k, i in enumerate(body):
-                raw = lines[i].strip()
-                words = _words(lines[i])
-                if k == 0 and words:
-                    add("first", i, words[0])
-                # the letter before the hyphen may be misread itself, a number's range is no word
-                broken = len(raw) > 1 and raw[-1] in HYPHENS and (raw[-2].isalnum() or raw[-2] in SIGNS) and any(c.isalpha() for c in raw.split()[-1])
-                begin, stop = 1 if skip_first else 0, len(words)
-                skip_first = False
-                if broken:
-                    head = raw.split()[-1][:-1].lstrip(_OPENING)
-                    after = body[k + 1] if k + 1 < len(body) else None
-                    tail = _words(lines[after])[:1] if after is not None else []
-                    add(f"hyphen{raw[-1]}", i, head, tail[0] if tail else None, after, head[:1].isupper())
-                    # neither half is a word
-                    skip_first = bool(tail)
-                    if words and raw.split()[-1].lstrip(_OPENING).rstrip(_CLOSING + HYPHENS) == words[-1].rstrip(HYPHENS):
-                        stop -= 1
-                for w in words[begin:stop]:
-                    if misread_number(w):
-                        add("number", i, w)
-                    elif any(c.isalpha() for c in w):
-                        add("word", i, w.lower(), capital=w[0].isupper())
-        columns = list(zip(*rows)) if rows else [()] * 8
-        kinds_ = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.names.index("page_id")).take(pa.array(at, pa.int64()))] + [pa.array(c, t) for c, t in zip(columns, kinds_)],
-            names=["page_id", "source", "page", "kind", "line_no", "word", "next_word", "next_line", "capital"],
-        )
+    """Rows of a page by kind: furniture, line ends in a hyphen, first word, misread numbers, and one
+    row with all words of the running text and their lines; a batch also has a row for each
+    distinct word with its count."""
+    for whole in batches:
+        counts: Counter[str] = Counter()
+        for first in range(0, whole.num_rows, _BLOCK_PAGES):
+            batch = whole.slice(first, _BLOCK_PAGES)
+            get = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
+            rows: list[tuple] = []
+            for r, text in enumerate(get["text"]):
+                words, at = _one_page(rows, {k: v[r] for k, v in get.items()})
+                counts.update(words)
+                rows.append((get["page_id"][r], get["source"][r], get["page"][r], "words", None, None, None, None, None, None, words, at))
+            yield _token_batch(rows, whole.schema.field("page_id").type)
+        yield _token_batch([(None, None, None, "count", None, w, None, None, None, n, None, None) for w, n in counts.items()], whole.schema.field("page_id").type)
+
+
+def _token_batch(rows: list[tuple], page_id: pa.DataType) -> pa.RecordBatch:
+    kinds = [page_id, pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())]
+    names = ["page_id", "source", "page", "kind", "line_no", "word", "next_word", "next_line", "capital", "n", "words", "at"]
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+
+def _one_page(rows: list[tuple], p: dict) -> tuple[list[str], list[int]]:
+    """Adds the rows of a page; returns the words of its running text, lowered, and their lines."""
+    lines = p["text"].split("\n")
+    kinds = _furniture(lines, p["book_title"] or p["book"], p["page"], p["hits"] or [], p)
+
+    def add(kind: str, i: int, word: str | None = None, after: str | None = None, after_line: int | None = None, capital: bool = False) -> None:
+        rows.append((p["page_id"], p["source"], p["page"], kind, i, word, after, after_line, capital, None, None, None))
+
+    body = [i for i, line in enumerate(lines) if line.strip() and i not in kinds]
+    for i, kind in kinds.items():
+        add(kind, i)
+    found: list[str] = []
+    where: list[int] = []
+    skip_first = False
+    for k, i in enumerate(body):
+        raw = lines[i].strip()
+        words = _words(lines[i])
+        if k == 0 and words:
+            add("first", i, words[0])
+        # the letter before the hyphen may be misread itself, a number's range is no word
+        broken = len(raw) > 1 and raw[-1] in HYPHENS and (raw[-2].isalnum() or raw[-2] in SIGNS) and any(c.isalpha() for c in raw.split()[-1])
+        begin, stop = 1 if skip_first else 0, len(words)
+        skip_first = False
+        if broken:
+            head = raw.split()[-1][:-1].lstrip(_OPENING)
+            after = body[k + 1] if k + 1 < len(body) else None
+            tail = _words(lines[after])[:1] if after is not None else []
+            add(f"hyphen{raw[-1]}", i, head, tail[0] if tail else None, after, head[:1].isupper())
+            # neither half is a word
+            skip_first = bool(tail)
+            if words and raw.split()[-1].lstrip(_OPENING).rstrip(_CLOSING + HYPHENS) == words[-1].rstrip(HYPHENS):
+                stop -= 1
+        for w in words[begin:stop]:
+            if not w.isalpha():
+                if w.isdecimal():
+                    continue
+                if misread_number(w):
+                    add("number", i, w)
+                    continue
+                if not any(c.isalpha() for c in w):
+                    continue
+            found.append(w.lower())
+            where.append(i)
+    return found, where
 
 
 def with_edges(pages: DataFrame) -> DataFrame:
@@ -376,7 +401,9 @@ def corrections(counts: DataFrame) -> DataFrame:
             )
 
     known = counts.select(F.col("word").alias("printed"), F.col("n").alias("m"))
-    tried = counts.select("word", "n").mapInArrow(rows, "word string, n bigint, printed string, at int, sign boolean, mixed boolean").join(known, "printed")
+    # a word becomes many rows, so it is spread by itself and neither side's size can be told before
+    spread = counts.select("word", "n").repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tried = spread.mapInArrow(rows, "word string, n bigint, printed string, at int, sign boolean, mixed boolean").hint("merge").join(known, "printed")
     likely = tried.where(F.when(F.col("sign"), (F.col("m") >= 2) & (F.col("m") > F.col("n"))).otherwise((F.col("m") >= 4) & (F.col("m") >= RATIO * F.col("n")) & (F.col("n") <= FEW + SHARE * F.col("m"))))
     best = likely.groupBy("word").agg(F.max_by(F.struct("printed", "at"), F.struct(~F.col("mixed"), "m", "printed")).alias("b")).select("word", "b.*")
     ended = counts.where(F.col("word").endswith("!")).select("word", F.expr("substring(word, 1, length(word) - 1)").alias("printed"))
@@ -392,8 +419,8 @@ class Repair:
         kind = self.pages.schema["page_id"].dataType.simpleString()
         rows = with_edges(self.pages).select("page_id", "source", "page", "text", "book_title", "book", "hits", "best", "votes", "low", "high", "bottom")
         self.rows = materialize(rows.mapInArrow(_page_rows, _TOKENS.format(id=kind)), "rows")
-        words = self.rows.where("kind = 'word'").select("word", "capital")
-        counts = words.groupBy("word").agg(F.count("*").alias("n"))
+        # the words were counted in the tasks that read them
+        counts = self.rows.where("kind = 'count'").groupBy("word").agg(F.sum("n").alias("n"))
         self.vocabulary = materialize(counts.unionByName(self._ended(counts)).groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
         self.breaks = materialize(self._breaks(), "breaks")
         # words cut in two are words like others
@@ -448,7 +475,8 @@ class Repair:
 
     def misread(self) -> DataFrame:
         """(page_id, line_no, word, printed): words and numbers of the running text read wrongly."""
-        plain = self.rows.where("kind = 'word'").join(self.corrections, "word").select("page_id", "line_no", "word", "printed")
+        every = self.rows.where("kind = 'words'").select("page_id", F.explode(F.arrays_zip("words", "at")).alias("w")).select("page_id", F.col("w.at").alias("line_no"), F.col("w.words").alias("word"))
+        plain = every.join(self.corrections, "word").select("page_id", "line_no", "word", "printed")
         numbers = self.rows.where("kind = 'number'").select("page_id", "line_no", "word", F.translate("word", "lIOoSBgZ", "11005892").alias("printed"))
         split = (
             self.breaks.where("cut AND next_word IS NOT NULL")
