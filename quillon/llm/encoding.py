@@ -52,6 +52,9 @@ _EXPECTED = frozenset(_ACCENTED + "æøåÆØÅÿ¿¡«»“”„‘’‚–
 _USUAL = re.compile(r"""[^\w\s]*(?:[A-Z]?[a-záàâãäéèêëíìîïóòôõöúùûüçñßœ'’\-]*|[A-ZÁÀÂÃÄÉÈÊËÍÓÔÕÖÚÜÇÑ'’\-]+)[.,;:!?…”“"»)\]\d’']*""")
 _ODD_PUNCTUATION = re.compile("[^\\x00-\\x7f“”„‘’–—…«»¿¡áàâãäéèêëíìîïóòôõöúùûüçñßœÁÀÂÃÄÉÈÊËÍÓÔÕÖÚÜÇÑ]")
 
+#: Signs of three bytes in UTF-8 are measured as two, like letters, by their places in cp1252: else
+#: any reading that turns one into a letter were a byte shorter.
+_EVEN = str.maketrans({bytes([b]).decode("cp1252"): chr(b) for b in range(0x80, 0xA0) if not bytes([b]).decode("cp1252", "replace")[0].isalpha() and bytes([b]).decode("cp1252", "replace") != "\ufffd"})
 _MARKS = "\"'“”„‘’()[]{}«»¿¡.,;:!?…–—"
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
 
@@ -175,7 +178,7 @@ class Restorer:
         return self._known[lang]
 
     def _size(self, lang: str, text: str) -> int:
-        return len(self._zip[lang].compress(text.encode("utf-8", "surrogatepass")))
+        return len(self._zip[lang].compress(text.translate(_EVEN).encode("utf-8", "surrogatepass")))
 
     def _cost(self, lang: str, word: str) -> int:
         key = (lang, word)
@@ -206,7 +209,7 @@ class Restorer:
 
     def _suspect(self, word: str) -> bool:
         if (known := self._words.get(word)) is None:
-            known = LOST in word or (suspicious_shape(word) and any(self._run(steps, cost, word, lang) != word for _, steps, cost in chains() for lang in self._zip))
+            known = LOST in word or (not word.isascii() and any(self._run(steps, cost, word, lang) != word for _, steps, cost in chains() for lang in self._zip))
             if len(self._words) >= self._remember:
                 self._words.clear()
             self._words[word] = known

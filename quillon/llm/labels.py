@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ SPELLINGS = {
     "fr": "fr fra fre french frances francais franzosisch",
     "de": "de deu ger german alemao aleman allemand deutsch",
 }
+#: Parts of the hash's range in which shares of a table are counted.
+_SHARES = 1 << 40
 _NAMED = {word: lang for lang, words in SPELLINGS.items() for word in words.split()}
 _ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñ"
 _PLAIN = unicodedata.normalize("NFD", _ACCENTED).encode("ascii", "ignore").decode()
@@ -45,8 +48,19 @@ def label_language(label: Column) -> Column:
 def labelled_sample(docs: DataFrame, per_language: int, text: str = "text", label: str = "lang") -> dict[str, list[str]]:
     """At most ``per_language`` non-blank texts of each language, as labelled; labels may be wrong.
 
-    The bound keeps what comes to the driver the same at every table size; one pass of a
-    limit for each language reads no more files than it needs.
+    The texts with the least hashes are taken, so the sample depends on the rows alone and not on
+    how they lie in files. The labels are counted first; then one pass keeps the share of each
+    language that its bound asks for, a quarter more to be sure, and copies of a text once. What
+    comes to the driver is bounded, whatever the size of the table.
     """
-    known = docs.select(F.col(text).alias("t"), label_language(F.col(label)).alias("l")).where(F.col("t").rlike(r"\p{L}"))
-    return {lang: [r.t for r in known.where(F.col("l") == lang).select("t").limit(per_language).collect()] for lang in LANGUAGES}
+    named = label_language(F.col(label))
+    counts = {r.l: r.n for r in docs.groupBy(named.alias("l")).agg(F.count("*").alias("n")).where("l IS NOT NULL").collect()}
+    known = docs.select(F.col(text).alias("t"), named.alias("l")).where(F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("t"))
+    low = F.pmod(F.col("h"), F.lit(_SHARES))
+    taken = [(F.col("l") == lang) & (low < min(_SHARES, -(-_SHARES * per_language * 5 // (n * 4)))) for lang, n in counts.items()]
+    if not taken:
+        return {lang: [] for lang in LANGUAGES}
+    # one row a text and task is shuffled, however many copies there are
+    drawn = known.where(reduce(Column.__or__, taken)).groupBy("l", "h").agg(F.min("t").alias("t")).collect()
+    drawn.sort(key=lambda r: (r.h % _SHARES, r.h))
+    return {lang: [r.t for r in drawn if r.l == lang][:per_language] for lang in LANGUAGES}
