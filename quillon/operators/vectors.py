@@ -1,8 +1,12 @@
-"""Similarity search over a table of vectors, exact and by inverted lists."""
+"""Similarity search over a table of vectors, exact and by cells.
+
+Queries are taken in blocks of bounded size. A block goes to the workers, and every task keeps
+the best rows of each of its queries, so what is shuffled is a few rows a query and task.
+"""
 
 from __future__ import annotations
 
-import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.runtime import own_tables
+
 #: Queries that are sent to the workers at once: at 1,000 dimensions 32 MB.
 BLOCK_QUERIES = 4096
-#: Rows from which the cells of the approximate index are learned.
+#: Rows from which the cells of the approximate index are learned, those with the least hashes.
 SAMPLE_ROWS = 20_000
+#: Scores that a worker computes at once (32 MB).
+SCORES = 4_000_000
+#: Cells of the approximate index: as many as the square root of the rows, within these bounds.
+LEAST_CELLS, MOST_CELLS = 32, 1000
+#: Share of the cells that a query looks into. Vectors without much of a cluster structure have neighbours in far cells too.
+PROBED = 0.75
+
+_FOUND = "qid bigint, cid bigint, score double"
 
 
 class EmbeddingMismatchError(ValueError):
@@ -27,39 +41,80 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _partial_top(ids: list, vectors: np.ndarray, k: int):
-    """A map over batches of (id, vector) to the k nearest rows of each query of the block, one task at a time."""
+class _Best:
+    """The k best rows of every query of a block, kept while rows stream by.
+
+    A row whose score reaches the present k-th best of a query is noted; notes are thinned out
+    from time to time. Copies of a row count once and ties all stay until the order of ids
+    decides, so neither the order of batches nor repeated rows can matter.
+    """
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.floor = np.full(len(ids), -np.inf)
+        self.query, self.row, self.score = [], [], []
+        self.noted = 0
+
+    def add(self, queries: np.ndarray, own: np.ndarray, scores: np.ndarray) -> None:
+        """``scores`` of rows ``own`` (down) for the queries of these numbers (across)."""
+        r, q = np.nonzero(scores >= self.floor[queries])
+        q, other = queries[q], own[r] != self.ids[queries[q]]
+        self.query.append(q[other]), self.row.append(own[r][other]), self.score.append(scores[r, np.searchsorted(queries, q)][other])
+        self.noted += int(other.sum())
+        if self.noted > 4 * self.k * len(self.ids) + SCORES // 8:
+            self.thin()
+
+    def thin(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, c, s = (np.concatenate(x) if x else np.empty(0) for x in (self.query, self.row, self.score))
+        order = np.lexsort((-s, c, q))
+        q, c, s = q[order], c[order], s[order]
+        new = np.ones(q.size, dtype=bool)
+        new[1:] = (q[1:] != q[:-1]) | (c[1:] != c[:-1])
+        q, c, s = q[new], c[new], s[new]
+        order = np.lexsort((c, -s, q))
+        q, c, s = q[order], c[order], s[order]
+        begin = np.flatnonzero(np.diff(q, prepend=-1))
+        place = np.arange(q.size) - np.repeat(begin, np.diff(np.append(begin, q.size)))
+        last = place == self.k - 1
+        self.floor[q[last].astype(np.int64)] = s[last]
+        top = place < self.k
+        q, c, s = q[top], c[top], s[top]
+        self.query, self.row, self.score, self.noted = [q], [c], [s], q.size
+        return q, c, s
+
+
+def _partial_top(ids: np.ndarray, vectors: np.ndarray, k: int, centroids: np.ndarray | None = None, probes: int = 0):
+    """A map over batches of (id, vector) to the k nearest rows of each query of the block, one task at a time.
+
+    With centroids a row is compared with those queries only that look into its cell.
+    """
+    if centroids is not None:
+        near = np.argsort(-(vectors @ centroids.T), axis=1, kind="stable")[:, :probes]
+        looks = np.zeros((len(ids), len(centroids)), dtype=bool)
+        np.put_along_axis(looks, near, True, axis=1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list] = [[] for _ in ids]
+        best = _Best(ids, k)
+        every = np.arange(len(ids))
+        # a few rows first, so that there is a k-th best to compare with
+        step, most = 4 * k + 16, max(1, SCORES // len(ids))
         for batch in batches:
-            m = _matrix(batch.column(1))
-            if not m.size:
-                continue
-            own = batch.column(0).to_numpy()
-            scores = m @ vectors.T
-            # copies of a row must not take the places of others
-            by_id = np.argsort(own, kind="stable")
-            first = np.flatnonzero(np.diff(own[by_id], prepend=own[by_id[0]] - 1))
-            if len(first) < len(own):
-                own, scores = own[by_id[first]], np.maximum.reduceat(scores[by_id], first, axis=0)
-            own = own.tolist()
-            # one more for the row of the query itself; ties with the last score all stay, so the order of batches cannot matter
-            keep = min(k + 1, len(own))
-            edge = np.partition(scores, len(own) - keep, axis=0)[len(own) - keep]
-            for q in range(len(ids)):
-                for r in np.flatnonzero(scores[:, q] >= edge[q]):
-                    if own[r] != ids[q]:
-                        best[q].append((float(scores[r, q]), own[r]))
-                if len(best[q]) > 4 * k + 64:
-                    most: dict = {}
-                    for s, c in best[q]:
-                        most[c] = max(s, most.get(c, s))
-                    floor = heapq.nlargest(k, most.values())[-1]
-                    best[q] = [(s, c) for c, s in most.items() if s >= floor]
-        found = [(q, c, s) for q, rows_ in zip(ids, best) for s, c in rows_]
-        columns = list(zip(*found)) if found else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["qid", "cid", "score"])
+            m, own = _matrix(batch.column(1)), batch.column(0).to_numpy()
+            at = 0
+            while at < len(own) and m.size:
+                part, names = m[at : at + min(step, most)], own[at : at + min(step, most)]
+                at, step = at + min(step, most), step * 2
+                if centroids is None:
+                    best.add(every, names, part @ vectors.T)
+                else:
+                    cell = (part @ centroids.T).argmax(axis=1)
+                    for c in np.unique(cell):
+                        asking, inside = np.flatnonzero(looks[:, c]), cell == c
+                        if asking.size:
+                            best.add(asking, names[inside], part[inside] @ vectors[asking].T)
+                best.thin()
+        q, c, s = best.thin()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q.astype(np.int64)]), pa.array(c.astype(np.int64)), pa.array(s.astype(np.float64))], names=["qid", "cid", "score"])
 
     return rows
 
@@ -75,6 +130,38 @@ def _ranked(partial: DataFrame, k: int) -> DataFrame:
     return partial.groupBy("qid", "cid").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _blocks(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the queries, a block at a time; the driver holds one block."""
+    ids, vectors = [], []
+    for r in asked.dropDuplicates(["id"]).toLocalIterator():
+        ids.append(r.id), vectors.append(r.v)
+        if len(ids) == BLOCK_QUERIES:
+            yield np.array(ids, dtype=np.int64), np.array(vectors, dtype=np.float64)
+            ids, vectors = [], []
+    if ids:
+        yield np.array(ids, dtype=np.int64), np.array(vectors, dtype=np.float64)
+
+
+def _search(corpus: DataFrame, asked: DataFrame, k: int, centroids: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """Partial results of all blocks. A lone block stays a plan; of several each is run and written before the next is fetched."""
+    spark = corpus.sparkSession
+    if k <= 0:
+        return spark.createDataFrame([], _FOUND)
+    path, first, several = f"{own_tables(spark)}/found-{uuid.uuid4().hex}", None, False
+    for ids, vectors in _blocks(asked):
+        part = corpus.mapInArrow(_partial_top(ids, vectors, k, centroids, probes), _FOUND)
+        if first is None:
+            first = part
+            continue
+        if not several:
+            first.write.parquet(path)
+            several = True
+        part.write.mode("append").parquet(path)
+    if first is None:
+        return spark.createDataFrame([], _FOUND)
+    return spark.read.schema(_FOUND).parquet(path) if several else first
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(qid, cid, score, rank): the k rows of largest inner product for every query, exactly.
 
@@ -83,29 +170,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", v
     task, so what is shuffled does not grow with the rows of a task. Rows with a null id,
     a null vector or null elements are left out; k of 0 gives no rows.
     """
-    corpus, asked = _clean(rows, row_id, vector), _clean(queries, row_id, vector)
-    schema = "qid bigint, cid bigint, score double"
-    out, block = None, []
-
-    def flush() -> None:
-        nonlocal out, block
-        if block:
-            part = corpus.mapInArrow(_partial_top([i for i, _ in block], np.array([v for _, v in block], dtype=np.float64), k), schema)
-            out, block = part if out is None else out.unionByName(part), []
-
-    if k > 0:
-        for r in asked.dropDuplicates(["id"]).toLocalIterator():
-            block.append((r.id, r.v))
-            if len(block) == BLOCK_QUERIES:
-                flush()
-        flush()
-    spark = rows.sparkSession
-    return _ranked(out if out is not None else spark.createDataFrame([], schema), k)
+    return _ranked(_search(_clean(rows, row_id, vector), _clean(queries, row_id, vector), k), k)
 
 
 def learn_cells(rows: DataFrame, cells: int, row_id: str = "vec_id", vector: str = "embedding", rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """Unit centroids of spherical k-means over at most ``SAMPLE_ROWS`` rows."""
-    sample = np.array([r.v for r in _clean(rows, row_id, vector).limit(SAMPLE_ROWS).collect()], dtype=np.float64)
+    """Unit centroids of spherical k-means over at most ``SAMPLE_ROWS`` rows, those with the least hashes of their ids."""
+    drawn = _clean(rows, row_id, vector).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    sample = np.array([r.v for r in drawn.collect()], dtype=np.float64)
     if not len(sample):
         return np.zeros((0, 0))
     rng = np.random.default_rng(seed)
@@ -119,48 +190,24 @@ def learn_cells(rows: DataFrame, cells: int, row_id: str = "vec_id", vector: str
     return centroids
 
 
-def _cells_of(centroids: np.ndarray, probes: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = _matrix(batch.column(1))
-            n = min(probes, len(centroids))
-            near = np.argsort(-(m @ centroids.T), axis=1, kind="stable")[:, :n] if m.size else np.zeros((0, n), dtype=np.int64)
-            at = np.repeat(np.arange(len(near)), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(near.ravel().astype(np.int32))], names=["id", "v", "cell"])
-
-    return rows
-
-
-def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int, cells: int = 32, probes: int = 24, shard_rows: int = 50_000, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probed: float = PROBED, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Like ``top_k`` over the cells next to each query only; every row is indexed.
 
-    Vectors without much of a cluster structure have neighbours in far cells too: on such, a
-    probe of three quarters of the cells finds about 96 % of the true neighbours, of 12 in 32 only
-    some 73 %.
-    A crowded cell is split into shards of about ``shard_rows`` rows by the hash of the id, and
-    queries go to all shards of the cells they probe, so a hot cell is many tasks. Scores are
-    computed on the joined pairs in Arrow batches and cut to k a query before the last shuffle.
+    There are about as many cells as the square root of the rows unless told. A row meets the
+    queries that look into its cell where it lies, so no vector is shuffled and no cell can be hot.
     """
     corpus, asked = _clean(rows, row_id, vector), _clean(queries, row_id, vector)
+    cells = cells or min(MOST_CELLS, max(LEAST_CELLS, round(corpus.count() ** 0.5)))
     centroids = learn_cells(rows, cells, row_id, vector)
-    spark = rows.sparkSession
-    schema = "qid bigint, cid bigint, score double"
-    if not len(centroids) or k <= 0:
-        return _ranked(spark.createDataFrame([], schema), max(k, 1))
-    kind = corpus.schema["v"].dataType.simpleString()
-    placed = corpus.mapInArrow(_cells_of(centroids, 1), f"id bigint, v {kind}, cell int")
-    probed = asked.mapInArrow(_cells_of(centroids, probes), f"id bigint, v {kind}, cell int")
-    shards = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("shards"))
-    spread = placed.join(shards, "cell").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
-    sent = probed.join(shards, "cell").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    pairs = spread.select("cell", "shard", F.col("id").alias("cid"), F.col("v").alias("cv")).join(sent.select("cell", "shard", F.col("id").alias("qid"), F.col("v").alias("qv")), ["cell", "shard"]).where("cid <> qid")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", a, b) if a.size else np.zeros(0))], names=["qid", "cid", "score"])
+    if not len(centroids):
+        return _ranked(rows.sparkSession.createDataFrame([], _FOUND), max(k, 1))
+    return _ranked(_search(corpus, asked, k, centroids, max(1, round(probed * len(centroids)))), max(k, 1))
+
 
-    return _ranked(pairs.select("qid", "cid", "qv", "cv").mapInArrow(score, schema), k)
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(qid, wanted, met): how many of the exact neighbours (qid, cid) of each query a search found."""
+    met = found.select("qid", "cid", F.lit(1).alias("met"))
+    return exact.select("qid", "cid").join(met, ["qid", "cid"], "left").groupBy("qid").agg(F.count("*").alias("wanted"), F.count("met").alias("met"))
 
 
 def check_signature(stored: str | None, wanted: str) -> None:

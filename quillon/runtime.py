@@ -49,6 +49,11 @@ def _own_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix="quillon-")
 
 
+def own_tables(spark: SparkSession) -> str:
+    """Where this application's tables lie in the shared folder."""
+    return f"{shared_dir(spark)}/quillon/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -57,7 +62,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     costs nothing but the tasks that ran on it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon/{tag}-{uuid.uuid4().hex}"
+    path = f"{own_tables(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -97,7 +102,7 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def clean_shared(spark: SparkSession) -> None:
-    """Delete the tables that ``materialize`` wrote; for the end of an application, when no result is read any more."""
+    """Delete the tables that this application wrote; for its end, when no result is read any more."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillon")
+    path = jvm.org.apache.hadoop.fs.Path(own_tables(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -56,7 +56,7 @@ def test_exact_search_with_repeated_rows(spark, vecs):
 def test_approximate_search_recall(spark, vecs):
     m, df = vecs
     want = brute(m, range(0, 400, 20), 10)
-    got = {(r.qid, r.cid) for r in vectors.approximate_top_k(df, df.where("vec_id % 20 = 0"), 10, cells=12, probes=9, shard_rows=20).collect()}
+    got = {(r.qid, r.cid) for r in vectors.approximate_top_k(df, df.where("vec_id % 20 = 0"), 10, cells=12).collect()}
     assert len(got & want) / len(want) >= 0.9
 
 

@@ -8,7 +8,7 @@ from quillon import runtime
 def test_materialized_tables_and_their_end(spark):
     df = runtime.materialize(spark.range(5).selectExpr("id", "array(id) AS a"), "t")
     assert df.count() == 5 and df.schema.names == ["id", "a"]
-    folder = Path(runtime.shared_dir(spark)) / "quillon"
+    folder = Path(runtime.own_tables(spark).removeprefix("file:"))
     assert any(folder.iterdir())
     runtime.clean_shared(spark)
     assert not folder.exists()
