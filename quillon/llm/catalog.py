@@ -71,7 +71,7 @@ def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The items that come out in pieces."""
-    return p6_pieces(spark, folder).where("item_tokens > max_tokens").select("chunk_id").distinct()
+    return p6_pieces(spark, folder).where("oversized").select("chunk_id").distinct()
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

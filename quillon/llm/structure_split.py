@@ -150,7 +150,7 @@ def split_oversized(
 
     Columns: the id, ``piece_no`` from 0, ``n_pieces``, ``item_tokens``, ``max_tokens``,
     ``piece_tokens``, ``shared_tokens`` (of the words a piece shares with the one before it),
-    ``start`` and ``stop`` (characters) and ``piece``. An item within its limit, or with a null
+    ``start`` and ``stop`` (characters), ``piece`` and ``oversized``. An item within its limit, or with a null
     limit, is one piece, its text unchanged, and never leaves the JVM. Null, empty and blank
     texts and null ids have no pieces; an overlap not below the limit is cut to what leaves room
     for one new word; repeated rows count once.
@@ -158,11 +158,13 @@ def split_oversized(
     rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(item_id, F.col(text).alias("piece"), F.col(limit).cast("int").alias("lim"), F.col(overlap).cast("int").alias("ovl"))
     # pieces are told apart by the item they come from, not by their places in it alone
     rows = rows.withColumns({"item": F.xxhash64(F.col("piece"), F.coalesce("lim", F.lit(-(1 << 31))), F.coalesce("ovl", F.lit(0))), "size": count_tokens(F.col("piece"))}).where(F.col("piece").rlike(NOT_SPACE))
-    over = F.coalesce(F.col("size") > F.col("lim"), F.lit(False))
+    # so many words need so many characters, which is known without looking for the words
+    long = F.char_length("piece") >= 2 * F.floor((F.col("lim") + 1) / TOKENS_PER_WORD) - 1
+    over = F.coalesce(long & (F.col("size") > F.col("lim")), F.lit(False))
     number = lambda x, name: F.lit(x).alias(name)
     whole = rows.where(~over).select(
         item_id, number(0, "piece_no"), number(1, "n_pieces"), F.col("size").alias("item_tokens"), F.col("lim").alias("max_tokens"), F.col("size").alias("piece_tokens"),
-        number(0, "shared_tokens"), number(0, "start"), F.char_length("piece").alias("stop"), "piece", "item",
+        number(0, "shared_tokens"), number(0, "start"), F.char_length("piece").alias("stop"), "piece", "item", F.lit(False).alias("oversized"),
     )
     kind = rows.schema[item_id].dataType.simpleString()
     names = ["piece_no", "n_pieces", "item_tokens", "max_tokens", "piece_tokens", "shared_tokens", "start", "stop", "piece", "item"]
@@ -185,4 +187,5 @@ def split_oversized(
             )
 
     cut = rows.where(over).select(item_id, "piece", "lim", "ovl", "item", "size").mapInArrow(pieces, schema)
-    return whole.unionByName(cut).dropDuplicates([item_id, "item", "piece_no"]).drop("item")
+    # told by the branch, so that a query of either kind of items reads the table once
+    return whole.unionByName(cut.withColumn("oversized", F.lit(True))).dropDuplicates([item_id, "item", "piece_no", "oversized"]).drop("item")
