@@ -75,10 +75,14 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
 
 
+def tokens_of(words: Column) -> Column:
+    """Words times 1.33 cut to an integer, at least 1."""
+    return F.greatest(F.lit(1), (words * F.lit(TOKENS_PER_WORD)).cast("int"))
+
+
 def count_tokens(text: Column) -> Column:
     """Words times 1.33 cut to an integer, at least 1; 0 for the empty text and for null."""
-    words = F.size(words_of(text))
-    return F.when(text.isNull() | (text == ""), 0).otherwise(F.greatest(F.lit(1), (words * F.lit(TOKENS_PER_WORD)).cast("int")))
+    return F.when(text.isNull() | (text == ""), 0).otherwise(tokens_of(F.size(words_of(text))))
 
 
 def tokens(text: Column, stopwords: list[str] | None = None, min_length: int = 1) -> Column:

@@ -15,6 +15,7 @@ from quillon.functions import text as tx
 
 #: Rows of a source (pages or documents) that one task orders.
 STRETCH = 512
+LEVELS = (1, 2, 3)
 
 
 def lines(pages: DataFrame, key: str = "page_key") -> DataFrame:
@@ -41,6 +42,13 @@ def lines(pages: DataFrame, key: str = "page_key") -> DataFrame:
     return split.select("source", "page", "key", "line_no", "line", level.alias("level"), tx.clean_heading(F.col("line")).alias("title"))
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str], nullable: list[str], how: str = "inner") -> DataFrame:
+    """Joined on the keys, and on the nullable columns as well, null meeting null; the right side's are dropped."""
+    named = right.withColumnsRenamed({c: f"__{c}" for c in [*keys, *nullable]})
+    on = [left[c] == named[f"__{c}"] for c in keys] + [left[c].eqNullSafe(named[f"__{c}"]) for c in nullable]
+    return left.join(named, on, how).drop(*[f"__{c}" for c in [*keys, *nullable]])
+
+
 def sections(pages: DataFrame, key: str = "page_key") -> DataFrame:
     """(source, document, section, page, unit, chapter, topic, level, breadcrumb, text) of every source.
 
@@ -50,26 +58,32 @@ def sections(pages: DataFrame, key: str = "page_key") -> DataFrame:
     """
     all_lines = lines(pages, key).withColumn("document", F.when(F.col("page").isNull(), F.col("key")))
     order = ["page", "key", "line_no"]
-    marked = all_lines.withColumn("stretch", (F.coalesce(F.col("page"), F.lit(0)) / STRETCH).cast("int"))
+    # pages are counted off in stretches, so a source of any length is many tasks; its key stands for null parts too
+    marked = all_lines.withColumns({"stretch": (F.coalesce(F.col("page"), F.lit(0)) / STRETCH).cast("int"), "sk": F.xxhash64("source", F.col("document").cast("string"))})
     head = F.col("level") > 0
-    within = Window.partitionBy("source", "document", "stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("n", F.sum(head.cast("int")).over(within))
-    totals = marked.groupBy("source", "document", "stretch").agg(F.sum(head.cast("int")).alias("heads"))
-    before = Window.partitionBy("source", "document").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(F.col("source").alias("s"), F.col("document").alias("d"), F.col("stretch").alias("b"), F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("base"))
-    same = marked["source"].eqNullSafe(base["s"]) & marked["document"].eqNullSafe(base["d"]) & (marked["stretch"] == base["b"])
-    numbered = marked.join(base, same).withColumn("section", F.col("n") + F.col("base")).drop("s", "d", "b", "base", "n")
+    within = Window.partitionBy("sk", "source", "document", "stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = marked.withColumn("n", F.sum(head.cast("int")).over(within))
+    # what a stretch hands on: how many headings it has and the last of each level; one row a stretch
+    last_in = [F.max_by(F.when(head, F.struct("n", "title")), F.when(F.col("level") == n, F.col("n"))).alias(f"h{n}") for n in LEVELS]
+    totals = counted.groupBy("sk", "source", "document", "stretch").agg(F.sum(head.cast("int")).alias("heads"), *last_in)
+    before = Window.partitionBy("sk", "source", "document").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("base", F.coalesce(F.sum("heads").over(before), F.lit(0)))
+    placed = [F.when(F.col(f"h{n}").isNotNull(), F.struct((F.col(f"h{n}.n") + F.col("base")).alias("section"), F.col(f"h{n}.title").alias("head"))).alias(f"h{n}") for n in LEVELS]
+    carried = totals.select("*", *[c.alias(f"p{n}") for n, c in zip(LEVELS, placed)]).select(
+        "sk", "source", "document", "stretch", "base", *[F.last(f"p{n}", ignorenulls=True).over(before).alias(f"c{n}") for n in LEVELS]
+    )
+    numbered = _join(counted, carried, ["sk", "stretch"], ["source", "document"]).withColumn("section", F.col("n") + F.col("base"))
     body = F.when(head, F.col("title")).otherwise(F.col("line"))
-    grouped = numbered.groupBy("source", "document", "section").agg(
-        F.max("level").alias("head_level"),
-        F.max(F.when(head, F.col("title"))).alias("head"),
+    grouped = numbered.groupBy("sk", "source", "document", "section").agg(
         F.min(F.struct(F.coalesce("page", F.lit(-1)).alias("o"), "page")).alias("p"),
         F.array_sort(F.collect_list(F.struct(F.coalesce("page", F.lit(-1)).alias("o"), "key", "line_no", body.alias("t")))).alias("parts"),
     )
-    # only headings are left: one row each, far fewer than lines
-    state = Window.partitionBy("source", "document").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda n: F.last(F.when(F.col("head_level") == n, F.struct("section", "head")), ignorenulls=True).over(state)
-    full = grouped.select("*", last(1).alias("u"), last(2).alias("c"), last(3).alias("t3"))
+    # the outline's state goes along headings alone, one row each and without text
+    state = Window.partitionBy("sk", "source", "document", "stretch").orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
+    heads = numbered.where(head).select("sk", "source", "document", "stretch", "section", "level", "title", *[f"c{n}" for n in LEVELS])
+    last = lambda n: F.coalesce(F.last(F.when(F.col("level") == n, F.struct("section", F.col("title").alias("head"))), ignorenulls=True).over(state), F.col(f"c{n}"))
+    states = heads.select("sk", "source", "document", "section", last(1).alias("u"), last(2).alias("c"), last(3).alias("t3"))
+    full = _join(grouped, states, ["sk", "section"], ["source", "document"], "left")
     unit_at, chapter_at = F.coalesce("u.section", F.lit(-1)), F.coalesce("c.section", F.lit(-1))
     chapter = F.when(F.col("c.section") > unit_at, F.nullif("c.head", F.lit("")))
     topic = F.when((F.col("t3.section") > unit_at) & (F.col("t3.section") > chapter_at), F.nullif("t3.head", F.lit("")))
@@ -92,21 +106,27 @@ def merge_tiny(sections_: DataFrame, min_tokens: int) -> DataFrame:
     A merged section keeps the headings of its first. The fold stops at every section that is
     large enough, so runs are cut there first and only runs of small sections are folded.
     """
-    small = tx.count_tokens(F.col("text")) < min_tokens
-    w = Window.partitionBy("source", "document").orderBy("section")
+    fields = ["page", "unit", "chapter", "topic", "level", "breadcrumb"]
+    marked = sections_.withColumn("sk", F.xxhash64("source", F.col("document").cast("string")))
+    # the fold needs the sizes alone: words of joined texts add up
+    sizes = marked.select("sk", "source", "document", "section", F.size(tx.words_of(F.col("text"))).alias("words"))
+    small = tx.tokens_of(F.col("words")) < min_tokens
+    w = Window.partitionBy("sk", "source", "document").orderBy("section")
     # a section may join the one before only if that one alone is small or is itself a merged one
-    marked = sections_.withColumn("__small", small)
     start = F.coalesce(~F.lag("__small").over(w), F.lit(True))
-    runs = marked.withColumn("__run", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    fields = ["section", "page", "unit", "chapter", "topic", "level", "breadcrumb", "text"]
-    grouped = runs.groupBy("source", "document", "__run").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("xs"))
-    shape = "array<struct<" + ",".join(f"{f}:{sections_.schema[f].dataType.simpleString()}" for f in fields) + ">>"
-
-    def join(acc, x):
-        end = F.element_at(acc, -1)
-        grown = F.struct(*[F.concat(end["text"], F.lit("\n\n"), x["text"]).alias("text") if f == "text" else end[f].alias(f) for f in fields])
-        fold = (F.size(acc) > 0) & (tx.count_tokens(F.try_element_at(acc, F.lit(-1))["text"]) < min_tokens)
-        return F.when(fold, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
-
-    folded = F.aggregate("xs", F.array().cast(shape), lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(join(acc, x)))
-    return grouped.select("source", "document", F.explode(folded).alias("s")).select("source", "document", "s.*")
+    runs = sizes.withColumn("__small", small).withColumn("__start", start).withColumn("__run", F.sum(F.col("__start").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = runs.groupBy("sk", "source", "document", "__run").agg(F.array_sort(F.collect_list(F.struct("section", "words"))).alias("xs"))
+    kind = sections_.schema["section"].dataType.simpleString()
+    begin = F.struct(F.array().cast(f"array<struct<section:{kind},first:{kind}>>").alias("out"), F.lit(None).cast(kind).alias("first"), F.lit(0).alias("words"))
+
+    def place(acc, x):
+        joins = acc["first"].isNotNull() & (tx.tokens_of(acc["words"]) < min_tokens)
+        first = F.when(joins, acc["first"]).otherwise(x["section"])
+        return F.struct(F.concat(acc["out"], F.array(F.struct(x["section"].alias("section"), first.alias("first")))).alias("out"), first.alias("first"), F.when(joins, acc["words"] + x["words"]).otherwise(x["words"]).alias("words"))
+
+    places = grouped.select("sk", "source", "document", F.explode(F.aggregate("xs", begin, place)["out"]).alias("s")).select("sk", "source", "document", "s.section", "s.first")
+    joined = _join(marked, places, ["sk", "section"], ["source", "document"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: x["text"]), "\n\n")
+    head = F.min_by(F.struct(*fields), "section").alias("h")
+    merged = joined.groupBy("sk", "source", "document", "first").agg(head, text.alias("text"))
+    return merged.select("source", "document", F.col("first").alias("section"), *[f"h.{f}" for f in fields], "text")
