@@ -16,6 +16,7 @@ TOKENS_PER_WORD = 1.33
 WORD = r"[\p{L}\p{N}_]+"
 _SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 NOT_SPACE = r"[^\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
+_BEYOND_LATIN = r"[^\x{0}-\x{2FF}]"
 _UPPER = "A-ZÁÉÍÓÚÀÂÊÔÃÕÇ"
 
 # Words left out of ranking tokens.
@@ -110,7 +111,18 @@ def compose(text: Column) -> Column:
     def nfc(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
-    return F.when(text.rlike(r"[^\x{0}-\x{2FF}]"), nfc(text)).otherwise(text)
+    # the others are sent as nulls, as a function is called for every row
+    return F.coalesce(nfc(F.when(text.rlike(_BEYOND_LATIN), text)), text)
+
+
+def compose_all(texts: Column) -> Column:
+    """``compose`` for an array of texts."""
+
+    @F.pandas_udf("array<string>")
+    def nfc(s: pd.Series) -> pd.Series:
+        return s.map(lambda xs: [None if x is None else unicodedata.normalize("NFC", x) for x in xs], na_action="ignore")
+
+    return F.coalesce(nfc(F.when(F.exists(texts, lambda x: x.rlike(_BEYOND_LATIN)), texts)), texts)
 
 
 def clean_page_text(text: Column, remove_headers: bool = True, remove_boilerplate: bool = True, composed: bool = False) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from quillon.config import RetrievalConfig
 from quillon.functions import text as tx
+from quillon.runtime import materialize
 
 
 def _by_query():
@@ -144,8 +145,8 @@ def retrieve(candidates: DataFrame, config: RetrievalConfig, pair_score: Column
 
 
 def trace(candidates: DataFrame, config: RetrievalConfig) -> DataFrame:
-    """(stage_no, stage, qid, cid, rank, score) of every stage."""
-    out = None
+    """(stage_no, stage, qid, cid, rank, score) of every stage; the candidates are computed once."""
+    out, candidates = None, materialize(candidates, "candidates")
     for number, (name, df) in enumerate(stages(candidates, config).items()):
         part = df.select(F.lit(number).alias("stage_no"), F.lit(name).alias("stage"), "qid", "cid", "rank", "score")
         out = part if out is None else out.unionByName(part)

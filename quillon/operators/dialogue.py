@@ -25,13 +25,35 @@ SUBJECT_WORDS = (
 SEPARATOR = "\n\n---\n\n"
 
 
+#: Turns of a session that one task lines up.
+STRETCH = 4096
+
+
 def trim_history(messages: DataFrame, turns: int) -> DataFrame:
-    """The last ``2 * turns`` user and assistant messages of every session."""
+    """The last ``2 * turns`` user and assistant messages of every session.
+
+    The planner turns the bound into a limit before the exchange, so a long session sends no
+    more than its last messages from each task.
+    """
     said = messages.where(F.col("role").isin("user", "assistant"))
     back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn")))
     return said.withColumn("__back", back).where(F.col("__back") <= 2 * turns).drop("__back")
 
 
+def with_earlier(messages: DataFrame) -> DataFrame:
+    """The messages with ``earlier``, how many of their session come before.
+
+    Counted by stretches of turns first and then within each, without the messages' content.
+    """
+    slim = messages.select("session_id", "turn").withColumn("stretch", F.floor(F.col("turn") / STRETCH))
+    sizes = slim.groupBy("session_id", "stretch").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("session_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(F.col("session_id").alias("__s"), F.col("stretch").alias("__b"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    counted = messages.withColumn("__stretch", F.floor(F.col("turn") / STRETCH)).withColumn("__within", F.row_number().over(Window.partitionBy("session_id", "__stretch").orderBy("turn")) - 1)
+    same = counted["session_id"].eqNullSafe(bases["__s"]) & (counted["__stretch"] == bases["__b"])
+    return counted.join(bases, same).withColumn("earlier", (F.col("base") + F.col("__within")).cast("int")).drop("__stretch", "__within", "__s", "__b", "base")
+
+
 def is_follow_up(message: Column, earlier: Column) -> Column:
     """Whether a message with so many earlier ones refers to them."""
     return (earlier >= 2) & F.coalesce(tx.contains_any(F.lower(message), FOLLOW_UPS), F.lit(False))
@@ -39,8 +61,7 @@ def is_follow_up(message: Column, earlier: Column) -> Column:
 
 def follow_ups(messages: DataFrame) -> DataFrame:
     """The user messages with ``earlier`` (messages before) and ``follow_up``."""
-    before = F.row_number().over(Window.partitionBy("session_id").orderBy("turn")) - 1
-    counted = messages.withColumn("earlier", before).where(F.col("role") == "user")
+    counted = with_earlier(messages).where(F.col("role") == "user")
     return counted.withColumn("follow_up", is_follow_up(F.col("content"), F.col("earlier")))
 
 

@@ -98,11 +98,25 @@ def failure_stages(queries: DataFrame, trace: DataFrame, qrels: DataFrame, stage
     return asked.join(spans, "qid", "left").select("qid", hit.alias("hit"), "first_rank", F.get(names, number).alias("failure_stage"))
 
 
+#: Values of the order that one task of ``neighbour_qrels`` lines up.
+STRETCH = 65_536
+
+
 def neighbour_qrels(rows: DataFrame, row_id: str, source: str, order: str) -> DataFrame:
-    """(qid, cid, relevance): each row is relevant to itself and to its neighbours in the source."""
-    w = Window.partitionBy(source).orderBy(order, row_id)
-    near = rows.select(F.col(row_id).alias("qid"), F.array(F.col(row_id), F.lag(row_id).over(w), F.lead(row_id).over(w)).alias("near"))
-    return near.select("qid", F.explode("near").alias("cid"), F.lit(3).alias("relevance")).where("cid IS NOT NULL")
+    """(qid, cid, relevance): each row is relevant to itself and to its neighbours in the source.
+
+    ``order`` is a number. A source is lined up in stretches of it; the ends of neighbouring
+    stretches are joined to the rows at their edges, so a source of any size is many tasks.
+    """
+    slim = rows.select(F.col(row_id).alias("qid"), F.col(source).alias("s"), F.col(order).alias("o")).withColumn("stretch", F.floor(F.col("o") / STRETCH))
+    w = Window.partitionBy("s", "stretch").orderBy("o", "qid")
+    ends = slim.groupBy("s", "stretch").agg(F.min(F.struct("o", "qid")).alias("first"), F.max(F.struct("o", "qid")).alias("last"))
+    along = Window.partitionBy("s").orderBy("stretch")
+    ends = ends.select(F.col("s").alias("__s"), F.col("stretch").alias("__stretch"), F.lag("last.qid").over(along).alias("from"), F.lead("first.qid").over(along).alias("to"))
+    near = slim.withColumns({"before": F.lag("qid").over(w), "behind": F.lead("qid").over(w)})
+    joined = near.join(ends, near["s"].eqNullSafe(ends["__s"]) & near["stretch"].eqNullSafe(ends["__stretch"]))
+    around = F.array("qid", F.coalesce("before", "from"), F.coalesce("behind", "to"))
+    return joined.select("qid", F.explode(around).alias("cid"), F.lit(3).alias("relevance")).where("cid IS NOT NULL")
 
 
 def compare(reports: DataFrame, name: str, metrics: list[str], best_of: int = 2) -> DataFrame:

@@ -29,13 +29,16 @@ def lines(pages: DataFrame, key: str = "page_key") -> DataFrame:
     contents = (F.size(solid) > 5) & (dotted > F.size(solid) * 0.4)
     styled = "bold_lines" in pages.columns
     kept = pages.where(F.col("text").isNotNull() & ~contents)
-    extra = ["bold_lines", "body_size"] if styled else []
+    extra = ["bold_lines", "body_size", "bold_nfc"] if styled else []
+    if styled:
+        kept = kept.withColumn("bold_nfc", tx.compose_all(F.transform("bold_lines", lambda b: b["text"])))
     split = kept.select("source", "page", F.col(key).alias("key"), *extra, F.posexplode(F.split("text", "\r\n|\n|\r")).alias("line_no", "line"))
     if styled:
-        norm = F.regexp_replace(tx.strip(F.col("line")), r"\s+", " ")
-        # of repeated lines the last size counts
-        same = F.filter("bold_lines", lambda b: F.regexp_replace(tx.strip(b["text"]), r"\s+", " ") == norm)
-        split = split.withColumn("size", F.get(same, F.size(same) - 1)["size"])
+        # both sides are compared in canonical form; of repeated lines the last size counts
+        norm = F.regexp_replace(tx.strip(F.col("line_nfc")), r"\s+", " ")
+        styles = F.arrays_zip(F.col("bold_nfc").alias("text"), F.transform("bold_lines", lambda b: b["size"]).alias("size"))
+        same = F.filter(styles, lambda b: F.regexp_replace(tx.strip(b["text"]), r"\s+", " ") == norm)
+        split = split.withColumn("line_nfc", tx.compose(F.col("line"))).withColumn("size", F.get(same, F.size(same) - 1)["size"])
         level = tx.line_level(F.col("line"), F.col("size"), F.col("body_size"))
     else:
         level = tx.line_level(F.col("line"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,21 +75,41 @@ def styled_lines(spans: DataFrame) -> DataFrame:
     )
 
 
+#: Parts of equal weight into which the values of a group are cut to find their places.
+PARTS = 100
+
+
 def latencies(rows: DataFrame, value: str, *by: str, percentiles: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """Count, mean, least, largest value and the percentiles of each group.
 
     A percentile p is the value at place int(n * p / 100) from 0 in ascending order, the last at
-    most. Places are found by counting equal values first, so no list of values is built.
+    most. Equal values are counted first. A group is cut into ``PARTS`` by a mergeable sketch of
+    its quantiles; the parts' counts tell which of them holds a place, and the values of those
+    parts alone are ordered. So a group of any size is many tasks and no list of values is built.
     """
-    kept = rows.where(F.col(value).isNotNull())
-    counts = kept.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*(by or (F.lit(0),)))
-    ranked = counts.withColumns({"upto": F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
-    at = lambda p: F.least((F.col("n") * p / 100).cast("bigint"), F.col("n") - 1)
-    hit = lambda p: F.max(F.when((F.col("upto") > at(p)) & (F.col("upto") - F.col("c") <= at(p)), F.col("v"))).alias(f"p{p}")
-    return ranked.groupBy(*by).agg(
-        F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.min("v").alias("least"), F.max("v").alias("largest"), *[hit(p) for p in percentiles]
-    )
+    keys = list(by)
+    kept = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
+    counts = kept.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    cuts = [i / PARTS for i in range(1, PARTS)]
+    edges = kept.groupBy(*keys).agg(F.percentile_approx("v", cuts, 10 * PARTS).alias("edges"))
+    named = edges.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [counts[k].eqNullSafe(named[f"__{k}"]) for k in keys] or [F.lit(True)]
+    placed = counts.join(named, reduce(Column.__and__, same)).withColumn("part", F.size(F.filter("edges", lambda e: e < F.col("v")))).select(*keys, "v", "c", "part")
+    parts = placed.groupBy(*keys, "part").agg(F.sum("c").alias("held"), F.sum(F.col("v") * F.col("c")).alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    ahead = F.coalesce(F.sum("held").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumns({"ahead": ahead, "n": F.sum("held").over(group)})
+    place = lambda p: F.least((F.col("n") * p / 100).cast("bigint"), F.col("n") - 1)
+    wanted = reduce(Column.__or__, [(place(p) >= F.col("ahead")) & (place(p) < F.col("ahead") + F.col("held")) for p in percentiles])
+    hit = parts.where(wanted).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("part").alias("__part"), "ahead", "n")
+    same = [placed[k].eqNullSafe(hit[f"__{k}"]) for k in keys] + [placed["part"] == hit["__part"]]
+    within = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.join(hit, reduce(Column.__and__, same)).withColumn("upto", F.col("ahead") + F.sum("c").over(within))
+    at = lambda p: F.max(F.when((F.col("upto") > place(p)) & (F.col("upto") - F.col("c") <= place(p)), F.col("v"))).alias(f"p{p}")
+    places = found.groupBy(*keys).agg(*[at(p) for p in percentiles]).withColumnsRenamed({k: f"__{k}" for k in keys})
+    whole = parts.groupBy(*keys).agg(F.sum("held").alias("n"), (F.sum("total") / F.sum("held")).alias("mean"), F.min("low").alias("least"), F.max("high").alias("largest"))
+    same = [whole[k].eqNullSafe(places[f"__{k}"]) for k in keys] or [F.lit(True)]
+    return whole.join(places, reduce(Column.__and__, same)).drop(*[f"__{k}" for k in keys])
 
 
 def pivot(rows: DataFrame, index: str, column: str, values: list[str], measure: Column) -> DataFrame:

@@ -65,7 +65,8 @@ def chunk_groups(chunks: DataFrame, size: int, n: int, seed: int = 42, span: int
     """
     if size <= 0 or n <= 0:
         return chunks.sparkSession.createDataFrame([], f"group_no int, position int, {key} {chunks.schema[key].dataType.simpleString()}")
-    long = chunks.where(F.length("text") >= 200)
+    # only the places are lined up, not the texts
+    long = chunks.where(F.length("text") >= 200).select(key, "unit", "chapter", "page")
     by_key = Window.partitionBy("unit", "chapter")
     ordered = by_key.orderBy(F.col("page").asc_nulls_last(), key)
     gap = F.coalesce(F.col("page") - F.lag("page").over(ordered) > span, F.lit(False))

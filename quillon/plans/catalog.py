@@ -13,7 +13,7 @@ from quillon.functions import text as tx
 from quillon.operators import cascade, chunking, dialogue, genmetrics, links, metrics, outline, reports, sampling, vectors
 from quillon.plans import twins
 from quillon.providers import HashedEmbedding, embed
-from quillon.runtime import table
+from quillon.runtime import materialize, table
 from quillon.streaming import events, thoughts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,10 +111,14 @@ def _qrels(spark: SparkSession, folder: str) -> DataFrame:
     return asked.select("qid", "x.label", "x.relevance").join(vecs, "label").where("vec_id <> qid").select("qid", F.col("vec_id").alias("cid"), "relevance")
 
 
-def _scored(spark: SparkSession, folder: str, k: int = 10) -> DataFrame:
+def _nearest(spark: SparkSession, folder: str, k: int) -> DataFrame:
     vecs = table(spark, folder, "embeddings")
-    near = vectors.top_k(vecs, vecs.where("vec_id % 20 = 0"), k)
-    return metrics.per_query(_queries(spark, folder), near, _qrels(spark, folder), k)
+    return vectors.top_k(vecs, vecs.where("vec_id % 20 = 0"), k)
+
+
+def _scored(spark: SparkSession, folder: str, k: int = 10, near: DataFrame | None = None) -> DataFrame:
+    found = near if near is not None else _nearest(spark, folder, k)
+    return metrics.per_query(_queries(spark, folder), found, _qrels(spark, folder), k)
 
 
 _METRICS = ("precision", "recall", "f1", "rr", "ndcg", "ap")
@@ -143,19 +147,19 @@ def worst_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def recall_curve(spark: SparkSession, folder: str) -> DataFrame:
-    """Recall at several depths; the search runs anew for each, as its pool depends on the depth."""
-    out = None
+    """Recall at several depths of one search."""
+    out, near = None, materialize(_nearest(spark, folder, 10), "near")
     for k in (1, 3, 5, 10):
-        part = metrics.report(_scored(spark, folder, k)).select(F.lit(k).alias("k"), _r("recall"), _r("hit"))
+        part = metrics.report(_scored(spark, folder, k, near)).select(F.lit(k).alias("k"), _r("recall"), _r("hit"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 @query
 def compare_reports(spark: SparkSession, folder: str) -> DataFrame:
-    runs = None
+    runs, near = None, materialize(_nearest(spark, folder, 10), "near")
     for k in (5, 10):
-        part = metrics.report(_scored(spark, folder, k)).select(F.lit(f"k{k}").alias("name"), *[_r(m) for m in ("precision", "recall")])
+        part = metrics.report(_scored(spark, folder, k, near)).select(F.lit(f"k{k}").alias("name"), *[_r(m) for m in ("precision", "recall")])
         runs = part if runs is None else runs.unionByName(part)
     return metrics.compare(runs, "name", ["precision", "recall"])
 
@@ -339,8 +343,16 @@ def previews(spark: SparkSession, folder: str) -> DataFrame:
 def _messages(spark: SparkSession, folder: str) -> DataFrame:
     """Messages of all sessions; a repeated request counts once, with its first arrival."""
     rows = table(spark, folder, "chat_requests").where("session_id IS NOT NULL").groupBy("session_id", "request_id").agg(F.min("message").alias("content"), F.min("sent_at").alias("sent_at"))
-    turn = F.row_number().over(Window.partitionBy("session_id").orderBy("sent_at", "request_id"))
-    return rows.withColumn("turn", turn).withColumn("role", F.when(F.col("turn") % 2 == 1, "user").otherwise("assistant"))
+    # days are the stretches of a session: counted first, then lined up within, without the content
+    slim = rows.select("session_id", "request_id", "sent_at", F.to_date("sent_at").alias("day"))
+    sizes = slim.groupBy("session_id", "day").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("session_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(F.col("session_id").alias("s"), F.col("day").alias("d"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    placed = rows.withColumn("day", F.to_date("sent_at"))
+    within = F.row_number().over(Window.partitionBy("session_id", "day").orderBy("sent_at", "request_id"))
+    placed = placed.withColumn("within", within).join(bases, (F.col("session_id") == F.col("s")) & F.col("day").eqNullSafe(F.col("d")))
+    turn = (F.col("base") + F.col("within")).cast("int")
+    return placed.select("session_id", "request_id", "content", "sent_at", turn.alias("turn")).withColumn("role", F.when(F.col("turn") % 2 == 1, "user").otherwise("assistant"))
 
 
 @query

@@ -72,17 +72,26 @@ def visible_stream(tokens: DataFrame) -> DataFrame:
 
 
 def visible_tokens(tokens: DataFrame) -> DataFrame:
-    """The same over a finished table."""
+    """The same over a finished table.
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        waiting, inside, rows = "", False, []
-        for r in part.sort_values("seq").itertuples(index=False):
-            if r.token is None or r.token != r.token:
-                rows.append((r.session_id, r.seq, "" if inside else waiting))
-                waiting, inside = "", False
-            else:
-                shown, waiting, inside = step(waiting, inside, r.token)
-                rows.append((r.session_id, r.seq, shown))
-        return pd.DataFrame(rows, columns=["session_id", "seq", "visible"])
+    The tokens of a session stream by in order; what is kept of it is its state alone, so a
+    session of any length takes no more memory than a batch.
+    """
 
-    return tokens.groupBy("session_id").applyInPandas(run, _OUT)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, waiting, inside = None, "", False
+        for part in parts:
+            shown = []
+            for key, token in zip(part["session_id"], part["token"]):
+                if key != session:
+                    session, waiting, inside = key, "", False
+                if token is None or token != token:
+                    shown.append("" if inside else waiting)
+                    waiting, inside = "", False
+                else:
+                    out, waiting, inside = step(waiting, inside, token)
+                    shown.append(out)
+            yield pd.DataFrame({"session_id": part["session_id"], "seq": part["seq"], "visible": pd.Series(shown, index=part.index, dtype=object)})
+
+    ordered = tokens.select("session_id", "seq", "token").repartition("session_id").sortWithinPartitions("session_id", "seq")
+    return ordered.mapInPandas(run, _OUT)
