@@ -54,13 +54,22 @@ _ODD_PUNCTUATION = re.compile("[^\\x00-\\x7f“”„‘’–—…«»¿¡áà
 
 #: Signs of three bytes in UTF-8 are measured as two, like letters, by their places in cp1252: else
 #: any reading that turns one into a letter were a byte shorter.
-_EVEN = str.maketrans({bytes([b]).decode("cp1252"): chr(b) for b in range(0x80, 0xA0) if not bytes([b]).decode("cp1252", "replace")[0].isalpha() and bytes([b]).decode("cp1252", "replace") != "\ufffd"})
+_EVEN = [(c.encode(), chr(b).encode()) for b in range(0x80, 0xA0) if len((c := bytes([b]).decode("cp1252", "replace")).encode()) == 3 and c != LOST]
 _MARKS = "\"'“”„‘’()[]{}«»¿¡.,;:!?…–—"
 _WORD = re.compile(r"[^ \t\n\r\f\v]+")
 
 Step = Callable[[str], str]
 
 
+def _measured(text: str) -> bytes:
+    """What is compressed for a text."""
+    data = text.encode("utf-8", "surrogatepass")
+    if b"\xe2" in data:
+        for sign, even in _EVEN:
+            data = data.replace(sign, even)
+    return data
+
+
 @cache
 def _bytes_of(encoding: str) -> dict[str, int]:
     """The byte of each high character; bytes that the encoding leaves open are their own code point."""
@@ -105,16 +114,10 @@ def _byte_step(encoding: str, written: str = "cp1252") -> Step:
             continue
     mapping = {c: d for c, d in mapping.items() if d in _EXPECTED and not d.isspace()}
 
+    known, to = frozenset(mapping), str.maketrans(mapping)
+
     def step(word: str) -> str:
-        out = []
-        for c in word:
-            if c < "\x80":
-                out.append(c)
-            elif (d := mapping.get(c)) is not None:
-                out.append(d)
-            else:
-                return word
-        return "".join(out)
+        return word.translate(to) if known.issuperset(c for c in word if c >= "\x80") else word
 
     return step
 
@@ -130,6 +133,31 @@ def chains() -> list[tuple[str, tuple[Step, ...], int]]:
     return out + [(f"{first} > {first} > {first}", (utf8[first],) * 3, UTF8_COST + 2 * NEXT_COST)]
 
 
+#: Only where two characters of the upper half meet can there be bytes of one character in UTF-8.
+_PAIR = re.compile(r"[^\x00-\x7f]{2}")
+
+
+def readings(word: str) -> dict[int, tuple[str, int]]:
+    """By the number of each chain that changes a word: what it is behind it, and how many strange characters that brings in.
+
+    No control characters come out.
+    """
+    out: dict[int, tuple[str, int]] = {}
+    met = _PAIR.search(word) is not None
+    done: dict[tuple[Step, str], str] = {}
+    for k, (_, steps, cost) in enumerate(chains()):
+        if not met and cost < BYTE_COST:
+            continue
+        now = word
+        for step in steps:
+            if (new := done.get((step, now))) is None:
+                new = done[step, now] = step(now)
+            now = new
+        if now != word and not any(unicodedata.category(c) == "Cc" for c in now):
+            out[k] = now, _brought_in(word, now)
+    return out
+
+
 def train_dictionaries(samples: dict[str, list[str]]) -> dict[str, bytes]:
     """A zstandard dictionary for each language, from the texts that hold nothing suspicious."""
     out = {}
@@ -161,11 +189,16 @@ class Restorer:
     """Restores single values; remembers the words it has judged."""
 
     def __init__(self, dictionaries: dict[str, bytes], remember: int = 200_000):
-        self._zip = {lang: zstandard.ZstdCompressor(level=_LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for lang, d in dictionaries.items()}
+        self._zip = {}
+        for lang, d in dictionaries.items():
+            held = zstandard.ZstdCompressionDict(d)
+            held.precompute_compress(level=_LEVEL)
+            self._zip[lang] = zstandard.ZstdCompressor(level=_LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
         self._content = {lang: d.decode("utf-8", "ignore") for lang, d in dictionaries.items()}
         self._known: dict[str, dict[int, set[str]]] = {}
         self._remember = remember
         self._words: dict[str, bool] = {}
+        self._reads: dict[str, dict[int, tuple[str, int]]] = {}
         self._costs: dict[tuple[str, str], int] = {}
 
     def _vocabulary(self, lang: str) -> dict[int, set[str]]:
@@ -178,7 +211,7 @@ class Restorer:
         return self._known[lang]
 
     def _size(self, lang: str, text: str) -> int:
-        return len(self._zip[lang].compress(text.translate(_EVEN).encode("utf-8", "surrogatepass")))
+        return len(self._zip[lang].compress(_measured(text)))
 
     def _cost(self, lang: str, word: str) -> int:
         key = (lang, word)
@@ -190,17 +223,22 @@ class Restorer:
             n = self._costs[key] = self._size(lang, f" {word} ") + ODD_COST * bool(_ODD.search(word)) - KNOWN_GAIN * known
         return n
 
-    def _run(self, steps: tuple[Step, ...], cost: int, word: str, lang: str, chosen: bool = False) -> str:
-        """The word behind the steps, or as it was where that is no shorter.
+    def _readings(self, word: str) -> dict[int, tuple[str, int]]:
+        if (found := self._reads.get(word)) is None:
+            if len(self._reads) >= self._remember:
+                self._reads.clear()
+            found = self._reads[word] = readings(word)
+        return found
+
+    def _run(self, chain: int, word: str, lang: str, chosen: bool = False) -> str:
+        """The word behind the chain, or as it was where that is no shorter.
 
         Where the chain is ``chosen`` for the value already, as short is enough.
         """
-        out = word
-        for step in steps:
-            out = step(out)
-        if out == word or any(unicodedata.category(c) == "Cc" for c in out):
+        if (read := self._readings(word).get(chain)) is None:
             return word
-        gain = self._cost(lang, word) - self._cost(lang, out) - STRANGE_COST * _brought_in(word, out) - min(cost, 0)
+        out, strange = read
+        gain = self._cost(lang, word) - self._cost(lang, out) - STRANGE_COST * strange - min(chains()[chain][2], 0)
         if gain == 0 and chosen and not _ODD.search(out):
             plain = lambda w: w.strip(_MARKS).lower()
             known = self._vocabulary(lang)
@@ -208,8 +246,9 @@ class Restorer:
         return out if gain > 0 else word
 
     def _suspect(self, word: str) -> bool:
+        """Whether some chain's reading of the word is shorter in some language."""
         if (known := self._words.get(word)) is None:
-            known = LOST in word or (not word.isascii() and any(self._run(steps, cost, word, lang) != word for _, steps, cost in chains() for lang in self._zip))
+            known = LOST in word or any(self._run(k, word, lang) != word for k in self._readings(word) for lang in self._zip)
             if len(self._words) >= self._remember:
                 self._words.clear()
             self._words[word] = known
@@ -242,17 +281,25 @@ class Restorer:
         lang = min(self._zip, key=lambda x: (self._size(x, text), x))
         odd, way = {w for w in words if _ODD.search(w)}, None
         best, name, length = text, None, self._size(lang, text) + ODD_COST * len(odd)
-        for chain, steps, cost in chains():
-            changed = {w: new for w in words if (new := self._run(steps, cost, w, lang)) != w}
-            if changed:
-                candidate = _replace(text, changed)
-                still = sum(1 for w in words if (_ODD.search(changed[w]) if w in changed else w in odd))
-                strange = sum(_brought_in(w, new) for w, new in changed.items())
+        places: dict[str, list[tuple[int, int]]] = {w: [] for w in words}
+        for m in _WORD.finditer(text):
+            if m[0] in places:
+                places[m[0]].append(m.span())
+        changing: dict[int, dict[str, str]] = {}
+        for w in words:
+            for k in self._readings(w):
+                if (new := self._run(k, w, lang)) != w:
+                    changing.setdefault(k, {})[w] = new
+        for k, (chain, _, cost) in enumerate(chains()):
+            if changed := changing.get(k):
+                candidate = _put(text, sorted((s, e, new) for w, new in changed.items() for s, e in places[w]))
+                still = len(odd - changed.keys()) + sum(_ODD.search(new) is not None for new in changed.values())
+                strange = sum(self._readings(w)[k][1] for w in changed)
                 total = self._size(lang, candidate) + ODD_COST * still + STRANGE_COST * strange + cost
                 if total < length:
-                    best, name, length, way = candidate, chain, total, (steps, cost)
-        if way:
-            best = _replace(text, {w: self._run(*way, w, lang, chosen=True) for w in words})
+                    best, name, length, way = candidate, chain, total, k
+        if way is not None:
+            best = _replace(text, {w: self._run(way, w, lang, chosen=True) for w in words})
         if LOST in best:
             lost = {w: new for w in _split(best) if LOST in w and (new := self._mend_lost(w, lang)) != w}
             best, name = _replace(best, lost), " > ".join(filter(None, (name, "lost bytes")))
@@ -265,6 +312,14 @@ def _brought_in(word: str, out: str) -> int:
     return max(0, count(out) - count(word))
 
 
+def _put(text: str, spans: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for start, stop, new in spans:
+        out += text[at:start], new
+        at = stop
+    return "".join(out) + text[at:]
+
+
 def _replace(text: str, changed: dict[str, str]) -> str:
     return _WORD.sub(lambda m: changed.get(m[0], m[0]), text) if changed else text
 
