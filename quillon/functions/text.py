@@ -271,6 +271,12 @@ def clean_question(raw: Column) -> Column:
     return F.when((F.length(t) >= 8) & F.contains(t, F.lit("?")), t)
 
 
+def parse_bool(word: Column, default: bool | None) -> Column:
+    """A flag from a word; null and words that are none give the default."""
+    t = F.lower(strip(word))
+    return F.when(t.isin("1", "true", "yes", "on", "sim"), True).when(t.isin("0", "false", "no", "off", "não", "nao"), False).otherwise(F.lit(default).cast("boolean"))
+
+
 def preview(text: Column, longest: int = 200) -> Column:
     return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit("…"))).otherwise(text)
 

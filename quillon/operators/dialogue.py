@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import text as tx
+from quillon.providers import GenerationProvider, generate
 
 # Phrases that refer to what was said before.
 FOLLOW_UPS = (
@@ -131,6 +132,13 @@ def context_blocks(packed: DataFrame) -> DataFrame:
     return packed.groupBy("qid").agg(F.array_join(F.transform(ordered, lambda x: x["entry"]), SEPARATOR).alias("context"))
 
 
+def with_titles(rows: DataFrame, provider: GenerationProvider, message: str, system: str = "") -> DataFrame:
+    """The rows with ``title``: a model's short title of the message, the cut message where the model fails or says nothing."""
+    prompt = F.concat(F.lit(f"{system}\n\n"), F.coalesce(message, F.lit(""))) if system else F.coalesce(message, F.lit(""))
+    told = tx.clean_title(generate(provider, prompt, safe=True))
+    return rows.withColumn("title", F.coalesce(F.nullif(told, F.lit("")), tx.clean_title(F.col(message))))
+
+
 def question_messages(texts: Column, system: str) -> Column:
     """Messages that ask a model for a question about one or several texts."""
     numbered = F.transform(texts, lambda x, i: F.concat(F.lit("TRECHO "), (i + 1).cast("string"), F.lit(":\n"), x))

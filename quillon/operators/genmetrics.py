@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillon.functions import text as tx
+from quillon.providers import EmbeddingProvider, embed
 
 
 def common_length(a: list[str], b: list[str]) -> int:
@@ -61,6 +62,21 @@ def tfidf_similarity(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return pairs.select(key).distinct().join(sums, key, "left").select(key, F.coalesce(cosine, F.lit(0.0)).alias("similarity"))
 
 
+def similarity(pairs: DataFrame, key: str, a: str, b: str, provider: EmbeddingProvider | None = None) -> DataFrame:
+    """(key, similarity): cosine of both texts' vectors by a model, by TF-IDF without one.
+
+    The same serves for an answer and its reference, an answer and its question, a context and
+    its question. Null texts count as empty.
+    """
+    if provider is None:
+        return tfidf_similarity(pairs, key, a, b)
+    sides = pairs.select(F.col(key), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.coalesce(a, F.lit("")).alias("t")), F.struct(F.lit(1).alias("side"), F.coalesce(b, F.lit("")).alias("t")))).alias("x")).select(key, "x.side", "x.t")
+    vectors = embed(sides, provider, "t")
+    of = lambda s: F.max(F.when(F.col("side") == s, F.col("embedding")))
+    both = vectors.groupBy(key).agg(of(0).alias("va"), of(1).alias("vb"))
+    return both.select(key, cosine(F.col("va"), F.col("vb")).alias("similarity"))
+
+
 def with_faithfulness(rows: DataFrame, answer: str, context: str, threshold: float = 0.08, name: str = "faithfulness") -> DataFrame:
     """The rows with the share of the answer's sentences that the context supports.
 

@@ -79,6 +79,11 @@ def guardrail(queries: DataFrame, results: DataFrame) -> DataFrame:
     return queries.select("qid").distinct().join(counts, "qid", "left").select("qid", n.alias("retrieved"), (n == 0).alias("passed"))
 
 
+def guardrail_rate(checked: DataFrame) -> DataFrame:
+    """(n, passed, rate) of what ``guardrail`` gives; the rate of no queries is 1."""
+    return checked.agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"), F.coalesce(F.avg(F.col("passed").cast("int")), F.lit(1.0)).alias("rate"))
+
+
 def failure_stages(queries: DataFrame, trace: DataFrame, qrels: DataFrame, stages: tuple[str, ...]) -> DataFrame:
     """(qid, hit, first_rank, failure_stage): where a query lost its relevant rows.
 

@@ -501,7 +501,10 @@ def value_growth(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def visible_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = _messages(spark, folder).select("session_id", F.col("turn").cast("bigint").alias("seq"), F.coalesce("content", F.lit("")).alias("token"))
+    """Messages as tokens; of every five turns of a session the second opens a reasoning block, the fourth closes it."""
+    said, turn = F.coalesce("content", F.lit("")), F.col("turn") % 5
+    token = F.when(turn == 2, F.concat(F.lit("<think>"), said)).when(turn == 4, F.concat(F.lit("x</think>"), said)).otherwise(said)
+    tokens = _messages(spark, folder).select("session_id", F.col("turn").cast("bigint").alias("seq"), token.alias("token"))
     return thoughts.visible_tokens(tokens)
 
 
@@ -512,8 +515,12 @@ def turn_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_REGISTERED)
+    from quillon.plans import more_queries
+
+    return _REGISTERED | more_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return twins.sql()
+    from quillon.plans import more_queries
+
+    return twins.sql() | more_queries.oracle_sql()

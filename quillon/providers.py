@@ -69,6 +69,13 @@ class FirstSentence(GenerationProvider):
         return [p.strip().split(". ")[0][:400] for p in prompts]
 
 
+class CountingQuestion(GenerationProvider):
+    """Asks about the length of what it is given; of every seventh length it has no question."""
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        return [f"O que dizem os {len(p)} sinais?" if len(p) % 7 else "" for p in prompts]
+
+
 def embed(texts: DataFrame, provider: EmbeddingProvider, text: str = "text", cache: DataFrame | None = None) -> DataFrame:
     """The rows with ``embedding``; vectors that a cache (text_sha256, embedding) holds are not computed.
 
@@ -100,10 +107,22 @@ def pair_score(provider: PairScorer, query: Column, text: Column) -> Column:
     return score(query, text)
 
 
-def generate(provider: GenerationProvider, prompt: Column) -> Column:
+def generate(provider: GenerationProvider, prompt: Column, safe: bool = False) -> Column:
+    """The provider's answer to each prompt; null prompts count as empty.
+
+    If ``safe``, a prompt on which the provider fails has a null answer and the others keep theirs.
+    """
+
+    def one(text: str) -> str | None:
+        try:
+            return provider.generate([text])[0]
+        except Exception:  # noqa: BLE001 - whatever a model raises
+            return None
+
     @F.pandas_udf("string")
     def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for p in batches:
-            yield pd.Series(provider.generate(p.fillna("").tolist()))
+            texts = p.fillna("").tolist()
+            yield pd.Series([one(t) for t in texts] if safe else provider.generate(texts), dtype=object)
 
     return answer(prompt)

@@ -36,6 +36,23 @@ def json_strings(value: object) -> Iterator[str]:
             stack += reversed(x)
 
 
+def json_text(value: object) -> str:
+    """A document as JSON that keeps its letters."""
+    return json.dumps(value, ensure_ascii=False)
+
+
+def write_files(spark: SparkSession, folder: str, contents: list[tuple[str, str]]) -> None:
+    """A few files (name, text) in a folder of any file system that the session reaches."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, text in contents:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = path.getFileSystem(conf).create(path)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+
+
 def decoded(content):
     """UTF-8 where the bytes are valid, else Latin-1."""
     as_text = content.cast("string")

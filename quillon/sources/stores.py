@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillon.operators import reports
@@ -23,7 +25,8 @@ SESSION_SCHEMA = "id string, title string, messages array<struct<role:string,con
 def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     try:
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    except AnalysisException:
+    except PySparkException:
+        # missing, or no footer can be read
         return None
 
 
@@ -39,6 +42,18 @@ class VectorIndex:
     def rows(self) -> DataFrame | None:
         return _read(self.spark, f"{self.path}/rows")
 
+    def load(self) -> bool:
+        """Whether there is an index that can be read; one that cannot is set aside, and the store is empty."""
+        rows = self.rows()
+        if rows is None:
+            return False
+        try:
+            rows.select(F.count("text_md5"), F.count("text")).collect()
+        except PySparkException:
+            self.path = f"{self.path}/anew-{uuid.uuid4().hex}"
+            return False
+        return True
+
     def add(self, chunks: DataFrame, order: list[str]) -> None:
         """Append the rows whose text is new, the first of each text."""
         stored = self.rows()
@@ -52,12 +67,19 @@ class VectorIndex:
 
 
 def read_eval_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a JSON array in either layout, missing fields null."""
-    return spark.read.schema(EVAL_SCHEMA).option("multiLine", True).json(path)
+    """Items of JSON arrays or of JSON lines, in either layout, missing fields null.
+
+    A file is one row until its items are taken apart; evaluation sets are small by nature.
+    """
+    item = T._parse_datatype_string(EVAL_SCHEMA)
+    whole = F.trim(F.col("value"))
+    lines = F.transform(F.filter(F.split("value", r"\r\n|\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, item))
+    items = F.when(F.startswith(whole, F.lit("[")), F.from_json(whole, T.ArrayType(item))).otherwise(lines)
+    return spark.read.text(path, wholetext=True).select(F.inline(items))
 
 
 def write_eval_items(items: DataFrame, path: str) -> None:
-    """Items as JSON lines that keep their letters."""
+    """Items as JSON lines that keep their letters; ``read_eval_items`` reads them back as they were."""
     items.write.mode("overwrite").json(path)
 
 
@@ -113,6 +135,14 @@ class Sessions:
     def set_title(self, session_id: str, title: str) -> None:
         self._append(self.get(session_id).withColumn("title", F.lit(title)))
 
+    def set_titles(self, titles: DataFrame) -> None:
+        """Titles (id, title) of many sessions at once; those of sessions that are not stored are left out."""
+        self._append(self.current().drop("title").join(titles, "id").select("id", "title", "messages", "updated_at"))
+
+    def delete_all(self, ids: DataFrame) -> None:
+        """Delete the sessions of a table (id)."""
+        self._append(self.current().join(ids, "id", "left_semi"), deleted=True)
+
     def delete(self, session_id: str) -> bool:
         rows = self.get(session_id)
         if rows.isEmpty():
@@ -124,6 +154,30 @@ class Sessions:
         return self.current().select("id", "title", "updated_at", F.size("messages").alias("n_messages")).orderBy(F.desc("updated_at"), "id")
 
 
+class EmbeddingCache:
+    """Vectors by the hash of model and text, in folders by its first two hex digits.
+
+    ``providers.embed`` takes ``rows()`` as its cache; ``add`` appends what it computed anew.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def rows(self) -> DataFrame | None:
+        stored = _read(self.spark, self.path)
+        return None if stored is None else stored.select("text_sha256", "embedding")
+
+    def add(self, embedded: DataFrame) -> None:
+        """Append the vectors (text_sha256, embedding) that are not stored yet."""
+        fresh = embedded.where("text_sha256 IS NOT NULL AND embedding IS NOT NULL").select("text_sha256", "embedding").dropDuplicates(["text_sha256"])
+        stored = self.rows()
+        if stored is not None:
+            fresh = fresh.join(stored.select("text_sha256"), "text_sha256", "left_anti")
+        # one file a folder and write, whatever the number of tasks
+        shard = fresh.withColumn("shard", F.substring("text_sha256", 1, 2))
+        shard.repartition("shard").write.mode("append").partitionBy("shard").parquet(self.path)
+
+
 def next_version(names: list[str]) -> int:
     """One more than the highest of names v1, v2, ..."""
     return 1 + max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0)
@@ -132,3 +186,14 @@ def next_version(names: list[str]) -> int:
 def report_json(report: DataFrame) -> str:
     """A small report as JSON text."""
     return json.dumps([r.asDict(recursive=True) for r in report.collect()], ensure_ascii=False, default=str)
+
+
+def save_table(report: DataFrame, path: str) -> None:
+    """A report as JSON lines in one file of any path the cluster reaches; reports are small."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_tables(spark: SparkSession, paths: dict[str, str], key: str) -> DataFrame:
+    """Saved reports of one shape together, each named in the column ``key``."""
+    parts = [spark.read.json(path).withColumn(key, F.lit(name)) for name, path in paths.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
