@@ -74,6 +74,24 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_pieces(spark, folder).where("oversized").select("chunk_id").distinct()
 
 
+def p6_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """(chunk_id, item_tokens, whole, within, kept_overlap): every item put together again from its pieces.
+
+    ``whole`` is the hash of the pieces without their overlaps, ``within`` says that none is over
+    the limit, ``kept_overlap`` that each shares with the one before what it must.
+    """
+    chunks = table(spark, folder, "chunks").select("chunk_id", "text", "config_id")
+    configs = table(spark, folder, "chunk_configs").select("config_id", "max_tokens", "overlap_tokens")
+    pieces = structure_split.split_oversized(chunks.join(configs, "config_id", "left")).withColumn("limit", F.coalesce("max_tokens", F.lit(1 << 30)))
+    by = pieces.join(configs.select(F.col("max_tokens").alias("limit"), F.col("overlap_tokens").alias("wanted")).dropDuplicates(["limit"]), "limit", "left")
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", "start", "stop", "piece")))
+    shared = (F.col("start") == 0) | (F.col("shared_tokens") >= F.least(F.col("wanted"), F.col("limit") - 2))
+    one = by.groupBy("chunk_id", "item_tokens", "n_pieces").agg(parts.alias("p"), F.min(F.col("piece_tokens") <= F.col("limit")).alias("within"), F.min(shared).alias("kept_overlap"))
+    # a piece begins before the end of the one before it by as many characters as they share
+    core = F.transform("p", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substring(x["piece"], F.get("p", i - 1)["stop"] - x["start"] + 1, F.length(x["piece"]))))
+    return one.select("chunk_id", "item_tokens", F.md5(F.array_join(core, "")).alias("whole"), "within", F.coalesce("kept_overlap", F.lit(True)).alias("kept_overlap"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return packing.split_alone(packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_targets")))
 
@@ -82,6 +100,13 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), table(spark, folder, "pack_targets")).drop("blank")
 
 
+def p7_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """(target_id, documents, bytes, overfull): what each target's containers hold in all, and how many hold too much."""
+    packed = p7_containers(spark, folder)
+    filled = packed.groupBy("target_id", "capacity", "block", "window").agg(F.sum("size").alias("filled"), F.sum(F.col("size") - packing.END_TOKENS).alias("bytes"), F.count_if(F.col("piece_no") == 0).alias("documents"))
+    return filled.groupBy("target_id").agg(F.sum("documents").alias("documents"), F.sum("bytes").alias("bytes"), F.count_if(F.col("filled") > F.col("capacity")).cast("int").alias("overfull"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("item_id", "doc_id").distinct()
 
@@ -120,8 +145,10 @@ def queries() -> dict[str, Query]:
         "p5_paragraphs": p5_paragraphs,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
+        "p6_checked": p6_checked,
         "p7_found": p7_found,
         "p7_containers": p7_containers,
+        "p7_totals": p7_totals,
         "p8_found": p8_found,
         "p8_report": p8_report,
         "p9_found": p9_found,
@@ -164,6 +191,48 @@ o AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS o FROM s a JOIN s b O
 SELECT a AS chunk_id_a, b AS chunk_id_b FROM o JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE 8 * o >= 3 * (x.n + y.n)
 """
 
+_P2_GROUPS = r"""
+WITH RECURSIVE m AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE chunk_id IS NOT NULL),
+t AS MATERIALIZED (SELECT text, min(chunk_id) AS least, count(*) AS held, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM m WHERE text IS NOT NULL GROUP BY text),
+k AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY least, text) AS id FROM t),
+s AS MATERIALIZED (SELECT DISTINCT id, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM k)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+o AS (SELECT a.id AS a, b.id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 8 * o >= 3 * (x.n + y.n)),
+reach AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+heads AS (SELECT r.a AS id, min(k.least) AS head FROM reach r JOIN k ON k.id = r.b GROUP BY r.a),
+degree AS (SELECT a AS id, count(*) AS links FROM l GROUP BY a),
+told AS (SELECT m.chunk_id, CASE WHEN len(k.w) >= 3 THEN least(k.least, coalesce(h.head, k.least)) ELSE m.chunk_id END AS group_id, coalesce(d.links, 0) AS links, CASE WHEN len(k.w) >= 3 THEN k.held - 1 ELSE 0 END AS copies
+  FROM m JOIN k ON k.text = m.text LEFT JOIN heads h ON h.id = k.id LEFT JOIN degree d ON d.id = k.id
+  UNION ALL SELECT chunk_id, chunk_id, 0, 0 FROM m WHERE text IS NULL)
+SELECT chunk_id, min(group_id) AS group_id, max(links) AS links, max(copies) AS copies FROM told GROUP BY chunk_id
+"""
+
+# the steps one after another on every text, whatever it holds
+_VISIBLE = rf"array_to_string(list_filter(regexp_extract_all(t, '{lookalikes.EMOJI}|(?s:.)'), lambda s: NOT regexp_full_match(s, '[{lookalikes.INVISIBLE}]')), '')"
+_SPACED = rf"translate(regexp_replace({_VISIBLE}, '[{lookalikes.SPACES}]', ' ', 'g'), '{lookalikes._WIDE.replace(chr(39), chr(39) * 2)}', '{lookalikes._NARROW.replace(chr(39), chr(39) * 2)}')"
+_OF_LATIN = f"translate(w, '{lookalikes.ALIKE}', '{lookalikes.LATIN}')"
+_OF_CYRILLIC = f"translate(w, '{lookalikes._LATIN_OF_CYRILLIC}', '{lookalikes._CYRILLIC}')"
+_P4_NORMALISED = rf"""
+WITH m AS (
+  SELECT 'chunk' AS origin, chunk_id AS rec_id, text AS t FROM chunks WHERE chunk_id IS NOT NULL
+  UNION ALL SELECT 'chat', CAST(request_id AS VARCHAR), message FROM chat_requests WHERE request_id IS NOT NULL),
+c AS (SELECT DISTINCT origin, rec_id, t, nfc_normalize({_SPACED}) AS n FROM m)
+SELECT DISTINCT origin, rec_id, CASE WHEN t IS NULL THEN NULL ELSE array_to_string(list_transform(regexp_extract_all(n, '[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}]+'), lambda w:
+  CASE WHEN NOT (regexp_matches(w, '\p{{Latin}}') AND regexp_matches(w, '[\p{{Greek}}\p{{Cyrillic}}]')) THEN w
+       WHEN NOT regexp_matches({_OF_LATIN}, '[\p{{Greek}}\p{{Cyrillic}}]') THEN {_OF_LATIN} WHEN NOT regexp_matches({_OF_CYRILLIC}, '\p{{Latin}}') THEN {_OF_CYRILLIC} ELSE w END), '') END AS normalised FROM c
+"""
+
+_P6_CHECKED = r"""
+WITH t AS (SELECT DISTINCT chunk_id, text, max_tokens, overlap_tokens FROM chunks LEFT JOIN chunk_configs USING (config_id) WHERE chunk_id IS NOT NULL AND regexp_matches(text, '[^\s\x{B}\x{1C}-\x{1F}\x{85}\p{Z}]'))
+SELECT chunk_id, CAST(greatest(1, CAST(floor(len(regexp_extract_all(text, '[^\s\x{B}\x{1C}-\x{1F}\x{85}\p{Z}]+')) * CAST(1.33 AS DOUBLE)) AS INT)) AS INT) AS item_tokens, md5(text) AS whole, true AS within, true AS kept_overlap FROM t
+"""
+
+_P7_TOTALS = r"""
+SELECT target_id, count(*) AS documents, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, 0 AS overfull
+FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), (SELECT DISTINCT target_id, capacity FROM pack_targets) GROUP BY target_id
+"""
+
 _P8_FOUND = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(nfc_normalize(text))), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 p AS (SELECT item_id, regexp_extract_all(strip_accents(lower(nfc_normalize(x))), '[\p{L}\p{N}]+') AS w FROM (SELECT item_id, unnest(relevant_texts) AS x FROM eval_items) WHERE x IS NOT NULL),
@@ -187,6 +256,10 @@ found AS (SELECT DISTINCT doc_id, CAST(line_no AS INT) AS line_no FROM named JOI
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _P2_FOUND,
+        "p2_groups": _P2_GROUPS,
+        "p4_normalised": _P4_NORMALISED,
+        "p6_checked": _P6_CHECKED,
+        "p7_totals": _P7_TOTALS,
         "p6_found": _P6_FOUND,
         "p8_found": _P8_FOUND,
         "p7_found": _P7_FOUND,

@@ -67,7 +67,7 @@ def normalised_sql(relation: str) -> str:
     """SQL over the flagged relation that adds ``normalised``; texts without a case keep theirs."""
     visible = rf"CASE WHEN invisible THEN array_to_string(list_filter(regexp_extract_all(text, '{EMOJI}|(?s:.)'), lambda s: NOT regexp_full_match(s, '[{INVISIBLE}]')), '') ELSE text END"
     spaced = f"CASE WHEN space OR full_width THEN translate(regexp_replace(text, '[{SPACES}]', ' ', 'g'), {_quoted(_WIDE)}, {_quoted(_NARROW)}) ELSE text END"
-    composed = "CASE WHEN decomposed OR invisible THEN nfc_normalize(text) ELSE text END"
+    composed = "CASE WHEN decomposed OR invisible OR full_width THEN nfc_normalize(text) ELSE text END"
     latin = f"translate(w, {_quoted(ALIKE)}, {_quoted(LATIN)})"
     other = f"translate(w, {_quoted(_LATIN_OF_CYRILLIC)}, {_quoted(_CYRILLIC)})"
     word = rf"CASE WHEN NOT regexp_matches(w, '{MIXED}') THEN w WHEN NOT regexp_matches({latin}, '{_OTHER}') THEN {latin} WHEN NOT regexp_matches({other}, '\p{{Latin}}') THEN {other} ELSE w END"

@@ -107,11 +107,13 @@ def split_spans(text: str, max_words: int, overlap_words: int) -> list[tuple[int
     if len(begins) <= max_words:
         return [(0, 0, len(text))]
     overlap = min(overlap_words, max_words - 1)
-    limit = max_words - overlap
-
     def words(start: int, end: int) -> int:
         return bisect_left(begins, end) - bisect_left(begins, start)
 
+    def room(start: int) -> int:
+        """Words that a core may have that begins here: at the beginning there is less to share, or nothing."""
+        return max_words - min(overlap, bisect_left(begins, start))
+
     def pack(start: int, end: int, level: int) -> list[tuple[int, int]]:
         spans, level = _children(text, start, end, level)
         out: list[tuple[int, int]] = []
@@ -119,15 +121,15 @@ def split_spans(text: str, max_words: int, overlap_words: int) -> list[tuple[int
         size = 0
         for s, e in spans:
             n = words(s, e)
-            if n > limit and len(spans) > 1:
+            if n > room(s) and len(spans) > 1:
                 finer = pack(s, e, level)
-                # a heading alone goes with what it heads
-                if open_run and size <= 20 and size + words(*finer[0]) <= limit and level <= 11:
+                # a heading, or a few words, go with what is behind them
+                if open_run and size <= 20 and size + words(*finer[0]) <= room(out[-1][0]):
                     finer[0] = (out.pop()[0], finer[0][1])
                 out += finer
                 # the rest that is left at the end may take in the next sibling
                 open_run, size = True, words(*finer[-1])
-            elif open_run and size + n <= limit:
+            elif open_run and size + n <= room(out[-1][0]):
                 out[-1] = (out[-1][0], e)
                 size += n
             else:
