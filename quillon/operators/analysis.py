@@ -122,6 +122,16 @@ def trace_summaries(shots: DataFrame, queries: DataFrame, stages: tuple[str, ...
     return text.select("qid", F.concat(F.lit("QUERY: "), F.coalesce("query", F.lit("")), F.lit("\n"), body, F.lit("\nFINAL: "), F.col("final").cast("string"), F.lit(" results")).alias("summary"))
 
 
+def trace_json(trace: DataFrame, queries: DataFrame, stages: tuple[str, ...]) -> DataFrame:
+    """(qid, trace): the sizes of each query's stages and of its result as JSON."""
+    sizes = trace.groupBy("qid", "stage_no").agg(F.count("*").alias("n"))
+    numbered = F.explode(F.array(*[F.struct(F.lit(i).alias("stage_no"), F.lit(s).alias("stage")) for i, s in enumerate(stages)]))
+    grid = queries.select("qid", numbered.alias("s")).select("qid", "s.stage_no", "s.stage").join(sizes, ["qid", "stage_no"], "left")
+    listed = F.array_sort(F.collect_list(F.struct("stage_no", "stage", F.coalesce("n", F.lit(0)).alias("count"))))
+    by = grid.groupBy("qid").agg(F.transform(listed, lambda s: F.struct(s["stage"].alias("stage"), s["count"].alias("count"))).alias("stages"), F.coalesce(F.max_by("n", "stage_no"), F.lit(0)).alias("final_count"))
+    return by.select("qid", F.to_json(F.struct("stages", "final_count")).alias("trace"))
+
+
 def needle_positions(trace: DataFrame, texts: DataFrame, needles: DataFrame, stages: tuple[str, ...]) -> DataFrame:
     """(qid, stage, candidates, position, score): where in each stage the first text with the query's needle stands.
 

@@ -10,13 +10,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from quillon.config import ChunkConfig
 from quillon.functions import text as tx
 from quillon.operators import analysis, cascade, datasets, dialogue, genmetrics, links, metrics, reports, sampling, vectors
-from quillon.plans import catalog, evaluating, twins
-from quillon.providers import CountingQuestion, FirstSentence, HashedEmbedding, embed, generate
+from quillon.plans import catalog, twins
+from quillon.providers import CountingQuestion, HashedEmbedding, embed
 from quillon.runtime import materialize, own_tables, table
 from quillon.sources import files, stores
+from quillon.streaming import events, thoughts
 
 _REGISTERED: dict[str, catalog.Query] = {}
 _SQL: dict[str, str] = {}
@@ -464,6 +467,46 @@ _SQL["synthetic_items"] = (
 )
 
 
+def _estimate(x: str) -> str:
+    return f"CASE WHEN {x} = '' THEN 0 ELSE greatest(1, CAST(floor(len({twins._words(x)}) * CAST(1.33 AS DOUBLE)) AS INT)) END"
+
+
+_LEAST, _MOST, _SHARED = 200, 375, 50
+_CUT = rf"regexp_replace({twins._strip('para')}, '([.!?…]){twins._SPACE}+([{twins._UPPER}\"(])', '\1' || chr(30) || '\2', 'g')"
+_TEXT_CHAPTER = rf"nullif({twins._strip(rf"regexp_extract(substring(text, 1, 200), '(?i)cap(?:ítulo)?\.?{twins._SPACE}+(\d+|[IVX]+)')")}, '')"
+_TEXT_TOPIC = rf"list_filter(list_transform(string_split(text, chr(10))[1:5], lambda x: {twins._strip('x')}), lambda x: length(x) BETWEEN 10 AND 80 AND NOT regexp_matches(x, '[.!?]$'))[1]"
+_FOLDED = "len(list_filter(range(1, len(sizes) + 1), lambda k: list_sum(sizes[len(sizes) - k + 1:len(sizes)]) <= {0}))".replace("{0}", str(_SHARED))
+# sentences are packed step by step, then neighbouring pieces are merged step by step
+_SQL["chunked_documents"] = rf"""WITH RECURSIVE cleaned AS MATERIALIZED ({twins.sql()['page_texts']}),
+  whole AS MATERIALIZED (SELECT doc_id, clean, {_estimate('clean')} AS own FROM cleaned WHERE clean <> ''),
+  paras AS MATERIALIZED (SELECT * FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(clean, '\n\n+', chr(30), 'g'), chr(30)), lambda p: {twins._strip('p')}), lambda p: p <> '')) AS para, generate_subscripts(list_filter(list_transform(string_split(regexp_replace(clean, '\n\n+', chr(30), 'g'), chr(30)), lambda p: {twins._strip('p')}), lambda p: p <> ''), 1) AS n FROM whole WHERE own > {_MOST})),
+  lists AS MATERIALIZED (SELECT doc_id, n, list_filter(list_transform(string_split({_CUT}, chr(30)), lambda x: {twins._strip('x')}), lambda x: x <> '') AS parts FROM paras WHERE {_estimate('para')} > {_MOST}),
+  sentences AS MATERIALIZED (SELECT doc_id, n, i, part, {_estimate('part')} AS own, last FROM (SELECT doc_id, n, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS last FROM lists)),
+  fold AS (
+    SELECT doc_id, n, 0 AS i, CAST([] AS VARCHAR[]) AS done, CAST([] AS VARCHAR[]) AS waiting, CAST([] AS INT[]) AS sizes, CAST(0 AS BIGINT) AS size FROM lists
+    UNION ALL
+    SELECT f.doc_id, f.n, s.i,
+      CASE WHEN s.own > {_MOST} THEN list_concat(done, CASE WHEN len(waiting) > 0 THEN [array_to_string(waiting, ' ')] ELSE [] END, [s.part]) WHEN full_ THEN list_append(done, array_to_string(waiting, ' ')) ELSE done END,
+      CASE WHEN s.own > {_MOST} THEN [] WHEN full_ THEN list_append(waiting[len(waiting) - kept + 1:len(waiting)], s.part) ELSE list_append(waiting, s.part) END,
+      CASE WHEN s.own > {_MOST} THEN [] WHEN full_ THEN list_append(sizes[len(sizes) - kept + 1:len(sizes)], s.own) ELSE list_append(sizes, s.own) END,
+      CASE WHEN s.own > {_MOST} THEN 0 WHEN full_ THEN CAST(list_sum(sizes[len(sizes) - kept + 1:len(sizes)]) AS BIGINT) + s.own ELSE size + s.own END
+    FROM (SELECT f.*, greatest(1, {_FOLDED}) AS kept, s.own AS next_own, s.part AS next_part, s.i AS next_i, len(waiting) > 0 AND size + s.own > {_MOST} AND size >= {_LEAST} AS full_ FROM fold f JOIN sentences s ON s.doc_id = f.doc_id AND s.n = f.n AND s.i = f.i + 1) f
+    JOIN sentences s ON s.doc_id = f.doc_id AND s.n = f.n AND s.i = f.next_i),
+  packed AS (SELECT f.doc_id, f.n, CASE WHEN len(waiting) = 0 THEN done WHEN size < {_LEAST} AND len(done) > 0 THEN list_append(done[1:len(done) - 1], done[len(done)] || ' ' || array_to_string(waiting, ' ')) ELSE list_append(done, array_to_string(waiting, ' ')) END AS pieces
+    FROM fold f JOIN lists l ON l.doc_id = f.doc_id AND l.n = f.n AND f.i = len(l.parts)
+    UNION ALL SELECT doc_id, n, [para] FROM paras WHERE {_estimate('para')} <= {_MOST}),
+  flat AS (SELECT doc_id, n, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM packed),
+  found AS MATERIALIZED (SELECT doc_id, piece, {_estimate('piece')} AS own, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) - 1 AS i FROM flat UNION ALL SELECT doc_id, clean, own, 0 FROM whole WHERE own <= {_MOST}),
+  merge_ AS (SELECT doc_id, i, i AS first, piece AS text, own FROM found WHERE i = 0
+    UNION ALL SELECT m.doc_id, f.i, CASE WHEN joins THEN m.first ELSE f.i END, CASE WHEN joins THEN m.text || ' ' || f.piece ELSE f.piece END, CASE WHEN joins THEN {_estimate("m.text || ' ' || f.piece")} ELSE f.own END
+    FROM (SELECT m.*, least(m.own, f.own) < {_LEAST} AND m.own + f.own <= {_MOST} AS joins FROM merge_ m JOIN found f ON f.doc_id = m.doc_id AND f.i = m.i + 1) m JOIN found f ON f.doc_id = m.doc_id AND f.i = m.i + 1),
+  made AS (SELECT doc_id, first, max_by(text, i) AS text FROM merge_ GROUP BY doc_id, first)
+  SELECT m.doc_id, CAST(row_number() OVER (PARTITION BY m.doc_id ORDER BY first) - 1 AS INT) AS chunk_no, m.text, coalesce(d.source, 'desconhecido') AS source, d.page, d.section,
+    substring(sha1(coalesce(d.source, 'desconhecido') || '::' || first || CASE WHEN d.page IS NULL THEN '' ELSE '::page' || d.page END), 1, 16) AS chunk_id,
+    {_TEXT_CHAPTER.replace('text', 'm.text')} AS chapter, {_TEXT_TOPIC.replace('text', 'm.text')} AS topic, coalesce(nullif(d.section, ''), {_TEXT_TOPIC.replace('text', 'm.text')}) AS section_title, CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS VARCHAR) AS breadcrumb,
+    {_estimate('m.text')} AS tokens FROM made m JOIN documents d ON d.doc_id = m.doc_id"""
+
+
 @query("SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
 def approximate_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the approximate search finds nine tenths of the exact neighbours."""
@@ -472,6 +515,82 @@ def approximate_recall(spark: SparkSession, folder: str) -> DataFrame:
     return met.agg(F.count("*").alias("n_queries"), (F.sum("met") >= 0.9 * F.sum("wanted")).alias("enough"))
 
 
+# --- streams, run to the end of finished tables
+
+
+@query(_SQL["turn_events"])
+def streamed_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of all turns, written by a streaming query and read back."""
+    path, turns = _folder(spark, "turns"), table(spark, folder, "chat_requests").select(F.col("request_id").cast("string").alias("session_id"), "message").distinct()
+    turns.write.parquet(path)
+    out = _folder(spark, "events")
+    answered = lambda rows: rows.select("session_id", F.col("message").alias("answer"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("error"))
+    events.write_events(spark.readStream.schema(turns.schema).parquet(path), answered, out, _folder(spark, "progress"), until_done=True).awaitTermination()
+    return spark.read.schema("session_id string, seq int, event string").json(out).select("session_id", "seq", "event")
+
+
+@query(_SQL["visible_tokens"])
+def streamed_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The visible tokens of all sessions, fed to a stateful streaming query in two batches."""
+    said, turn = F.coalesce("content", F.lit("")), F.col("turn") % 5
+    token = F.when(turn == 2, F.concat(F.lit("<think>"), said)).when(turn == 4, F.concat(F.lit("x</think>"), said)).otherwise(said)
+    tokens = materialize(catalog._messages(spark, folder).select("session_id", F.col("turn").cast("bigint").alias("seq"), token.alias("token")), "tokens")
+    path, out = _folder(spark, "tokens"), _folder(spark, "visible")
+    progress = _folder(spark, "progress")
+    for part in (tokens.where("seq <= 3"), tokens.where("seq > 3")):
+        part.coalesce(1).write.mode("append").parquet(path)
+        stream = thoughts.visible_stream(spark.readStream.schema(tokens.schema).parquet(path))
+        stream.writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("session_id string, seq bigint, visible string").parquet(out)
+
+
+# --- styles, parameters, tables of text
+
+
+@query("""WITH b AS (SELECT doc_id, unnest(bold_lines) AS b, generate_subscripts(bold_lines, 1) AS i FROM documents)
+  SELECT 'd' || doc_id AS source, CAST(i AS INT) AS line_no, trim(b.text) AS text, i % 2 = 1 AS bold, b.size + 1 AS size FROM b WHERE b.text IS NOT NULL""")
+def styled_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines put together from two spans each; every second one has a span that is not bold."""
+    lines = table(spark, folder, "documents").select("doc_id", F.posexplode("bold_lines").alias("p", "b")).where("b.text IS NOT NULL")
+    half = (F.length("b.text") / 2).cast("int")
+    first = F.struct(F.lit(0).alias("span_no"), F.substring(F.col("b.text"), F.lit(1), half).alias("text"), F.lit(16).alias("flags"), F.lit("Serif").alias("font"), F.col("b.size").alias("size"))
+    other = F.struct(F.lit(1).alias("span_no"), F.substring(F.col("b.text"), half + 1, F.length("b.text")).alias("text"), F.lit(0).alias("flags"), F.when(F.col("p") % 2 == 0, "Serif Bold").otherwise("Serif").alias("font"), (F.col("b.size") + 1).alias("size"))
+    spans = lines.select(F.concat(F.lit("d"), "doc_id").alias("source"), F.lit(1).alias("page"), (F.col("p") + 1).alias("line_no"), F.explode(F.array(first, other)).alias("s")).select("source", "page", "line_no", "s.*")
+    return reports.styled_lines(spans).select("source", "line_no", "text", "bold", "size")
+
+
+@query("""SELECT config_id, CAST(greatest(10, m // 2) AS INT) AS min_tokens, CAST(m AS INT) AS max_tokens, overlap_tokens FROM (SELECT *, greatest(30, least(min_tokens * 5 // 3, 375)) AS m FROM chunk_configs)""")
+def chunk_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes in tokens derived from sizes in characters."""
+    made = [(r.config_id, ChunkConfig.of_chars(r.min_tokens * 5, r.overlap_tokens)) for r in table(spark, folder, "chunk_configs").select("config_id", "min_tokens", "overlap_tokens").collect()]
+    return spark.createDataFrame([(i, c.min_tokens, c.max_tokens, c.overlap_tokens) for i, c in made], "config_id int, min_tokens int, max_tokens int, overlap_tokens int")
+
+
+@query(f"{twins._metrics(10)} SELECT CAST(row_number() OVER (ORDER BY round(recall, 6) DESC, qid) AS INT) AS place, qid, round(recall, 6) AS recall, round(rr, 6) AS rr, hit FROM scored")
+def per_query_table(spark: SparkSession, folder: str) -> DataFrame:
+    """All queries, the best recall first; an evaluation set is brought together by the constant window on purpose."""
+    scored = catalog._scored(spark, folder).select("qid", catalog._r("recall"), catalog._r("rr"), "hit")
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("recall"), "qid")))
+
+
+@query(f"""{twins._CASCADE}, {twins._TRACE}, n AS (SELECT q.qid, q.query, s.stage_no, s.stage, count(t.cid) AS c FROM queries q CROSS JOIN (SELECT unnest(range({len(twins._STAGES)})) AS stage_no, unnest({twins._list(twins._STAGES)}) AS stage) s
+    LEFT JOIN trace t ON t.qid = q.qid AND t.stage_no = s.stage_no GROUP BY ALL)
+  SELECT qid, CAST(to_json({{'stages': list({{'stage': stage, 'count': c}} ORDER BY stage_no), 'final_count': max_by(c, stage_no)}}) AS VARCHAR) AS trace FROM n GROUP BY qid""")
+def trace_json(spark: SparkSession, folder: str) -> DataFrame:
+    return analysis.trace_json(_trace(spark, folder), catalog._queries(spark, folder).select("qid"), cascade.STAGES)
+
+
+@query(f"""{twins.sql()['prompt_statuses'].split(' SELECT a.qid, a.cid,')[0]}, r AS (SELECT a.qid, string_agg('[#' || a.rank || '] score=' || printf('%.3f', a.score) || ' ' || CASE WHEN length({twins._strip('a.text')}) < 80 AND usable THEN 'filtered'
+      WHEN {twins._strip('a.text')} <> '' AND contains(coalesce(context, ''), {twins._strip('a.text')}) THEN 'in prompt' WHEN {twins._strip('a.text')} <> '' AND contains(coalesce(context, ''), substring({twins._strip('a.text')}, 1, 60)) THEN 'cut' ELSE 'out' END
+      || ' (' || length({twins._strip('a.text')}) || ' chars) ' || coalesce(a.source, 'desconhecido'), chr(10) ORDER BY a.rank) AS body FROM absolute a JOIN u USING (qid) LEFT JOIN b USING (qid) WHERE a.text IS NOT NULL GROUP BY a.qid)
+  SELECT q.qid, coalesce(q.query, '') || chr(10) || CASE WHEN r.body IS NULL THEN 'nothing found' ELSE r.body || chr(10) || 'on topic' END AS report FROM queries q LEFT JOIN r USING (qid)""")
+def chunk_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of every candidate, as a text for each query; all topics count as met."""
+    pool = cascade.absolute_filter(catalog._pool(spark, folder), catalog.CONFIG.min_score).where("text IS NOT NULL")
+    asked = catalog._queries(spark, folder).select("qid", "query")
+    return analysis.chunk_reports(pool, catalog.prompt_statuses(spark, folder), asked.select("qid", F.lit(True).alias("relevant")), asked)
+
+
 def queries() -> dict[str, catalog.Query]:
     return dict(_REGISTERED)
 

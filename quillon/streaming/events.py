@@ -23,10 +23,15 @@ def turn_events(answers: DataFrame) -> DataFrame:
     return answers.select("session_id", F.posexplode(F.when(F.col("error").isNotNull(), failed).otherwise(good)).alias("seq", "event"))
 
 
-def write_events(turns: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Start a query that answers each micro-batch of turns and appends its events as JSON lines."""
+def write_events(turns: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, until_done: bool = False):
+    """Start a query that answers each micro-batch of turns and writes its events as JSON lines.
+
+    A batch that is run again overwrites its own folder, so no event is written twice. With
+    ``until_done`` the query ends when it has taken what there is.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        turn_events(answer(rows)).write.mode("append").json(f"{path}/batch={number}")
+        turn_events(answer(rows)).write.mode("overwrite").json(f"{path}/batch={number}")
 
-    return turns.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    writer = turns.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if until_done else writer).start()
