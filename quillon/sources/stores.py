@@ -6,8 +6,9 @@ import json
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -25,8 +26,8 @@ SESSION_SCHEMA = "id string, title string, messages array<struct<role:string,con
 def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     try:
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    except PySparkException:
-        # missing, or no footer can be read
+    except AnalysisException:
+        # nothing was written yet; a store that is there but broken raises
         return None
 
 
@@ -44,12 +45,12 @@ class VectorIndex:
 
     def load(self) -> bool:
         """Whether there is an index that can be read; one that cannot is set aside, and the store is empty."""
-        rows = self.rows()
-        if rows is None:
-            return False
         try:
+            rows = self.rows()
+            if rows is None:
+                return False
             rows.select(F.count("text_md5"), F.count("text")).collect()
-        except PySparkException:
+        except (PySparkException, Py4JJavaError):
             self.path = f"{self.path}/anew-{uuid.uuid4().hex}"
             return False
         return True

@@ -231,3 +231,43 @@ def test_components_against_union_find(spark):
         root[max(a, b)] = min(a, b)
     got = components.connected_components(spark.createDataFrame(pairs + [(None, 3)], "a int, b int")).collect()
     assert {x.node: x.component for x in got} == {n: find(n) for n in root}
+
+
+def test_outline_across_stretches(spark, monkeypatch):
+    pages = [(f"k{p}", "s" if p % 2 else None, p // 2, f"Unidade {p}: A\ncorpo" if p % 10 < 2 else (f"Capítulo {p}: B\ncorpo" if p % 6 < 2 else f"{p % 9}.1 Tópico\ncorpo {p}")) for p in range(40)]
+    df = spark.createDataFrame(pages, "page_key string, source string, page int, text string")
+    want = sorted(map(repr, outline.sections(df).collect()))
+    monkeypatch.setattr(outline, "STRETCH", 3)
+    assert sorted(map(repr, outline.sections(df).collect())) == want and len(want) >= 40
+
+
+def test_bold_lines_are_compared_composed(spark):
+    df = spark.createDataFrame([("k", "s", 1, "Introduc\u0327a\u0303o Geral\ncorpo", [("Introdução Geral", 20.0)], 10.0)], "page_key string, source string, page int, text string, bold_lines array<struct<text:string,size:double>>, body_size double")
+    assert [r.level for r in outline.lines(df).orderBy("line_no").collect()] == [1, 0]
+
+
+def test_search_keeps_the_best_across_batches(spark):
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(900, 6)).round(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id bigint, embedding array<double>").coalesce(2)
+    got = {(r.qid, r.cid) for r in vectors.top_k(df, df.where("vec_id % 20 = 0"), 5).collect()}
+    want = set()
+    for q in range(0, 900, 20):
+        s = m @ m[q]
+        order = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))
+        # scores equal but for rounding may change places
+        want |= {(q, i) for i in order if s[i] >= s[order[4]] - 1e-9}
+    assert got <= want and len(got) == 45 * 5
+    assert vectors.approximate_top_k(df.limit(0), df, 5).count() == 0 and vectors.approximate_top_k(df, df.limit(0), 5).count() == 0
+
+
+def test_generated_sets(spark):
+    from quillon.operators import datasets
+    from quillon.providers import CountingQuestion
+
+    rows = [(f"c{i}", "x" * (200 + i), "u", None, i, None if i else "a > b") for i in range(12)] + [("n", None, "u", None, 1, None), (None, "y" * 300, None, None, None, None)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, unit string, chapter string, page int, breadcrumb string")
+    got = datasets.generated_items(df, CountingQuestion(), ["Não?"], 3, 2, 1).orderBy("id").collect()
+    assert [r.id for r in got] == [f"q{i:04d}" for i in range(len(got))] and got[-1].category == "negative" and not got[-1].answerable
+    assert all(len(r.relevant_chunks) == r.n_source_chunks for r in got[:-1])
+    assert datasets.generated_items(df.limit(0), CountingQuestion(), [], 3, 2, 1).count() == 0

@@ -105,3 +105,50 @@ def test_events(spark):
     got = [json.loads(r.event) for r in events.turn_events(df).where("session_id = 's'").orderBy("seq").collect()]
     assert [g["type"] for g in got] == ["token", "token", "done", "title"] and "".join(g.get("text", "") for g in got) == "um dois"
     assert [json.loads(r.event)["type"] for r in events.turn_events(df).where("session_id = 'e'").collect()] == ["error"]
+
+
+def test_written_eval_items_are_read_as_they_were(spark, tmp_path):
+    rows = [{"id": f"q{i}", "query": "ação\n?" if i % 2 else "[x]", "answerable": None if i == 3 else True, "relevant_chunks": [{"chunk_id": "c", "relevance": i}] if i else None, "relevant_texts": ["a", "b"] if i > 2 else None} for i in range(6)]
+    items = spark.createDataFrame(rows, stores.EVAL_SCHEMA)
+    stores.write_eval_items(items.coalesce(1), str(tmp_path / "one"))
+    stores.write_eval_items(items.repartition(3), str(tmp_path / "three"))
+    for name in ("one", "three"):
+        assert sorted(stores.read_eval_items(spark, str(tmp_path / name)).collect(), key=lambda r: r.id) == items.collect()
+    stores.write_eval_items(items.limit(0), str(tmp_path / "none"))
+    assert stores.read_eval_items(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_an_index_that_cannot_be_read_is_an_empty_store(spark, tmp_path):
+    index = stores.VectorIndex(spark, str(tmp_path / "i"), "m")
+    assert not index.load() and index.size() == 0
+    index.add(spark.createDataFrame([(1, "x")], "pos int, text string"), ["pos"])
+    assert index.load() and index.size() == 1
+    for p in (tmp_path / "i" / "rows").glob("*.parquet"):
+        p.write_bytes(b"broken")
+        (p.parent / f".{p.name}.crc").unlink(missing_ok=True)
+    assert not stores.VectorIndex(spark, str(tmp_path / "i"), "m").load()
+
+
+def test_embedding_cache(spark, tmp_path):
+    cache = stores.EmbeddingCache(spark, str(tmp_path / "c"))
+    assert cache.rows() is None
+    texts = spark.createDataFrame([(1, "um"), (2, "um"), (3, None), (4, "dois")], "i int, text string")
+    cache.add(embed(texts.where("i < 4"), HashedEmbedding(8)))
+    first = {r.text_sha256: r.embedding for r in cache.rows().collect()}
+    cache.add(embed(texts, HashedEmbedding(8), cache=cache.rows()))
+    both = {r.text_sha256: r.embedding for r in cache.rows().collect()}
+    assert len(first) == 1 and len(both) == 2 and first.items() <= both.items()
+
+
+def test_many_sessions_at_once(spark, tmp_path):
+    s = stores.Sessions(spark, str(tmp_path / "s"))
+    s.append_turns(spark.createDataFrame([("a", "user", "x", 1.0), ("b", "user", "y", 2.0)], "id string, role string, content string, ts double"))
+    s.set_titles(spark.createDataFrame([("a", "A"), ("z", "Z")], "id string, title string"))
+    s.delete_all(spark.createDataFrame([("b",), ("y",)], "id string"))
+    assert [(r.id, r.title) for r in s.list().collect()] == [("a", "A")]
+
+
+def test_tables_of_reports(spark, tmp_path):
+    for n in (1, 2):
+        stores.save_table(spark.createDataFrame([(n, 0.5)], "n int, recall double"), str(tmp_path / f"r{n}"))
+    assert {(r.run, r.n) for r in stores.read_tables(spark, {"a": str(tmp_path / "r1"), "b": str(tmp_path / "r2")}, "run").collect()} == {("a", 1), ("b", 2)}
