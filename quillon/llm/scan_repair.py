@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +58,8 @@ _EDGE = "page_id {id}, source string, page int, line_no int, pos string, norm st
 
 
 def _plain(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
@@ -89,7 +92,7 @@ def title_norm(line: str) -> str:
 
 def in_capitals(line: str) -> bool:
     """Whether most letters are capitals; single ones may be misread."""
-    return sum(c.isupper() for c in line) > sum(c.islower() for c in line)
+    return sum(map(str.isupper, line)) > sum(map(str.islower, line))
 
 
 def _halves(norm: str) -> list[tuple[int, str]]:
@@ -242,6 +245,21 @@ def _words(line: str) -> list[str]:
     return out
 
 
+@lru_cache(1 << 17)
+def _token(t: str) -> tuple[str, str | None, bool] | None:
+    """What stands between white space: the word without quotes and stops, the same lowered if it has letters, and whether it is a misread number."""
+    w = t.lstrip(_OPENING).rstrip(_CLOSING)
+    if not w:
+        return None
+    if w.isalpha():
+        return w, w.lower(), False
+    if w.isdecimal():
+        return w, None, False
+    if misread_number(w):
+        return w, None, True
+    return w, w.lower() if any(c.isalpha() for c in w) else None, False
+
+
 _TOKENS = (
     "page_id {id}, source string, page int, kind string, line_no int, word string, next_word string, next_line int, capital boolean, n bigint, words array<string>, at array<int>"
 )
@@ -290,9 +308,9 @@ def _one_page(rows: list[tuple], p: dict) -> tuple[list[str], list[int]]:
     skip_first = False
     for k, i in enumerate(body):
         raw = lines[i].strip()
-        words = _words(lines[i])
+        words = [w for w in map(_token, raw.split()) if w]
         if k == 0 and words:
-            add("first", i, words[0])
+            add("first", i, words[0][0])
         # the letter before the hyphen may be misread itself, a number's range is no word
         broken = len(raw) > 1 and raw[-1] in HYPHENS and (raw[-2].isalnum() or raw[-2] in SIGNS) and any(c.isalpha() for c in raw.split()[-1])
         begin, stop = 1 if skip_first else 0, len(words)
@@ -304,19 +322,14 @@ def _one_page(rows: list[tuple], p: dict) -> tuple[list[str], list[int]]:
             add(f"hyphen{raw[-1]}", i, head, tail[0] if tail else None, after, head[:1].isupper())
             # neither half is a word
             skip_first = bool(tail)
-            if words and raw.split()[-1].lstrip(_OPENING).rstrip(_CLOSING + HYPHENS) == words[-1].rstrip(HYPHENS):
+            if words and raw.split()[-1].lstrip(_OPENING).rstrip(_CLOSING + HYPHENS) == words[-1][0].rstrip(HYPHENS):
                 stop -= 1
-        for w in words[begin:stop]:
-            if not w.isalpha():
-                if w.isdecimal():
-                    continue
-                if misread_number(w):
-                    add("number", i, w)
-                    continue
-                if not any(c.isalpha() for c in w):
-                    continue
-            found.append(w.lower())
-            where.append(i)
+        for word, low, number in words[begin:stop] if begin or stop < len(words) else words:
+            if number:
+                add("number", i, word)
+            elif low is not None:
+                found.append(low)
+                where.append(i)
     return found, where
 
 
