@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from pathlib import Path
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import metrics
-from quillon.sources import stores
+from quillon.operators import analysis, metrics
+from quillon.sources import files, stores
 
 Search = Callable[[DataFrame, int], DataFrame]
 
@@ -38,13 +38,26 @@ def evaluate(items: DataFrame, search: Search, depths: tuple[int, ...] = (5, 10,
     return out
 
 
-def save_reports(tables: dict[str, DataFrame], folder: str, meta: dict) -> Path:
-    """Write the tables as JSON into the next version's folder; returns it. Reports are small."""
-    root = Path(folder)
-    root.mkdir(parents=True, exist_ok=True)
-    target = root / f"v{stores.next_version([p.name for p in root.iterdir()])}"
-    target.mkdir()
-    for name, df in tables.items():
-        (target / f"{name}.json").write_text(stores.report_json(df), encoding="utf-8")
-    (target / "run_meta.json").write_text(json.dumps(meta, ensure_ascii=False, default=str), encoding="utf-8")
+def details(items: DataFrame, results: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id") -> dict[str, DataFrame]:
+    """Tables "expected" and "retrieved": what each item should find and what it found, in the order returned.
+
+    ``results`` (qid, cid, rank, score), ``chunks`` with text, source and page.
+    """
+    qrels = stores.item_qrels(items)
+    return {"expected": analysis.expected_chunks(qrels, chunks, chunk_id), "retrieved": analysis.retrieved_chunks(results, qrels, chunks, chunk_id)}
+
+
+def save_reports(tables: dict[str, DataFrame], folder: str, meta: dict) -> str:
+    """Write the tables as JSON into the next version's folder, on any file system the session reaches; returns it. Reports are small."""
+    spark = next(iter(tables.values())).sparkSession
+    target = f"{folder.rstrip('/')}/v{stores.next_version(files.names_in(spark, folder))}"
+    contents = [(f"{name}.json", stores.report_json(df)) for name, df in tables.items()]
+    files.write_files(spark, target, [*contents, ("run_meta.json", json.dumps(meta, ensure_ascii=False, default=str))])
     return target
+
+
+def load_reports(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One table of every saved version, named in the column ``version``."""
+    versions = [v for v in files.names_in(spark, folder) if v[:1] == "v" and v[1:].isdigit()]
+    parts = [spark.read.option("multiLine", True).json(f"{folder.rstrip('/')}/{v}/{name}.json").withColumn("version", F.lit(v)) for v in versions]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from quillon.config import ChunkConfig
 from quillon.functions import text as tx
 from quillon.operators import analysis, cascade, datasets, dialogue, genmetrics, links, metrics, reports, sampling, vectors
-from quillon.plans import catalog, twins
+from quillon.plans import catalog, evaluating, twins
 from quillon.providers import CountingQuestion, HashedEmbedding, embed
 from quillon.runtime import materialize, own_tables, table
 from quillon.sources import files, stores
@@ -317,6 +317,66 @@ def model_changes(spark: SparkSession, folder: str) -> DataFrame:
     return genmetrics.relative_change(means, "model", "speed").select("model", "speed", catalog._r("change"))
 
 
+# --- an evaluation end to end: a stand-in search finds an item's passages from the second or third on
+
+
+def _evaluated(k: int) -> str:
+    near = f"near AS (SELECT item_id AS qid, item_id || '-' || (j + length(query) % 3) AS cid, j + 1 AS rank FROM (SELECT *, unnest(range({k})) AS j FROM asked))"
+    qrels = "qrels AS (SELECT qid, cid, relevance FROM (SELECT item_id AS qid, item_id || '-' || i AS cid, CASE WHEN length(query) % 2 = 0 THEN i ELSE 1 END AS relevance FROM (SELECT item_id, query, unnest(range(len(relevant_texts))) AS i FROM asked)) WHERE relevance > 0)"
+    asked = "asked AS (SELECT * FROM eval_items WHERE coalesce(answerable, true))"
+    base = twins._metrics(k).replace(twins._near(k), f"{asked}, {near}").replace(twins._QRELS, qrels)
+    return base.replace("v.vec_id", "v.item_id").replace("FROM embeddings v", "FROM asked v").replace(" WHERE v.item_id % 20 = 0)", ")")
+
+
+_EVAL_MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in ("precision", "recall", "hit", "rr", "ndcg", "ap"))
+
+
+@query(" UNION ALL ".join(f"(SELECT 'v1' AS version, CAST({k} AS BIGINT) AS k, n, precision, recall, hit, rr, ndcg, ap FROM ({_evaluated(k)} SELECT count(*) AS n, {_EVAL_MEANS} FROM scored))" for k in (1, 3)))
+def saved_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """All items written, read, evaluated at two depths, and the reports saved and loaded."""
+    path, reports_at = _folder(spark, "items"), _folder(spark, "metrics")
+    stores.write_eval_items(_linked_items(spark, folder), path)
+    tables = evaluating.evaluate(stores.read_eval_items(spark, path), _stand_in, (1, 3))
+    evaluating.save_reports({"report": tables["report"]}, reports_at, {"depths": [1, 3]})
+    out = evaluating.load_reports(spark, reports_at, "report")
+    return out.select("version", "k", "n", *[catalog._r(m) for m in ("precision", "recall", "hit", "rr", "ndcg", "ap")])
+
+
+def _stand_in(asked: DataFrame, k: int) -> DataFrame:
+    places = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j")
+    return asked.select("qid", "query", places).select("qid", F.concat_ws("-", "qid", (F.col("j") + F.length("query") % 3).cast("string")).alias("cid"), (F.col("j") + 1).alias("rank"))
+
+
+@query(" UNION ALL ".join(f"(SELECT {k} AS k, coalesce(nullif(d.category, ''), 'uncategorized') AS category, count(*) AS n, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr FROM ({_evaluated(k)} SELECT * FROM scored) s LEFT JOIN eval_items d ON d.item_id = s.qid GROUP BY 2)" for k in (1, 3)))
+def evaluation_by_category(spark: SparkSession, folder: str) -> DataFrame:
+    items = _read_items(spark, folder)
+    return evaluating.evaluate(items, _stand_in, (1, 3))["by_category"].select("k", "category", "n", catalog._r("hit"), catalog._r("recall"), catalog._r("rr"))
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS k, item_id AS qid, CAST({k} AS BIGINT) AS retrieved, false AS passed FROM eval_items WHERE NOT coalesce(answerable, true)" for k in (1, 3)))
+def evaluation_guardrail(spark: SparkSession, folder: str) -> DataFrame:
+    """Items that must find nothing; the stand-in finds something for each."""
+    return evaluating.evaluate(_read_items(spark, folder), _stand_in, (1, 3))["guardrail"].select("k", "qid", "retrieved", "passed")
+
+
+def _read_items(spark: SparkSession, folder: str) -> DataFrame:
+    path = _folder(spark, "items")
+    stores.write_eval_items(_linked_items(spark, folder), path)
+    return stores.read_eval_items(spark, path)
+
+
+@query("""WITH t AS (SELECT item_id, query, unnest(range(len(relevant_texts))) AS i FROM eval_items), p AS (SELECT item_id || '-' || (i - 1) AS cid, relevant_texts[i] AS text, source_breadcrumb AS source FROM (SELECT *, unnest(range(1, len(relevant_texts) + 1)) AS i FROM eval_items)),
+  q AS (SELECT item_id AS qid, item_id || '-' || i AS cid, CAST(CASE WHEN length(query) % 2 = 0 THEN i ELSE 1 END AS INT) AS relevance FROM t WHERE length(query) % 2 = 1 OR i > 0)
+  SELECT q.qid, q.cid, q.relevance, coalesce(CASE WHEN length(p.text) > 200 THEN substring(p.text, 1, 200) || '…' ELSE p.text END, '') AS preview, coalesce(p.source, '') AS source FROM q LEFT JOIN p ON p.cid = q.cid""")
+def evaluation_details(spark: SparkSession, folder: str) -> DataFrame:
+    """What the items should find, with the passages as stored chunks."""
+    items = table(spark, folder, "eval_items")
+    stored = items.select("item_id", F.col("source_breadcrumb").alias("source"), F.posexplode("relevant_texts").alias("i", "text")).select(F.concat_ws("-", "item_id", "i").alias("chunk_id"), "text", "source", F.lit(None).cast("int").alias("page"))
+    read = _read_items(spark, folder)
+    found = _stand_in(read.select(F.col("id").alias("qid"), "query"), 3).withColumn("score", F.lit(0.5))
+    return evaluating.details(read, found, stored)["expected"].select("qid", "cid", "relevance", "preview", "source")
+
+
 # --- generated sets, prompts, titles
 
 

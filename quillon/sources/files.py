@@ -53,6 +53,13 @@ def write_files(spark: SparkSession, folder: str, contents: list[tuple[str, str]
             out.close()
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in a folder, in order; nothing for one that is missing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(path)) if system.exists(path) else []
+
+
 def decoded(content):
     """UTF-8 where the bytes are valid, else Latin-1."""
     as_text = content.cast("string")

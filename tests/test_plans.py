@@ -54,6 +54,7 @@ def test_evaluate_and_save(spark, tmp_path):
     tables = evaluating.evaluate(items, search, (1, 5))
     assert [(r.k, r.n, r.recall) for r in tables["report"].orderBy("k").collect()] == [(1, 1, 1.0), (5, 1, 1.0)]
     assert {r.passed for r in tables["guardrail"].collect()} == {True}
-    assert evaluating.save_reports(tables, str(tmp_path / "m"), {"a": 1}).name == "v1"
-    assert evaluating.save_reports(tables, str(tmp_path / "m"), {}).name == "v2"
+    assert evaluating.save_reports(tables, str(tmp_path / "m"), {"a": 1}).endswith("/v1")
+    assert evaluating.save_reports(tables, str(tmp_path / "m"), {}).endswith("/v2")
+    assert {(r.version, r.k, r.recall) for r in evaluating.load_reports(spark, str(tmp_path / "m"), "report").collect()} == {(v, k, 1.0) for v in ("v1", "v2") for k in (1, 5)}
     assert json.loads((tmp_path / "m/v1/run_meta.json").read_text()) == {"a": 1}
