@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.config import ChunkConfig
+from quillon.config import ChunkConfig, RetrievalConfig
 from quillon.functions import text as tx
 from quillon.operators import analysis, cascade, datasets, dialogue, genmetrics, links, metrics, reports, sampling, vectors
-from quillon.plans import catalog, evaluating, twins
-from quillon.providers import CountingQuestion, HashedEmbedding, embed
+from quillon.plans import answering, catalog, evaluating, twins
+from quillon.providers import CountingQuestion, FirstSentence, HashedEmbedding, LengthEmbedding, embed
 from quillon.runtime import materialize, own_tables, table
 from quillon.sources import files, stores
 from quillon.streaming import events, thoughts
@@ -575,6 +575,43 @@ def approximate_recall(spark: SparkSession, folder: str) -> DataFrame:
     return met.agg(F.count("*").alias("n_queries"), (F.sum("met") >= 0.9 * F.sum("wanted")).alias("enough"))
 
 
+# --- turns answered end to end
+
+_LATE, _CONTEXT = twins.sql()["history_context"].removeprefix(twins._MESSAGES).replace("FROM said)", "FROM hist)").rsplit("SELECT s.session_id,", 1)
+_ASKED, _RELEVANT = twins.sql()["topical_relevance"].removeprefix(twins._CASCADE).rsplit("SELECT a.qid,", 1)
+_USABLE = "usable0 AS" + twins.sql()["context_pack"].split("usable0 AS", 1)[1].rsplit(" SELECT * FROM packed", 1)[0].replace("round(score, 1) AS score", "score").replace("FROM absolute", "FROM final")
+_ANSWERS = rf"""{twins._MESSAGES}, ends AS (SELECT session_id, max(turn) AS t FROM said GROUP BY session_id),
+  hist AS (SELECT s.* FROM said s JOIN ends e ON e.session_id = s.session_id WHERE s.turn < e.t)
+  {_LATE}, ctx AS (SELECT s.session_id, {_CONTEXT}),
+  turns AS (SELECT s.request_id AS qid, s.session_id, s.content AS message, e.t - 1 AS earlier FROM said s JOIN ends e ON e.session_id = s.session_id AND e.t = s.turn WHERE regexp_matches(s.content, '{twins._NOT_SPACE}')),
+  queries AS MATERIALIZED (SELECT t.*, CASE WHEN earlier >= 2 AND {twins._any('lower(message)', dialogue.FOLLOW_UPS)} AND coalesce(c.context, '') <> '' THEN message || ' ' || c.context ELSE message END AS query FROM turns t LEFT JOIN ctx c ON c.session_id = t.session_id),
+  shelf AS (SELECT e.vec_id, e.embedding, d.text, d.source FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.text IS NOT NULL),
+  near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM (SELECT q.qid, s.vec_id AS cid, CAST(s.embedding[length(q.query) % 64 + 1] AS DOUBLE) AS score, s.text, s.source FROM queries q, shelf s)),
+  absolute AS (SELECT * FROM near WHERE rank <= 12 AND score >= 0.2),
+  final AS MATERIALIZED (SELECT * FROM absolute WHERE rank <= 3)
+  {_ASKED}, rel AS (SELECT a.qid, {_RELEVANT}), {_USABLE},
+  block AS (SELECT qid, string_agg(entry, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS block FROM packed GROUP BY qid),
+  past AS (SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS said FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS b FROM hist) WHERE b <= 8 AND content IS NOT NULL GROUP BY session_id),
+  settled AS (SELECT q.*, f.n, f.best, CASE WHEN f.n IS NULL THEN 'nothing found' WHEN NOT coalesce(r.relevant, false) THEN 'off topic' ELSE 'answered' END AS status, {twins._strip("concat_ws(chr(10) || chr(10), b.block, coalesce(p.said, ''), q.message)")} AS prompt
+    FROM queries q LEFT JOIN (SELECT qid, count(*) AS n, max(score) AS best FROM final GROUP BY qid) f ON f.qid = q.qid LEFT JOIN rel r ON r.qid = q.qid LEFT JOIN block b ON b.qid = q.qid LEFT JOIN past p ON p.session_id = q.session_id)
+  SELECT qid, session_id, CASE WHEN status = 'answered' THEN {twins._strip("substring(string_split(prompt, '. ')[1], 1, 400)")} ELSE '{tx.REFUSAL}' END AS answer, CASE WHEN status <> 'answered' THEN '' WHEN best < 0.45 THEN 'low' WHEN best < 0.65 THEN 'medium' ELSE '' END AS notice,
+    coalesce(n, 0) AS n_chunks, status FROM settled"""
+
+
+@query(_ANSWERS)
+def answered_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """The last message of every session answered from the stored documents, the messages before it as its history."""
+    said = materialize(catalog._messages(spark, folder), "said")
+    ends = said.groupBy("session_id").agg(F.max("turn").alias("t"))
+    placed = said.join(ends, "session_id")
+    turns = placed.where(F.col("turn") == F.col("t")).where(F.col("content").rlike(tx.NOT_SPACE)).select(F.col("request_id").alias("qid"), "session_id", F.col("content").alias("message"))
+    history = placed.where(F.col("turn") < F.col("t")).select("session_id", "turn", "role", "content")
+    docs = table(spark, folder, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("vec_id"), "text", "source", F.lit(None).cast("string").alias("breadcrumb"))
+    index = table(spark, folder, "embeddings").select("vec_id", "embedding").join(docs, "vec_id")
+    plain = RetrievalConfig(top_k=3, min_score=0.2, adaptive_sigma=99.0, gap_filter=False, keyword_filter=False, lexical_weight=0.0)
+    return answering.answer(turns, history, index, LengthEmbedding(64), FirstSentence(), plain)
+
+
 # --- streams, run to the end of finished tables
 
 

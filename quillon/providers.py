@@ -54,6 +54,18 @@ class HashedEmbedding(EmbeddingProvider):
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
 
+class LengthEmbedding(EmbeddingProvider):
+    """One direction for each length of a text, counted round; for tests of plans whose results other engines compute too."""
+
+    def __init__(self, dimension: int = 64):
+        self.dimension, self.name = dimension, f"length-{dimension}"
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dimension))
+        out[np.arange(len(texts)), [len(t) % self.dimension for t in texts]] = 1.0
+        return out
+
+
 class OverlapScorer(PairScorer):
     """Share of the query's words that stand in the text."""
 
