@@ -116,6 +116,11 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items"), fields)
 
 
+def p8_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """(item_id, field, doc_id, words): how long the longest shared runs of the report are."""
+    return p8_report(spark, folder).select("item_id", "field", "doc_id", "words")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return language.mislabelled(docs, language.fit(docs))
@@ -151,6 +156,7 @@ def queries() -> dict[str, Query]:
         "p7_totals": p7_totals,
         "p8_found": p8_found,
         "p8_report": p8_report,
+        "p8_runs": p8_runs,
         "p9_found": p9_found,
         "p9_documents": p9_documents,
         "p9_segments": p9_segments,
@@ -241,6 +247,18 @@ pg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELEC
 SELECT DISTINCT item_id, doc_id FROM pg JOIN dg USING (g)
 """
 
+_P8_RUNS = r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(strip_accents(lower(nfc_normalize(text))), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+f AS (SELECT item_id, 'relevant_texts' AS field, unnest(relevant_texts) AS x FROM eval_items UNION ALL SELECT item_id, 'query', query FROM eval_items UNION ALL SELECT item_id, 'reference_answer', reference_answer FROM eval_items),
+p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY item_id, field, x) AS pid FROM (SELECT item_id, field, x, regexp_extract_all(strip_accents(lower(nfc_normalize(x))), '[\p{L}\p{N}]+') AS w FROM f WHERE x IS NOT NULL)),
+dg AS (SELECT doc_id, i AS j, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+pg AS (SELECT pid, i, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT pid, w, unnest(range(1, len(w) - 10)) AS i FROM p)),
+hit AS (SELECT DISTINCT pid, doc_id, i, j FROM pg JOIN dg USING (g)),
+run AS (SELECT pid, doc_id, j - i AS diag, i - row_number() OVER (PARTITION BY pid, doc_id, j - i ORDER BY i) AS island FROM hit),
+long AS (SELECT pid, doc_id, count(*) + 11 AS words FROM run GROUP BY pid, doc_id, diag, island)
+SELECT item_id, field, doc_id, CAST(max(words) AS INT) AS words FROM long JOIN p USING (pid) GROUP BY item_id, field, doc_id
+"""
+
 _P1_LINES = r"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
@@ -262,6 +280,7 @@ def oracle_sql() -> dict[str, str]:
         "p7_totals": _P7_TOTALS,
         "p6_found": _P6_FOUND,
         "p8_found": _P8_FOUND,
+        "p8_runs": _P8_RUNS,
         "p7_found": _P7_FOUND,
         "p4_found": _P4_FOUND,
         "p1_found": _P1_LINES + "SELECT doc_id, line_no FROM found",

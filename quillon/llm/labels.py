@@ -50,7 +50,7 @@ def labelled_sample(docs: DataFrame, per_language: int, text: str = "text", labe
 
     The texts with the least hashes are taken, so the sample depends on the rows alone and not on
     how they lie in files. The labels are counted first; then one pass keeps the share of each
-    language that its bound asks for, a quarter more to be sure, and copies of a text once. What
+    language that its bound asks for, a quarter more to be sure, and copies of a text once, so that a text with very many copies makes the sample smaller. What
     comes to the driver is bounded, whatever the size of the table.
     """
     named = label_language(F.col(label))

@@ -56,3 +56,20 @@ def test_tables(spark):
     assert full.where("doc_id = 4").first().text_chain is None
     empty = df.limit(0)
     assert en.garbled_values(empty, en.fit_dictionaries(empty)).count() == 0
+
+
+def test_a_wrong_word_of_usual_shape():
+    de = ["Das Licht schwächt die Härte, während sich die Hänge mit der Wärme ändern und die Nähe der Städte stört."]
+    restorer = en.Restorer(en.train_dictionaries({"de": de * 60, "pt": PT * 60}))
+    garbled = wrong("Es schwächt die Hänge, während sich die Wärme ändert.", "cp1252", "cp850")
+    assert restorer.restore(garbled)[0] == "Es schwächt die Hänge, während sich die Wärme ändert."
+
+
+def test_signs_are_no_shorter_as_letters(restorer):
+    for text in ("Um termo (“peer review”) aqui.", "1819…”", "(“open air”).", "“(Bolemgravi)”"):
+        assert restorer.restore(text) == (text, None)
+
+
+def test_readings_change_the_word():
+    assert not en.readings("casa") and all(out != "ação" for out, _ in en.readings("ação").values())
+    assert any(out == "ação" for out, _ in en.readings(wrong("ação", "utf-8", "cp1252")).values())

@@ -60,3 +60,8 @@ def test_long_and_empty(spark):
 @pytest.mark.parametrize("n", [len(la.ALIKE), len(la._CYRILLIC)])
 def test_tables_have_equal_length(n):
     assert len(la.ALIKE) == len(la.LATIN) and len(la._CYRILLIC) == len(la._LATIN_OF_CYRILLIC) and len(la._WIDE) == len(la._NARROW)
+
+
+def test_full_width_letters_with_accents_apart(spark):
+    df = spark.createDataFrame([(1, "\uff23\uff41\uff46\uff45\u0301")], "i int, text string")
+    assert la.normalise(df).first().normalised == "Café"

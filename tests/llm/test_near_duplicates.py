@@ -91,3 +91,18 @@ def test_the_ring_keeps_what_it_promises():
         ring = nd.Ring(t)
         assert (1 - t**ring.width) ** ring.segments <= ring.miss
         assert ring.tau >= ring.positions * (1 - t)
+
+
+def test_rows_that_multiply_are_never_broadcast(spark):
+    df = spark.createDataFrame(corpus(3, 10), SCHEMA)
+    pairs = nd.candidate_pairs(nd._texts(df, "text"), nd.Ring(0.6), 3)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_text_that_all_tasks_hold(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(f"{i:04d}", text) for i in range(300)] + [("x", text + " ende"), ("y", text.replace("w30", "v30"))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(16)
+    groups = {r.chunk_id: (r.group_id, r.links, r.copies) for r in nd.duplicate_groups(df, 0.8, 5).collect()}
+    assert groups["0007"] == ("0000", 2, 299) and groups["x"][0] == groups["y"][0] == "0000" and groups["x"][2] == 0

@@ -110,3 +110,20 @@ def test_containers_of_a_table(spark):
             assert "".join(text[s:e] for _, s, e in parts) == text and parts
     assert {(r.target_id, r.doc_id) for r in packing.split_alone(packing.pack(docs, targets)).collect()} == {(1, 1), (1, 5), (1, 6)}
     assert packing.pack(docs.limit(0), targets).count() == 0 and packing.pack(docs, targets.limit(0)).count() == 0
+
+
+def test_targets_in_several_passes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * (i % 37 + 1)) for i in range(200)], "doc_id bigint, text string")
+    targets = spark.createDataFrame([(t, 20 + t) for t in range(5)], "target_id int, capacity int")
+    want = sorted(packing.pack(docs, targets, block_items=40).collect())
+    monkeypatch.setattr(packing, "TARGETS_AT_ONCE", 2)
+    got = sorted(packing.pack(docs, targets, block_items=40).collect())
+    assert got == want and {r.target_id for r in got} == set(range(5))
+    assert packing.split_alone(packing.pack(docs, targets)).where("target_id = 0").count() == sum(i % 37 + 2 > 20 for i in range(200))
+
+
+def test_a_few_words_go_with_what_is_behind():
+    text = "Ein kurzer Anfang.\n" + " ".join(["Wort"] * 30) + ".\n" + " ".join(["Ende"] * 5) + "."
+    spans = ss.split_spans(text, 35, 10)
+    assert len(text[spans[0][0] : spans[0][2]].split()) > 20
+    assert all(len(text[s:e].split()) <= 35 for s, _, e in spans)
