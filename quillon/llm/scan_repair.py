@@ -104,17 +104,34 @@ def _halves(norm: str) -> list[tuple[int, str]]:
 
 
 def distance(a: str, b: str, most: int) -> int:
-    """Edit distance, or ``most`` + 1 where it is larger."""
+    """Edit distance, or ``most`` + 1 where it is larger; a column of the table is two numbers' bits."""
+    if a == b:
+        return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
+    start, least = 0, min(len(a), len(b))
+    while start < least and a[start] == b[start]:
+        start += 1
+    a, b = a[start:], b[start:]
+    if not a or not b:
+        return min(max(len(a), len(b)), most + 1)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
+        same = places.get(c, 0)
+        steep = same | down
+        flat = (((same & up) + up) ^ up) | same
+        rise, fall = down | full & ~(flat | up), up & flat
+        score += (rise & last > 0) - (fall & last > 0)
+        # the rest can lower it by one a character at most
+        if score - left > most:
             return most + 1
-    return row[-1]
+        rise, fall = rise << 1 | 1, fall << 1
+        up, down = full & (fall | ~(steep | rise)), rise & steep & full
+    return min(score, most + 1)
 
 
 def _alike(a: str, b: str | None) -> bool:
