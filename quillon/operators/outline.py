@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import text as tx
+from quillon.runtime import materialize
 
 #: Rows of a source (pages or documents) that one task orders.
 STRETCH = 512
@@ -59,7 +60,8 @@ def sections(pages: DataFrame, key: str = "page_key") -> DataFrame:
     dropped. Pages go in the order of page, then ``key``; its page is that of its first line.
     Null sources are one source; null texts have no lines.
     """
-    all_lines = lines(pages, key).withColumn("document", F.when(F.col("page").isNull(), F.col("key")))
+    # levels are costly to find and several steps ask for them, so the lines are written once
+    all_lines = materialize(lines(pages, key), "lines").withColumn("document", F.when(F.col("page").isNull(), F.col("key")))
     order = ["page", "key", "line_no"]
     # pages are counted off in stretches, so a source of any length is many tasks; its key stands for null parts too
     marked = all_lines.withColumns({"stretch": (F.coalesce(F.col("page"), F.lit(0)) / STRETCH).cast("int"), "sk": F.xxhash64("source", F.col("document").cast("string"))})
@@ -110,7 +112,8 @@ def merge_tiny(sections_: DataFrame, min_tokens: int) -> DataFrame:
     large enough, so runs are cut there first and only runs of small sections are folded.
     """
     fields = ["page", "unit", "chapter", "topic", "level", "breadcrumb"]
-    marked = sections_.withColumn("sk", F.xxhash64("source", F.col("document").cast("string")))
+    # read for their sizes and again for their texts
+    marked = materialize(sections_.withColumn("sk", F.xxhash64("source", F.col("document").cast("string"))), "sections")
     # the fold needs the sizes alone: words of joined texts add up
     sizes = marked.select("sk", "source", "document", "section", F.size(tx.words_of(F.col("text"))).alias("words"))
     small = tx.tokens_of(F.col("words")) < min_tokens
