@@ -259,6 +259,17 @@ long AS (SELECT pid, doc_id, count(*) + 11 AS words FROM run GROUP BY pid, doc_i
 SELECT item_id, field, doc_id, CAST(max(words) AS INT) AS words FROM long JOIN p USING (pid) GROUP BY item_id, field, doc_id
 """
 
+# places in the original text: its words and what is between them, each with the length of all before
+_P8_REPORT = _P8_RUNS.split("\nlong AS")[0] + r"""
+long AS MATERIALIZED (SELECT pid, doc_id, count(*) + 11 AS words, min(j) AS first FROM (SELECT r.*, h.j FROM (SELECT pid, doc_id, i, j, j - i AS diag, i - row_number() OVER (PARTITION BY pid, doc_id, j - i ORDER BY i) AS island FROM hit) r JOIN hit h USING (pid, doc_id, i, j)) GROUP BY pid, doc_id, diag, island),
+cut AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{N}\p{M}]*|[^\p{L}\p{N}]+') AS parts FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE doc_id IN (SELECT doc_id FROM long)),
+part AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM cut),
+placed AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM part),
+word AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS j, begin, begin + length(regexp_replace(part, '\p{M}+$', '')) AS stop FROM placed WHERE regexp_matches(part, '^[\p{L}\p{N}]')),
+spot AS (SELECT p.item_id, p.field, l.doc_id, l.words, a.begin AS start, b.stop FROM long l JOIN p USING (pid) JOIN word a ON a.doc_id = l.doc_id AND a.j = l.first JOIN word b ON b.doc_id = l.doc_id AND b.j = l.first + l.words - 1)
+SELECT item_id, field, doc_id, CAST(words AS INT) AS words, CAST(start AS INT) AS start, CAST(stop AS INT) AS stop FROM (SELECT *, row_number() OVER (PARTITION BY item_id, field, doc_id ORDER BY words DESC, start, stop) AS n FROM spot) WHERE n = 1
+"""
+
 _P1_LINES = r"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
@@ -281,6 +292,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": _P6_FOUND,
         "p8_found": _P8_FOUND,
         "p8_runs": _P8_RUNS,
+        "p8_report": _P8_REPORT,
         "p7_found": _P7_FOUND,
         "p4_found": _P4_FOUND,
         "p1_found": _P1_LINES + "SELECT doc_id, line_no FROM found",
