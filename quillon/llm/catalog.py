@@ -22,6 +22,10 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.remove_repeated_lines(docs).select("doc_id", "clean_text", "lines_removed")
 
 
+def p1_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_lines.repeated_passages(table(spark, folder, "documents"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.similar_pairs(table(spark, folder, "chunks"), threshold=0.6, words=3)
 
@@ -140,6 +144,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_clean": p1_clean,
+        "p1_passages": p1_passages,
         "p2_found": p2_found,
         "p2_groups": p2_groups,
         "p3_found": p3_found,

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import repeated_lines as rl
 
@@ -71,3 +72,33 @@ def test_chunks_cover_lines_and_depend_on_them_alone(n):
     alone = rl._cut([text])
     within = rl._cut(["outra linha", f"antes\n{text}\ndepois"])
     assert [c for line, c in zip(alone[4], alone[5]) if line == 0] == [c for line, c in zip(within[4], within[5]) if line == 2]
+
+
+def test_passages_over_line_ends(spark):
+    import re
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    notice = "\n".join(" ".join(word() for _ in range(9)) for _ in range(8))
+    rows = []
+    for i in range(40):
+        own = [" ".join(word() for _ in range(r.randint(3, 30))) for _ in range(6)]
+        own.insert(r.randint(0, 6), notice.upper() if i % 3 else notice.replace(" ", "  ")) if i < 20 else None
+        rows.append((i, r.choice(["\n", "\r\n"]).join(own), "a" if i != 19 else "b"))
+    rows += [rows[0], (50, None, "a"), (51, "", "a"), (None, notice, "a"), (52, notice, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = rl.repeated_passages(df).collect()
+    by = {d: (t, s) for d, t, s in rows if d is not None}
+    norm = lambda x: re.sub(r"\s+", " ", x.lower()).strip()
+    for x in got:
+        part = norm(by[x.doc_id][0][x.start : x.stop])
+        assert sum(part in norm(t or "") for t, s in by.values() if s == "a") >= 6 and len(part) >= 40
+    covered = {i: sum(x.stop - x.start for x in got if x.doc_id == i) for i in range(19)}
+    assert all(c > 0.5 * len(notice) for c in covered.values()) and not any(x.doc_id >= 19 for x in got)
+    assert any("\n" in by[x.doc_id][0][x.start : x.stop] for x in got) and len({(x.doc_id, x.start) for x in got}) == len(got)
+    spans = df.where("doc_id = 3").limit(1).selectExpr("text", "array(named_struct('start', 2, 'stop', 5), named_struct('start', 7, 'stop', 8)) AS s")
+    t = by[3][0]
+    assert spans.select(rl.cut_out(F.col("text"), F.col("s")).alias("x")).first().x == t[:2] + t[5:7] + t[8:]
+    assert rl.repeated_passages(df.limit(0)).count() == 0
+    clean = {r.doc_id: r for r in rl.remove_repeated_passages(df.withColumn("start", F.lit(1))).where("doc_id IS NOT NULL").collect()}
+    assert len(clean[3].clean_text) == len(by[3][0]) - covered[3] and clean[30].clean_text == by[30][0] and clean[50].clean_text is None and clean[3].start == 1
