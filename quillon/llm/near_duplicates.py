@@ -6,8 +6,10 @@ cut into equal segments. By the pigeonring principle a pair within distance ``ta
 other has a segment from which every chain of l consecutive segments differs in at most
 ``l * tau / segments`` positions. Index rows carry the content of a segment as key and a
 four-bit digest of the thirty-two positions that follow it on the ring, so the join on the key
-checks the chain budgets before a pair leaves the join. Pairs that survive meet the full
-Hamming check on the sets of shingles themselves, |A ^ B| <= (|A| + |B|)(1 - t)/(1 + t),
+checks the chain budgets before a pair leaves the join. There it also holds the sizes of the
+sets of shingles against each other, and the parities of their shingles over 512 bits: these
+differ in no more places than the sets do, so only unlike pairs are dropped. Pairs that survive
+meet the full Hamming check on the sets themselves, |A ^ B| <= (|A| + |B|)(1 - t)/(1 + t),
 which is exactly Jaccard similarity >= t.
 """
 
@@ -17,6 +19,8 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +29,17 @@ from pyspark.sql import functions as F
 
 from quillon.llm import textarrays as ta
 from quillon.operators.components import connected_components
-from quillon.runtime import materialize
+from quillon.runtime import discard, materialize
 
 #: Ids up to this number (16 MB) are sent to all executors; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: The index is joined in up to so many parts, one for each so many texts.
+PARTS = 9
+PART_TEXTS = 16_384
 _DIGEST = 32  # positions behind a segment whose digest a row carries, sixteen in a number
 _CHAINS = tuple(f"chain{i}" for i in range(_DIGEST // 16))
+_ODDS = 8  # numbers of 64 bits that tell of the shingles falling to each bit whether they are odd in number
+_SET = ("size", *[f"odd{i}" for i in range(_ODDS)])
 
 
 @dataclass(frozen=True)
@@ -94,7 +103,12 @@ def _multipliers(n: int) -> np.ndarray:
     return (ta.mix64(np.arange(n, dtype=np.uint64) + np.uint64(77)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def _index_rows(ring: Ring, words: int):
+def _signature(ring: Ring) -> np.dtype:
+    """What the index holds of a text, as it lies in a binary value."""
+    return np.dtype([("size", "<i4"), ("odd", "<u8", _ODDS), ("digest", "u1", ring.positions), ("keys", "<u4", ring.segments)])
+
+
+def _signatures(ring: Ring, words: int):
     factors = _multipliers(ring.positions)
     width, segments, positions = ring.width, ring.segments, ring.positions
 
@@ -116,40 +130,71 @@ def _index_rows(ring: Ring, words: int):
                     continue
                 begin = np.flatnonzero(np.diff(owner, prepend=-1))
                 ids = uids[first + np.asarray(fresh)[owner[begin]]]
+                out = np.zeros(begin.size, dtype=_signature(ring))
                 short = (hashes >> np.uint64(32)).astype(np.uint32)
                 least = np.empty((positions, begin.size), dtype=np.uint32)
                 for k in range(positions):
                     np.minimum.reduceat(short * factors[k], begin, out=least[k])
-                nibble = (ta.mix64(least) & np.uint64(15)).astype(np.uint64)
-                keys = np.empty((segments, begin.size), dtype=np.uint64)
-                chains = np.zeros((len(_CHAINS), segments, begin.size), dtype=np.uint64)
+                out["digest"] = (ta.mix64(least) & np.uint64(15)).astype(np.uint8).T
                 for s in range(segments):
                     key = np.full(begin.size, s + 1, dtype=np.uint64)
                     for p in range(s * width, (s + 1) * width):
                         key = ta.mix64(key ^ least[p].astype(np.uint64))
-                    keys[s] = key
-                    for j in range(_DIGEST):
-                        chains[j // 16, s] |= nibble[((s + 1) * width + j) % positions] << np.uint64(4 * (j % 16))
+                    out["keys"][:, s] = key >> np.uint64(32)
+                owner, hashes, begin = _distinct(owner, hashes)
+                out["size"] = np.diff(begin, append=owner.size)
+                place = np.cumsum(np.diff(owner, prepend=owner[0]) > 0) * (64 * _ODDS) + (hashes % np.uint64(64 * _ODDS)).astype(np.int64)
+                odd = np.bincount(place, minlength=begin.size * 64 * _ODDS).astype(np.uint8) & 1
+                out["odd"] = np.packbits(odd, bitorder="little").view("<u8").reshape(begin.size, _ODDS)
+                ends = np.arange(begin.size + 1, dtype=np.int32) * out.itemsize
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(ids, segments)), *[pa.array(c.ravel().view(np.int64)) for c in chains]],
-                    names=["key", "uid", *_CHAINS],
+                    [pa.array(ids), pa.Array.from_buffers(pa.binary(), begin.size, [None, pa.py_buffer(ends), pa.py_buffer(out)])], names=["uid", "signature"]
                 )
 
     return rows
 
 
+def _index_rows(ring: Ring, part: range):
+    kind = _signature(ring)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            texts = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=kind)
+            keys = np.empty((len(part), ids.size), dtype=np.uint64)
+            chains = np.zeros((len(_CHAINS), len(part), ids.size), dtype=np.uint64)
+            digest = texts["digest"].T.astype(np.uint64)
+            for i, s in enumerate(part):
+                keys[i] = texts["keys"][:, s] | np.uint64(s << 32)
+                for j in range(_DIGEST):
+                    chains[j // 16, i] |= digest[((s + 1) * ring.width + j) % ring.positions] << np.uint64(4 * (j % 16))
+            sides = [ids, texts["size"].astype(np.int64), *np.ascontiguousarray(texts["odd"].T).view(np.int64)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x.ravel().view(np.int64)) for x in (keys, *chains)] + [pa.array(np.tile(x, len(part))) for x in sides],
+                names=["key", *_CHAINS, "uid", *_SET],
+            )
+
+    return rows
+
+
+def _distinct(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, hash) without repeats, in order, and where each text begins."""
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(owner.size, dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    owner, hashes = owner[new], hashes[new]
+    return owner, hashes, np.flatnonzero(np.diff(owner, prepend=-1))
+
+
 def _shingle_sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column(0).to_numpy()
             for first, texts in ta.blocks(batch.column(1)):
-                owner, hashes = _shingles([t or "" for t in texts], words)
-                order = np.lexsort((hashes, owner))
-                owner, hashes = owner[order], hashes[order]
-                new = np.ones(owner.size, dtype=bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
-                owner, hashes = owner[new], hashes[new]
-                begin = np.flatnonzero(np.diff(owner, prepend=-1))
+                owner, hashes, begin = _distinct(*_shingles([t or "" for t in texts], words))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(uids[first + owner[begin]]),
@@ -161,13 +206,22 @@ def _shingle_sets(words: int):
     return sets
 
 
+def signatures(texts: DataFrame, ring: Ring, words: int) -> DataFrame:
+    """(uid, signature) of every text, once however many tasks hold it."""
+    return texts.mapInArrow(_signatures(ring, words), "uid bigint, signature binary").dropDuplicates(["uid"])
+
+
 def candidate_pairs(texts: DataFrame, ring: Ring, words: int) -> DataFrame:
-    """Distinct (uid_a, uid_b) of texts that share a segment and keep the chain budgets behind it."""
-    rows = texts.mapInArrow(_index_rows(ring, words), "key bigint, uid bigint, " + ", ".join(f"{c} bigint" for c in _CHAINS))
-    # a text that many tasks hold has its rows once behind the exchange, which also serves the join
-    rows = rows.repartition("key").groupBy("key", "uid").agg(*[F.first(c).alias(c) for c in _CHAINS])
+    """Distinct (uid_a, uid_b) of texts that share a segment, keep the chain budgets behind it and may be alike."""
+    return pairs_of_part(signatures(texts, ring, words), ring, range(ring.segments)).distinct()
+
+
+def pairs_of_part(index: DataFrame, ring: Ring, part: range) -> DataFrame:
+    """The pairs of ``candidate_pairs`` that share a segment of ``part``; one that shares several may come again."""
+    kinds = ", ".join(f"{c} bigint NOT NULL" for c in ("key", *_CHAINS, "uid", *_SET))
+    rows = index.mapInArrow(_index_rows(ring, part), kinds).repartition("key")
     # a text becomes a row a segment, which the planner's size estimate does not know: never a broadcast
-    side = lambda x: rows.select("key", F.col("uid").alias(f"uid_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in _CHAINS]).hint("merge")
+    side = lambda x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("uid", *_CHAINS, *_SET)]).hint("merge")
     a, b = side("a"), side("b")
 
     def differing(ahead: int):
@@ -185,14 +239,36 @@ def candidate_pairs(texts: DataFrame, ring: Ring, words: int) -> DataFrame:
     for ahead, most in ring.budgets():
         if most < ahead:
             viable &= differing(ahead) <= most
-    return a.join(b, "key").where((F.col("uid_a") < F.col("uid_b")) & viable).select("uid_a", "uid_b").distinct()
+    # neither the sizes nor the parities can differ in more than the sets do, so no similar pair is lost
+    odd = F.lit(0)
+    for c in _SET[1:]:
+        odd += F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    total, apart = F.col("size_a") + F.col("size_b"), F.abs(F.col("size_a") - F.col("size_b"))
+    viable &= _alike(apart, total, ring.threshold) & _alike(odd, total, ring.threshold)
+    return a.join(b, "key").where((F.col("uid_a") < F.col("uid_b")) & viable).select("uid_a", "uid_b")
+
+
+def _alike(differing, total, threshold: float):
+    """Whether sets of ``total`` shingles that differ in so many are similar: exact in whole numbers."""
+    t = Fraction(str(threshold))
+    return differing * F.lit(t.denominator + t.numerator) <= total * F.lit(t.denominator - t.numerator)
+
+
+def _indexed_pairs(texts: DataFrame, ring: Ring, words: int) -> DataFrame:
+    """``candidate_pairs`` with a part of the segments at a time, whose rows leave the disk before the next."""
+    index = materialize(signatures(texts, ring, words), "index", drop_shuffle=True)
+    parts = max(1, min(PARTS, math.ceil(index.count() / PART_TEXTS)))
+    ends = [ring.segments * i // parts for i in range(parts + 1)]
+    found = [materialize(pairs_of_part(index, ring, range(*e)), "pairs", drop_shuffle=True) for e in pairwise(ends)]
+    discard(index)
+    return reduce(DataFrame.union, found).distinct()
 
 
 def similar_texts(texts: DataFrame, threshold: float, words: int) -> DataFrame:
     """(uid_a, uid_b, shared, size_a, size_b) of different texts with similarity >= threshold."""
     ring = Ring(threshold)
-    pairs = materialize(candidate_pairs(texts, ring, words), "pairs")
-    ids = materialize(pairs.select(F.explode(F.array("uid_a", "uid_b")).alias("uid")).distinct(), "ids")
+    pairs = materialize(_indexed_pairs(texts, ring, words), "pairs", drop_shuffle=True)
+    ids = materialize(pairs.select(F.explode(F.array("uid_a", "uid_b")).alias("uid")).distinct(), "ids", drop_shuffle=True)
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     # hashed by uid here, the sets serve both joins without another exchange; their size is unknown to the planner too
     sets = texts.join(wanted, "uid", "left_semi").mapInArrow(_shingle_sets(words), "uid bigint, shingles array<bigint>").dropDuplicates(["uid"]).hint("merge")
@@ -200,9 +276,8 @@ def similar_texts(texts: DataFrame, threshold: float, words: int) -> DataFrame:
         sets.select(F.col("uid").alias("uid_b"), F.col("shingles").alias("sb")), "uid_b"
     )
     sized = joined.select("uid_a", "uid_b", F.size(F.array_intersect("sa", "sb")).alias("shared"), F.size("sa").alias("size_a"), F.size("sb").alias("size_b"))
-    t = Fraction(str(threshold))
-    total, differing = F.col("size_a") + F.col("size_b"), F.col("size_a") + F.col("size_b") - 2 * F.col("shared")
-    return sized.where(differing * F.lit((t.denominator + t.numerator)) <= total * F.lit(t.denominator - t.numerator))
+    total = F.col("size_a") + F.col("size_b")
+    return sized.where(_alike(total - 2 * F.col("shared"), total, threshold))
 
 
 def _texts(df: DataFrame, text: str) -> DataFrame:

@@ -44,6 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Whether shuffle files go when the query that wrote them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @cache
 def _own_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix="quillon-")
@@ -54,19 +58,35 @@ def own_tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quillon/{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, drop_shuffle: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage where a costly stage feeds several later ones; the files are
     compressed and columnar, so each reader takes only its columns, and a lost executor
-    costs nothing but the tasks that ran on it.
+    costs nothing but the tasks that ran on it. With ``drop_shuffle`` the shuffle files of
+    the write are deleted at its end, else they lie until the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{own_tables(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if drop_shuffle:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if drop_shuffle:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @cache
 def _ship(application: str) -> None:
     """Give the executors this package, for clusters whose workers do not have it on their path."""

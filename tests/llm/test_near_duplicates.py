@@ -3,10 +3,13 @@
 import itertools
 import random
 import re
+import time
+from pathlib import Path
 
 import pytest
 
 from quillon.llm import near_duplicates as nd
+from quillon.runtime import own_tables
 
 SCHEMA = "chunk_id string, text string"
 
@@ -106,3 +109,40 @@ def test_a_text_that_all_tasks_hold(spark):
     df = spark.createDataFrame(rows, SCHEMA).repartition(16)
     groups = {r.chunk_id: (r.group_id, r.links, r.copies) for r in nd.duplicate_groups(df, 0.8, 5).collect()}
     assert groups["0007"] == ("0000", 2, 299) and groups["x"][0] == groups["y"][0] == "0000" and groups["x"][2] == 0
+
+
+def of_phrases(seed, n):
+    """Texts put together from few phrases: unlike, but many share a segment."""
+    r = random.Random(seed)
+    phrases = [" ".join(f"p{i}w{k}" for k in range(r.randint(4, 9))) for i in range(40)]
+    return [(f"{i:04}", " ".join(r.choices(phrases, k=8))) for i in range(n)]
+
+
+def test_unlike_texts_do_not_leave_the_join(spark):
+    rows = of_phrases(5, 400)
+    rows += [(f"{i}x", f"{text} ende") for i, text in rows[:40]]
+    pairs = nd.candidate_pairs(nd._texts(spark.createDataFrame(rows, SCHEMA), "text"), nd.Ring(0.6), 3).count()
+    assert len(plain(rows, 0.6, 3)) <= pairs <= 60  # without sizes and parities some hundred more
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+
+def test_the_index_leaves_the_disk_part_by_part(spark, monkeypatch):
+    rows = corpus(13, 80) + of_phrases(13, 300)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = plain(rows, 0.6, 3)
+    monkeypatch.setattr(nd, "PART_TEXTS", 100, raising=False)
+    before = shuffle_files(spark)
+    similar = nd.similar_texts(nd._texts(df, "text"), 0.6, 3)
+    for _ in range(50):
+        if (left := sum(n for name, n in shuffle_files(spark).items() if name not in before)) < 20_000:
+            break
+        time.sleep(0.1)
+    assert left < 20_000  # a row for each segment of these texts takes more than a megabyte
+    assert not list(Path(own_tables(spark).removeprefix("file:")).glob("index-*"))
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in nd.similar_pairs(df, 0.6, 3).collect()}
+    assert not got - want and len(got) >= 0.99 * len(want) and similar.count() > 10
